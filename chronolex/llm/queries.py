@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolex.llm.common import table
 
 
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chronolex.llm.huffman import corpus_file
+
+    return corpus_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.mixing import mix
 
