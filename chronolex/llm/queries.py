@@ -17,6 +17,12 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.mixing import mix
 
