@@ -23,6 +23,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.mixing import mix
 
