@@ -35,6 +35,12 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
