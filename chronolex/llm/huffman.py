@@ -22,6 +22,7 @@ repeated rows each keep their own entry. An empty table makes no file and gives
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,70 +41,108 @@ BLOCK = 1024
 LIMIT = 16
 CHUNK_IDS = 2_000_000
 FILE_IDS = 8_000_000
-_MEMO_WORDS = 700_000
+_MEMO_WORDS = 1_200_000
 
 
 # --- encoding texts -------------------------------------------------------------------------------
 class WordEncoder:
-    """Encodes texts with a tokenizer that never lets a token cross white space.
+    """Encodes texts with a tokenizer whose tokens cross neither white space nor the borders between
+    letters, digits and signs, and which lower-cases.
 
-    Each distinct word is encoded once per worker, many words in one call: the tokenizer sees them
-    between separators, and the ids between two separators are the word's."""
+    Words are looked up among those seen by this worker; a new word is cut into runs of letters, single
+    digits and runs of signs, and new runs are encoded many in one call. A token that ends a run is told by
+    the vocabulary's end-of-word mark. Words with anything but plain letters, digits and signs (apostrophes,
+    combining marks, other scripts, special tokens) are encoded each as it stands."""
 
-    SEPARATOR = b"\x01"
+    LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xca][\x80-\xbf])"
+    SIGNS = rb"[!-&(-/:;=-`{-~]"
+    END = "</w>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._separator = self._encode(self.SEPARATOR.decode())
-        if len(self._separator) != 1:
-            raise ValueError("the tokenizer has no single id for the separator")
+        size = self._tokenizer.get_vocab_size()
+        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith(self.END) for i in range(size)])
+        self._plain = re.compile(rb"(?:%s+|[0-9]|%s+)+" % (self.LETTER, self.SIGNS)).fullmatch
+        self._runs = re.compile(rb"%s+|[0-9]|%s+" % (self.LETTER, self.SIGNS)).findall
         self._forget()
 
     def _forget(self) -> None:
-        self._words = Interner()
-        self._ids, self._starts, self._lengths, self._filled = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def _encode(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+        self._words, self._parts = Interner(), Interner()
+        self._of_words, self._of_parts = _Lists(), _Lists()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 50_000):
+            some = parts[at : at + 50_000]
+            joined = [b" ".join(some[i : i + 50]).decode() for i in range(0, len(some), 50)]
+            ids = np.array([x for e in self._encode(joined) for x in e], np.uint32)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):  # not a vocabulary with end marks
+                made = self._encode([p.decode() for p in some])
+                ids, lengths = np.array([x for e in made for x in e], np.uint32), np.array([len(e) for e in made], np.int64)
+            else:
+                lengths = np.diff(ends, prepend=0)
+            self._of_parts.extend(ids, lengths)
 
     def _learn(self, words: list[bytes]) -> None:
-        parts: list[np.ndarray] = []
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            if any(self.SEPARATOR in w for w in some):
-                parts += [np.array(self._encode(w.decode("utf-8", "surrogatepass")), np.uint32) for w in some]
-                continue
-            ids = np.array(self._encode(b" \x01 ".join(some).decode()), np.uint32)
-            parts += np.split(ids, np.flatnonzero(ids == self._separator[0]))
-            if len(parts) != at + len(some):
-                raise ValueError("the tokenizer joins words")
-            first = len(parts) - len(some) + 1
-            parts[first:] = [p[1:] for p in parts[first:]]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        made = np.concatenate(parts)
-        while self._filled + len(made) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.empty(len(self._ids), np.uint32)])
-        self._ids[self._filled : self._filled + len(made)] = made
-        self._starts = np.concatenate([self._starts, self._filled + np.cumsum(lengths) - lengths])
-        self._lengths = np.concatenate([self._lengths, lengths])
-        self._filled += len(made)
+        odd = [k for k, w in enumerate(words) if not self._plain(w)]
+        runs = [self._runs(w) for w in words]
+        for k in odd:
+            runs[k] = []
+        numbers = self._parts.numbers([r for run in runs for r in run])
+        if len(self._parts.new) > len(self._of_parts):
+            self._learn_parts(self._parts.new[len(self._of_parts) :])
+        ids, lengths = self._of_parts.take(numbers)
+        of = np.repeat(np.arange(len(words)), [len(run) for run in runs])
+        per_word = np.bincount(of, weights=lengths, minlength=len(words)).astype(np.int64)
+        if odd:
+            pieces = np.split(ids, np.cumsum(per_word)[:-1])
+            for k, e in zip(odd, self._encode([words[k].decode() for k in odd]), strict=True):
+                pieces[k] = np.array(e, np.uint32)
+            ids, per_word = np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
+        self._of_words.extend(ids, per_word)
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if len(self._words) > _MEMO_WORDS:
             self._forget()
-        for text in texts:
-            words = text.encode("utf-8").split() if text else []
-            if not words:
-                yield np.empty(0, np.uint32)
-                continue
-            numbers = self._words.numbers(words)
-            if len(self._words.new) > len(self._starts):
-                self._learn(self._words.new[len(self._starts) :])
-            lengths = self._lengths[numbers]
-            ends = np.cumsum(lengths)
-            yield self._ids[np.repeat(self._starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        per_text = [text.encode("utf-8").lower().split() if text else [] for text in texts]
+        numbers = self._words.numbers([w for words in per_text for w in words])
+        if len(self._words.new) > len(self._of_words):
+            self._learn(self._words.new[len(self._of_words) :])
+        at = 0
+        for words in per_text:
+            yield self._of_words.take(numbers[at : at + len(words)])[0]
+            at += len(words)
+
+
+class _Lists:
+    """Growing list of id lists."""
+
+    def __init__(self):
+        self._ids, self._filled = np.empty(1 << 16, np.uint32), 0
+        self._starts, self._lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self._starts)
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self._filled + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.empty(len(self._ids), np.uint32)])
+        self._ids[self._filled : self._filled + len(ids)] = ids
+        self._starts = np.concatenate([self._starts, self._filled + np.cumsum(lengths) - lengths])
+        self._lengths = np.concatenate([self._lengths, lengths])
+        self._filled += len(ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self._lengths[numbers]
+        if not len(numbers):
+            return np.empty(0, np.uint32), lengths
+        ends = np.cumsum(lengths)
+        return self._ids[np.repeat(self._starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1])], lengths
 
 
 @lru_cache(maxsize=2)
@@ -111,21 +150,23 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids): whole texts as little-endian u32 ids, end_id appended."""
+def id_type(vocabulary: int) -> str:
+    """How ids wait for their code: two bytes each where the vocabulary allows it."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids): whole texts as ids of id_type(vocabulary), end_id appended."""
+    kind = id_type(vocabulary)
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], kind)
         for batch in batches:
-            ids, names = [], []
-            for doc_id, made in zip(batch["doc_id"].to_pylist(), encoder.batch(batch["text"].to_pylist()), strict=True):
-                ids.append(np.concatenate([made, end]).astype("<u4").tobytes())
-                names.append(doc_id)
-                if len(ids) == 1000:
-                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    ids, names = [], []
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                ids = [np.concatenate([made.astype(kind), end]).tobytes() for made in encoder.batch(some["text"].to_pylist())]
+                yield pa.record_batch([some["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -224,7 +265,7 @@ class Coder:
 
 
 def write_chunk(coder: Coder, doc_ids: list[int | None], parts: list[np.ndarray], block: int = BLOCK) -> bytes:
-    ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    ids = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
     offsets, bits = coder.pack(ids, block)
     body = b"".join(
         (
@@ -270,11 +311,13 @@ def write_corpus(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIM
 
     The counts that come to the driver are one number an id of the vocabulary."""
 
+    kind = id_type(vocabulary)
+
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for ids in batch["ids"].to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(ids, kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -289,7 +332,7 @@ def write_corpus(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIM
         for batch in batches:
             for name, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 names.append(name)
-                parts.append(np.frombuffer(ids, "<u4"))
+                parts.append(np.frombuffer(ids, kind))
                 waiting += len(parts[-1])
                 if waiting >= CHUNK_IDS:
                     yield pa.record_batch([pa.array([write_chunk(coder, names, parts)], pa.binary())], ["value"])
@@ -331,7 +374,7 @@ def corpus_file(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = L
 
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    tokens = staged(encoded(docs, tokenizer, end_id), "token-ids")
+    tokens = staged(encoded(docs, tokenizer, vocabulary, end_id), "token-ids")
     path = work_path(spark, "huffman")
     write_corpus(tokens, path, vocabulary, limit, file_ids)
     discard(tokens)
