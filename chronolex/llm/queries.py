@@ -23,6 +23,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold="9/10")
+
+
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.quality import classify
 
