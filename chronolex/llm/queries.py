@@ -35,6 +35,18 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.pruned_graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_metric_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.metric_tree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.mixing import mix
 
