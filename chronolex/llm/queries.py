@@ -47,6 +47,12 @@ def op6_metric_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.mixing import mix
 
