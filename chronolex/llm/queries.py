@@ -59,6 +59,14 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chronolex.llm.pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolex.llm.secrets import secret_report
 
