@@ -3,8 +3,9 @@
 Every source's documents are dealt to shards of bounded size and stand there in a seeded order, so
 that the shard is one stream of words cut into blocks of `block` words. Sainte-Laguë gives every
 source an integer number of blocks by its target, and again every shard of a source by its size.
-A shard that may take q of its m blocks takes each q // m times and q % m seeded ones once more;
-those are spread evenly, so how many lie before any word is a closed form and no block is listed.
+A shard that may take q of its m blocks takes each q // m times and, once more, the q % m blocks that
+follow a seeded one, round the end; so documents stay whole but at the two ends of that run, and a
+document's share is the overlap of two intervals.
 
 Null or empty texts have size 0 and take 0 words; null sources are one source, the last; repeated
 rows are documents of their own. An empty table gives an empty result.
@@ -106,14 +107,11 @@ def mix(
     )
     m, r, off = F.col("_blocks"), F.col("_quota") % F.col("_blocks"), F.col("_offset")
 
-    def chosen(x):  # seeded blocks among the first x
-        return F.floor(((x - 1) * r + off) / m) - F.floor((off - r) / m)
+    def overlap(low, high):  # words of the document in blocks low to high
+        inside = F.least(F.col("_end"), high * block) - F.greatest(F.col("_end") - F.col("size"), low * block)
+        return F.greatest(inside, F.lit(0))
 
-    def words_before(p):
-        whole = F.floor(p / F.lit(block)).cast("long")
-        return chosen(whole) * block + (p % block) * (chosen(whole + 1) - chosen(whole))
-
-    again = words_before(F.col("_end")) - words_before(F.col("_end") - F.col("size"))
+    again = overlap(off, off + r) + overlap(F.lit(0), off + r - m)
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(F.col("_quota") / m) * F.col("size") + again)
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -142,3 +140,13 @@ def _quotas(shards: DataFrame, block: int, most: int, seed: int) -> DataFrame:
         .applyInPandas(of_shards, "source string, _shard long, _blocks long, _offset long, _quota long")
     )
     return quotas.withColumn("_blocks", F.greatest("_blocks", F.lit(1)))
+
+
+def mixed(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The mix itself: each document as often as the words taken of it round to whole documents; wordless ones are left out."""
+    plan = mix(docs, **options).filter("taken > 0")
+    times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
+    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("_times"))
+    plan = staged(plan.filter("_times > 0"), "mix-plan")
+    joined = docs.join(F.broadcast(plan) if plan.count() <= broadcast_rows else plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

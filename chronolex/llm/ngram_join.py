@@ -28,9 +28,8 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import WordHashes, discard, mix64, staged, words_of
@@ -276,3 +275,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     final = components(links.unionByName(more), "components") if more.take(1) else grouped
     out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, threshold: str = "4/5") -> DataFrame:
+    """docs with one document of each group of near copies, that with the smallest doc_id; rows without doc_id stay."""
+    grouped = staged(jaccard_components(docs, k, threshold), "near-copies")
+    gone = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+    if grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
+        again = Window.partitionBy("doc_id").orderBy("text")  # rows of one id are one node: one of them stays
+        first = kept.withColumn("_n", F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1))
+        kept = first.filter("_n = 1").drop("_n")
+    return kept

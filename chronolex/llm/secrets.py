@@ -161,6 +161,50 @@ def found_spans(docs: DataFrame, level: float = FALSE_DISCOVERY) -> DataFrame:
     return found.withColumn("_spans", ordered).drop("_found")
 
 
+def redacted(docs: DataFrame, level: float = FALSE_DISCOVERY, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of text replaced by the mark, and n_chars, where there is one, counted anew."""
+    first = docs.sparkSession.sparkContext.broadcast(thresholds(docs, level))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                columns = {n: some[n] for n in some.schema.names}
+                texts = some["text"].to_pylist()
+                made = [t and redact(t, all_spans(t, first.value), mark) for t in texts]
+                columns["text"] = pa.array(made, pa.string())
+                if "n_chars" in columns:
+                    chars = [n if t is None or n is None or m == t else len(m) for n, t, m in zip(some["n_chars"].to_pylist(), texts, made, strict=True)]
+                    columns["n_chars"] = pa.array(chars, some.schema.field("n_chars").type)
+                yield pa.record_batch(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def all_spans(text: str, first: dict[int, int]) -> list[tuple[int, int]]:
+    """Base spans and those of the battery under the thresholds of dismissals()."""
+    found = [(s, e) for s, e, _ in base_spans(text)]
+    return found + [(s, e) for s, e, size, nth in candidates(text) if nth < first.get(size, BINS)]
+
+
+def thresholds(docs: DataFrame, level: float = FALSE_DISCOVERY) -> dict[int, int]:
+    """dismissals() over all texts of docs."""
+
+    def run(batches):
+        counts: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                base = base_spans(text or "")
+                for s, e, size, nth in candidates(text or ""):
+                    if not any(bs <= s and e <= be for bs, be, _ in base):
+                        counts[size, nth] = counts.get((size, nth), 0) + 1
+        rows = [(k, b, n) for (k, b), n in counts.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["k", "b", "n"])
+
+    tested = docs.select("text").mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).collect()
+    return dismissals({(r["k"], r["b"]): r["n"] for r in tested}, level)
+
+
 def digest_text(spans, kinds: tuple[str, ...] = KINDS):
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
