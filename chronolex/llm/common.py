@@ -100,16 +100,19 @@ class WordHashes:
     """64-bit hashes of words, each computed once per worker as long as it stays among the remembered ones."""
 
     def __init__(self):
-        self._interner, self._hashes = Interner(), np.empty(0, np.uint64)
+        self._interner, self._hashes, self._filled = Interner(), np.empty(1 << 16, np.uint64), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self._interner) > _MEMO_WORDS:
             self.__init__()
         numbers = self._interner.numbers(words)
-        fresh = self._interner.new[len(self._hashes) :]
+        fresh = self._interner.new[self._filled :]
         if fresh:
-            made = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh), "<u8")
-            self._hashes = np.concatenate([self._hashes, made])
+            made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in fresh]), "<u8")
+            while self._filled + len(made) > len(self._hashes):
+                self._hashes = np.concatenate([self._hashes, np.empty(len(self._hashes), np.uint64)])
+            self._hashes[self._filled : self._filled + len(made)] = made
+            self._filled += len(made)
         return self._hashes[numbers]
 
 

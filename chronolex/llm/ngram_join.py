@@ -43,21 +43,50 @@ BROADCAST_ROWS = 500_000
 STRETCH = 4_000_000  # shingles of a stretch that is counted at once
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word shingles."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _hashes(words)
-    if len(h) < k:
-        k = len(h)
-        tag = np.uint64(k)
-    else:
-        tag = np.uint64(0)
-    total = np.full(len(h) - k + 1, tag, np.uint64)
-    for i in range(k):
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + mix64(h[i : len(h) - k + 1 + i] + _STEP[i % 5]))
-    return np.unique(total)
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles; shorter texts are one shingle of their own length."""
+    words = [words_of(text) for text in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    h = _hashes([w for ws in words for w in ws])
+    starts = np.cumsum(counts) - counts
+    total = np.zeros(max(len(h) - k + 1, 0), np.uint64)
+    if len(total):
+        for i in range(k):
+            total = mix64(total * _STEP[0] + mix64(h[i : len(h) - k + 1 + i] + _STEP[i % 5]))
+    out = []
+    for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        if n >= k:
+            made = np.sort(total[start : start + n - k + 1])
+            new = np.ones(len(made), bool)
+            np.not_equal(made[1:], made[:-1], out=new[1:])
+            out.append(made[new])
+        elif n:
+            one = np.full(1, n, np.uint64)
+            for i in range(n):
+                one = mix64(one * _STEP[0] + mix64(h[start + i : start + i + 1] + _STEP[i % 5]))
+            out.append(one)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def bitmap(members: np.ndarray) -> bytes:
+    """Parity bitmap of a set, two bits a member or more: the bits in which two bitmaps differ are at most the members in which the sets do."""
+    bits = max(256, 1 << int(2 * len(members) - 1).bit_length()) if len(members) else 256
+    at = (members >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int, t: Fraction) -> bool:
+    """False only for sets of sizes n and m that cannot have Jaccard >= t."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):  # the larger one folds to the size of the other
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return apart <= n + m - 2 * least_overlap(n, m, t)
 
 
 def least_overlap(a: int, b: int, t: Fraction) -> int:
@@ -123,12 +152,13 @@ def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarra
 
 def _sets(batches, k: int, named=("doc_id", "text")) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        for doc_id, text in zip(batch[named[0]].to_pylist(), batch[named[1]].to_pylist(), strict=True):
-            yield doc_id, shingle_set(text, k)
+        for at in range(0, batch.num_rows, 300):
+            some = batch.slice(at, 300)
+            yield from zip(some[named[0]].to_pylist(), shingle_sets(some[named[1]].to_pylist(), k), strict=True)
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: per text (doc_id, n, f1, f2), its set's size and fingerprint; and, with n the negative count,
+    """One pass: per text (doc_id, n, f1, f2, bits), its set's size, fingerprint and bitmap; and, with n the negative count,
     shingles (f1) that several texts of a stretch hold."""
 
     def run(batches):
@@ -139,17 +169,18 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             found, times = np.unique(np.concatenate(stretch), return_counts=True) if stretch else (np.empty(0, np.uint64), np.empty(0, np.int64))
             stretch, held = [], 0
             several = times > 1
-            return packed(None, -times[several], found[several].view(np.int64), np.zeros(several.sum(), np.int64))
+            return packed(None, -times[several], found[several].view(np.int64), np.zeros(several.sum(), np.int64), None)
 
-        def packed(ids, n, f1, f2):
+        def packed(ids, n, f1, f2, bits):
             ids = pa.nulls(len(n), pa.int64()) if ids is None else pa.array(ids, pa.int64())
-            return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n", "f1", "f2"])
+            bits = pa.nulls(len(n), pa.binary()) if bits is None else pa.array(bits, pa.binary())
+            return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), bits], ["doc_id", "n", "f1", "f2", "bits"])
 
         seen: set = set()
         for doc_id, members in _sets(batches, k):
             f1 = members.sum(dtype=np.uint64).astype(np.int64)
             f2 = mix64(members).sum(dtype=np.uint64).astype(np.int64)
-            rows.append((doc_id, len(members), f1, f2))
+            rows.append((doc_id, len(members), f1, f2, bitmap(members)))
             if (f1, f2) not in seen:  # copies within a stretch count once: they will be one class
                 seen.add((f1, f2))
                 stretch.append(members)
@@ -164,7 +195,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             yield packed(*(list(x) for x in zip(*rows, strict=True)))
         yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits binary")
 
 
 def keyed(docs: DataFrame, k: int, t: Fraction, boundary: int, heavy: np.ndarray) -> DataFrame:
@@ -201,6 +232,18 @@ def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
 
+def plausible(pairs: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:
+    """pairs (a, b) whose bitmaps (node, n, bits) don't rule a link out: a hundredth of the bytes of the sets themselves."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_link(*x, t) for x in zip(*(batch[c].to_pylist() for c in ("x", "n", "y", "m")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k, n, x: bitmaps.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bits").alias(x))
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """pairs (a, b) of doc ids whose sets have Jaccard >= t, exactly."""
     pairs = pairs.select("a", "b")
@@ -208,9 +251,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                sets = [shingle_set(text, k).tobytes() for text in some["text"].to_pylist()]
+            for at in range(0, batch.num_rows, 300):
+                some = batch.slice(at, 300)
+                sets = [members.tobytes() for members in shingle_sets(some["text"].to_pylist(), k)]
                 yield pa.record_batch([some["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "members"])
 
     sets = _narrowed(docs.select("doc_id", "text"), ids)
@@ -254,12 +297,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     shared = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     members = lists.join(shared, "key").join(of_class.withColumnRenamed("a", "doc_id"), "doc_id", "left")
     members = members.select("key", F.coalesce("b", "doc_id").alias("node")).distinct()
-    size_of = full.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"))
-    members = staged(members.join(size_of, "node"), "list-members")
+    nodes = full.groupBy(F.col("doc_id").alias("node")).agg(F.min_by(F.struct("n", "bits"), F.struct("n", "f1", "f2")).alias("s"))
+    nodes = staged(nodes.select("node", "s.n", "s.bits"), "bitmaps")
+    members = staged(members.join(nodes.select("node", "n"), "node"), "list-members")
     hubs = members.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"))
     close = F.lit(t.denominator) * F.least("n", "n2") >= F.lit(t.numerator) * F.greatest("n", "n2")
     stars = members.join(hubs, "key").select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"))
-    tried = staged(stars.filter((F.col("a") != F.col("b")) & close).select("a", "b").distinct(), "star-pairs")
+    stars = stars.filter((F.col("a") != F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    able = plausible(stars.select("a", "b"), nodes, t).join(stars, ["a", "b"])
+    # of several hubs the one with the most lists in common; pairs that this leaves apart come below
+    tried = staged(able.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b")), "star-pairs")
     links = verified(docs, tried, k, t).unionByName(of_class)
     grouped = components(links, "first-components")
 
@@ -271,7 +318,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     cross = rest.withColumnRenamed("node", "a").join(other, "key").filter((F.col("component") < F.col("component2")) & close).select("a", "b").distinct()
     cross = cross.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = verified(docs, staged(cross, "cross-pairs"), k, t)
+    more = verified(docs, staged(plausible(cross, nodes, t), "cross-pairs"), k, t)
     final = components(links.unionByName(more), "components") if more.take(1) else grouped
     out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
