@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from chronolex.llm.common import Interner, crc_of, discard, segments, staged, words_of
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 600_000
+MERGE_WORDS = 2_000_000
 BUCKET_ENTRIES = 400_000
 BUCKETS_PER_TASK = 8
 BROADCAST_WORDS = 6_000_000
@@ -129,14 +130,29 @@ def _rows(batches):
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(word, seen, rest): hashes with their counts in all training documents and in those not deleted."""
 
+    def merged(parts):
+        word, seen, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        word, of = np.unique(word, return_inverse=True)
+        return [(word, *(np.bincount(of, weights=x, minlength=len(word)).astype(np.int64) for x in (seen, rest)))]
+
     def run(batches):
+        parts, held = [], 0
         for row in _rows(batches):
             c = _chunk(row)
             fold = np.repeat(c.folds, c.lengths)
             seen = np.bincount(c.tokens, weights=fold != 0, minlength=len(c.words)).astype(np.int64)
             rest = np.bincount(c.tokens, weights=fold > 1, minlength=len(c.words)).astype(np.int64)
             some = seen > 0
-            yield pa.record_batch([pa.array(c.words[some].view(np.int64)), pa.array(seen[some]), pa.array(rest[some])], ["word", "seen", "rest"])
+            parts.append((c.words[some].view(np.int64), seen[some], rest[some]))
+            held += int(some.sum())
+            if held > MERGE_WORDS:  # a task's chunks are summed before the shuffle, as far as memory allows
+                parts = merged(parts)
+                if len(parts[0][0]) > MERGE_WORDS // 2:
+                    yield pa.record_batch([pa.array(x) for x in parts[0]], ["word", "seen", "rest"])
+                    parts = []
+                held = len(parts[0][0]) if parts else 0
+        if parts:
+            yield pa.record_batch([pa.array(x) for x in merged(parts)[0]], ["word", "seen", "rest"])
 
     per_chunk = chunks.select("chunk", *_ARRAYS).mapInArrow(run, "word long, seen long, rest long")
     return per_chunk.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("rest").alias("rest"))
@@ -165,6 +181,13 @@ class Words:
         hit = self.all[at] == c.words
         return np.where(hit, self.seen[at], 0), np.where(hit, self.rest[at], 0)
 
+    def numbers(self, c: Chunk) -> np.ndarray:
+        """Place of the chunk's words in the table; unknown words share the place after it, the start of a text (index -1) has the next."""
+        n = len(self.all)
+        at = np.minimum(np.searchsorted(self.all, c.words), max(n - 1, 0))
+        found = np.where(self.all[at] == c.words, at, n) if n else np.full(len(c.words), 0)
+        return np.append(found, n + 1).astype(np.uint32)
+
     def heads(self, c: Chunk) -> np.ndarray:
         """Number among the head words of each of the chunk's words, or -1; the start of a text is the last number."""
         at = np.minimum(np.searchsorted(self.head, c.words), max(len(self.head) - 1, 0))
@@ -221,11 +244,12 @@ def _mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def tail_entries(c: Chunk, words: Words, buckets: int):
-    """(bucket, packed entries) of the pairs that aren't two head words: pair, document, times, fold, and the counts of context and token."""
+    """(bucket, packed entries) of the pairs that aren't two head words: document, times, fold, and either the numbers of context and
+    token in the table of all words, or the pair's hash and the counts of both."""
     context, token, doc = c.pairs()
     heads = words.heads(c)
     tail = (heads[context] < 0) | (heads[token] < 0)
-    context, token, doc = context[tail], token[tail], doc[tail]
+    context, token, doc = (x[tail].astype(np.int32) for x in (context, token, doc))
     hashes = np.append(c.words, START)
     key = _mix(hashes[context], hashes[token])
     order = np.lexsort((doc, key))
@@ -235,20 +259,32 @@ def tail_entries(c: Chunk, words: Words, buckets: int):
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(key)))
     key, context, token, doc = key[first], context[first], token[first], doc[first]
-    seen, rest = words.counts(c)
-    starts_seen, starts_rest = words.extra_starts
-    seen, rest = np.append(seen, starts_seen), np.append(rest, starts_rest)
+    small = np.uint16 if len(c.ids) <= 1 << 16 else np.uint32
+    columns = [doc.astype(small), np.minimum(times, 2**32 - 1).astype(np.uint32), c.folds[doc].astype(np.uint8)]
+    if words.all is not None:
+        number = words.numbers(c)
+        columns += [number[context], number[token]]
+    else:
+        seen, rest = (np.append(x, y) for x, y in zip(words.counts(c), words.extra_starts, strict=True))
+        columns += [key, *(x.astype(np.uint64) for x in (seen[context], rest[context], seen[token], rest[token]))]
     of = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
+    # in order of the context within a bucket: its bytes then pack well
+    order = np.lexsort((columns[4] if words.all is not None else key, columns[3], of))
     cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-    small = np.uint16 if len(c.ids) <= 1 << 16 else np.uint32
     for b in range(buckets):
         some = order[cuts[b] : cuts[b + 1]]
         if len(some):
-            d = doc[some]
-            columns = (key[some], d.astype(small), np.minimum(times[some], 2**32 - 1).astype(np.uint32), c.folds[d].astype(np.uint8))
-            columns += tuple(x.astype(np.uint32 if x.max(initial=0) < 2**32 else np.uint64) for x in (seen[context[some]], rest[context[some]], seen[token[some]], rest[token[some]]))
-            yield b, _pack(*columns)
+            yield b, _pack(*(x[some] for x in columns))
+
+
+def opened(columns: list[np.ndarray], words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the entries' last columns: a key of the pair, and the counts (context's seen and rest, token's seen and rest)."""
+    if words.all is None:
+        return columns[0], [x.astype(np.float64) for x in columns[1:]]
+    context, token = columns
+    seen, rest = (np.concatenate([x, [0, y]]) for x, y in zip((words.seen, words.rest), words.extra_starts, strict=True))
+    key = (context.astype(np.uint64) << np.uint64(32)) | token
+    return key, [x.astype(np.float64) for x in (seen[context], rest[context], seen[token], rest[token])]
 
 
 def head_counts(chunks: DataFrame, words: Words) -> DataFrame:
@@ -345,7 +381,10 @@ def score_documents(docs: DataFrame, folds: int = 10, broadcast_words: int = BRO
     if v <= broadcast_words:
         known = counts.toArrow()
         order = np.argsort(known["word"].to_numpy().view(np.uint64))
-        words.all, words.seen, words.rest = known["word"].to_numpy().view(np.uint64)[order], known["seen"].to_numpy()[order], known["rest"].to_numpy()[order]
+        narrow = np.int32 if n < 1 << 31 else np.int64
+        words.all = known["word"].to_numpy().view(np.uint64)[order]
+        words.seen, words.rest = (known[c].to_numpy()[order].astype(narrow) for c in ("seen", "rest"))
+        del known, order
     else:
         chunks = staged(with_counts(chunks, counts), "lm-counted-chunks")
     # every document starts once, and ends once: the starts are counted as the end tokens are
@@ -381,12 +420,15 @@ def score_documents(docs: DataFrame, folds: int = 10, broadcast_words: int = BRO
         for b in sorted(held):
             parts = [_unpack(p) for _, p in held[b]]
             chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            key, doc, times, fold, *own = (np.concatenate(c) for c in zip(*parts, strict=True))
+            held[b] = [(c, None) for c, _ in held[b]]
+            doc, times, fold, *own = (np.concatenate(c) for c in zip(*parts, strict=True))
+            del parts
+            key, own = opened(own, sent.value)
             _, of = np.unique(key, return_inverse=True)
             times = times.astype(np.float64)
             seen = np.bincount(of, weights=times * (fold != 0))[of]
             rest = np.bincount(of, weights=times * (fold > 1))[of]
-            yield [c for c, _ in held[b]], chunk, doc.astype(np.int64), times, fold, seen, rest, [o.astype(np.float64) for o in own]
+            yield [c for c, _ in held[b]], chunk, doc.astype(np.int64), times, fold, seen, rest, own
             held[b] = []
 
     def histogram(rows):
