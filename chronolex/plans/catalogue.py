@@ -1,10 +1,12 @@
-"""All queries of the library and their oracle SQL, gathered from the operator modules."""
+"""All queries of the library and their oracle SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: tuple = ()
+from chronolex.plans import retrieval_queries, temporal_queries, text_queries
+
+MODULES = (text_queries, temporal_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable]:
