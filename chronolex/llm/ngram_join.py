@@ -37,10 +37,10 @@ from chronolex.llm.graph import components
 
 _hashes = WordHashes()
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-HEAVY = 64  # texts that hold a shingle, by counts within stretches of texts, from which it is heavy
+HEAVY = 16  # texts that hold a shingle, by counts within stretches of texts, from which it is heavy
 MOST_HEAVY = 500_000  # of these the most frequent are kept: 4 MB
 BROADCAST_ROWS = 500_000
-STRETCH = 4_000_000  # shingles of a stretch that is counted at once
+STRETCH = 3_000_000  # shingles of a stretch that is counted at once
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -121,10 +121,10 @@ def choose_boundary(sizes: dict[int, int], t: Fraction, most: int = 64) -> int:
     return min(range(most + 1), key=lambda x: (cost(x), -x))
 
 
-def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarray) -> np.ndarray:
-    """Keys of a sorted set: subsets when small, the light-first prefix when large (both, near the boundary)."""
+def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set and their places: subsets (place 0) when small, the light-first prefix when large (both, near the boundary)."""
     n = len(members)
-    made = []
+    made, places = [], []
     if math.ceil(t * n) <= boundary:
         total = members.sum(dtype=np.uint64)
         for c in subset_sizes(n, t, boundary):
@@ -135,7 +135,8 @@ def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarra
                 out = total - members
             else:
                 out = np.array([members[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), c)], np.uint64)
-            made.append(mix64(out ^ tag))
+            made.append(np.unique(mix64(out ^ tag)))
+            places.append(np.zeros(len(made[-1]), np.int64))
     if n > boundary:
         p = prefix_length(n, t)
         known = np.zeros(n, bool)
@@ -147,7 +148,10 @@ def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarra
         if len(first) < p:
             first = np.concatenate([first, members[known][: p - len(first)]])
         made.append(mix64(first))
-    return np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)
+        places.append(np.arange(len(first)))
+    if not made:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(made), np.concatenate(places)
 
 
 def _sets(batches, k: int, named=("doc_id", "text")) -> Iterator[tuple[int, np.ndarray]]:
@@ -199,32 +203,35 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, k: int, t: Fraction, boundary: int, heavy: np.ndarray) -> DataFrame:
-    """(key, doc_id) for every signature; of equal sets in a batch only the first is keyed."""
+    """(key, doc_id, place) for every signature; of equal sets in a batch only the first is keyed."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
         for batch in batches:
-            seen, keys, ids, held = set(), [], [], 0
+            seen, keys, places, ids, held = set(), [], [], [], 0
 
             def packed():
                 lengths = [len(x) for x in keys]
-                return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths))], ["key", "doc_id"])
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.concatenate(places).astype(np.int32))]
+                return pa.record_batch(columns, ["key", "doc_id", "place"])
 
             for doc_id, members in _sets([batch], k):
                 mark = (len(members), int(members.sum(dtype=np.uint64)), int(mix64(members).sum(dtype=np.uint64)))
                 if not len(members) or mark in seen:
                     continue
                 seen.add(mark)
-                keys.append(signatures(members, t, boundary, sent.value))
+                made, at = signatures(members, t, boundary, sent.value)
+                keys.append(made)
+                places.append(at)
                 ids.append(doc_id)
                 held += len(keys[-1])
                 if held > 200_000:
                     yield packed()
-                    keys, ids, held = [], [], 0
+                    keys, places, ids, held = [], [], [], 0
             if keys:
                 yield packed()
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "key long, doc_id long, place int")
 
 
 def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -296,13 +303,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     # lists of several texts; their texts as classes with set sizes
     shared = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     members = lists.join(shared, "key").join(of_class.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-    members = members.select("key", F.coalesce("b", "doc_id").alias("node")).distinct()
+    members = members.groupBy("key", F.coalesce("b", "doc_id").alias("node")).agg(F.min("place").alias("place"))
     nodes = full.groupBy(F.col("doc_id").alias("node")).agg(F.min_by(F.struct("n", "bits"), F.struct("n", "f1", "f2")).alias("s"))
     nodes = staged(nodes.select("node", "s.n", "s.bits"), "bitmaps")
     members = staged(members.join(nodes.select("node", "n"), "node"), "list-members")
-    hubs = members.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"))
-    close = F.lit(t.denominator) * F.least("n", "n2") >= F.lit(t.numerator) * F.greatest("n", "n2")
-    stars = members.join(hubs, "key").select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("n", "node", "place")).alias("hub"))
+    # sizes that can be linked; and, if the list is the first the two share, enough shingles from its place on
+    p, q = t.numerator, t.denominator
+    close = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (p + q) >= (F.col("n") + F.col("n2")) * p)
+    stars = members.join(hubs, "key").select(F.col("node").alias("a"), "n", "place", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"))
     stars = stars.filter((F.col("a") != F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
     able = plausible(stars.select("a", "b"), nodes, t).join(stars, ["a", "b"])
     # of several hubs the one with the most lists in common; pairs that this leaves apart come below
@@ -315,7 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     apart = staged(apart, "list-components")
     split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = apart.join(split, "key")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
     cross = rest.withColumnRenamed("node", "a").join(other, "key").filter((F.col("component") < F.col("component2")) & close).select("a", "b").distinct()
     cross = cross.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     more = verified(docs, staged(plausible(cross, nodes, t), "cross-pairs"), k, t)
