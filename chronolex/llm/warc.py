@@ -95,8 +95,11 @@ def parse_record(body: bytes) -> tuple:
     kind, digest = fields[b"warc-type"], fields.get(b"warc-payload-digest", "").removeprefix("sha1:") or None
     if kind == "revisit":
         payload = None
-    elif digest != (digest := sha1_base32(payload)) or length != len(payload):
-        raise ValueError("payload and header disagree")
+    else:
+        made = sha1_base32(payload)
+        if digest not in (None, made) or length != len(payload):
+            raise ValueError("payload and header disagree")
+        digest = made
     refers = fields.get(b"warc-refers-to")
     return fields[b"warc-record-id"][1:-1], kind, fields.get(b"warc-target-uri"), refers and refers[1:-1], digest, length, payload
 
