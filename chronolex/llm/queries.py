@@ -77,5 +77,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OP2 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, html, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+  g AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::INT) AS parts FROM d)
+  SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(parts, lambda v: substr('{_BASE32}', ((v >> 15) & 31) + 1, 1) || substr('{_BASE32}', ((v >> 10) & 31) + 1, 1)
+    || substr('{_BASE32}', ((v >> 5) & 31) + 1, 1) || substr('{_BASE32}', (v & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g"""
+_OP6 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others encode, learn, search approximately or follow links: they are tested against brute force instead."""
+    return {"op2_warc": _OP2, "op6_metric_tree_topk": _OP6}
