@@ -11,7 +11,7 @@ Two sets of sizes a <= b with Jaccard >= t share c(a, b) = ceil(t (a + b) / (1 +
 * The boundary is where subsets to enumerate plus entries to list, from the counts of set sizes, cost least.
 
 Equal sets are one class from the start, summed before the shuffle. Lists are not expanded into pairs at
-first: each class of a list is compared with the list's smallest; what that links falls into components,
+first: each class of a list is compared with the list's hub; what that links falls into components,
 and only classes of a list that are still in different components are compared with each other. So no
 link between components is lost, and large groups of copies stay linear. All comparisons are exact, on
 64-bit hashes of shingles (of 64-bit hashes of words).
@@ -307,7 +307,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
     nodes = full.groupBy(F.col("doc_id").alias("node")).agg(F.min_by(F.struct("n", "bits"), F.struct("n", "f1", "f2")).alias("s"))
     nodes = staged(nodes.select("node", "s.n", "s.bits"), "bitmaps")
     members = staged(members.join(nodes.select("node", "n"), "node"), "list-members")
-    hubs = members.groupBy("key").agg(F.min(F.struct("n", "node", "place")).alias("hub"))
+    # a list's hub has the fewest light shingles before it: in a group of copies that is the text they come from, or near it
+    hubs = members.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub"))
     # sizes that can be linked; and, if the list is the first the two share, enough shingles from its place on
     p, q = t.numerator, t.denominator
     close = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (p + q) >= (F.col("n") + F.col("n2")) * p)
