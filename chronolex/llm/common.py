@@ -116,6 +116,18 @@ class WordHashes:
         return self._hashes[numbers]
 
 
+_memo: dict = {}
+
+
+def memo(key, make):
+    """What a Python worker remembers between tasks, made at first use. A worker holds one such thing: asking for
+    another, as a later stage of a pipeline does, lets go of it."""
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = make()
+    return _memo[key]
+
+
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of consecutive runs of the given lengths, and for each element the number of its run."""
     ends = np.cumsum(lengths)

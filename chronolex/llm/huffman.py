@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import Interner, discard, staged, work_path
+from chronolex.llm.common import Interner, discard, memo, staged, work_path
 
 MAGIC = b"CLHUF01\n"
 HEAD = struct.Struct("<8sQQQIII")
@@ -145,9 +145,8 @@ class _Lists:
         return self._ids[np.repeat(self._starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1])], lengths
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return memo(("word encoder", path), lambda: WordEncoder(path))
 
 
 def id_type(vocabulary: int) -> str:

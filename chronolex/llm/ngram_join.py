@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import WordHashes, discard, mix64, staged, words_of
+from chronolex.llm.common import WordHashes, discard, memo, mix64, staged, words_of
 from chronolex.llm.graph import components
 
-_hashes = WordHashes()
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 HEAVY = 16  # texts that hold a shingle, by counts within stretches of texts, from which it is heavy
 MOST_HEAVY = 500_000  # of these the most frequent are kept: 4 MB
@@ -47,7 +46,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's k-word shingles; shorter texts are one shingle of their own length."""
     words = [words_of(text) for text in texts]
     counts = np.array([len(w) for w in words], np.int64)
-    h = _hashes([w for ws in words for w in ws])
+    h = memo("word hashes", WordHashes)([w for ws in words for w in ws])
     starts = np.cumsum(counts) - counts
     total = np.zeros(max(len(h) - k + 1, 0), np.uint64)
     if len(total):

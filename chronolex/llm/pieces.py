@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import Interner
+from chronolex.llm.common import Interner, memo
 
 MARK = "▁"
 _MEMO_UNITS = 600_000
@@ -350,9 +350,8 @@ def _smallest(gaps: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([below, same[: k - len(below)]])
 
 
-@lru_cache(maxsize=2)
 def _segmenter(path: str) -> Segmenter:
-    return Segmenter(path)
+    return memo(("segmenter", path), lambda: Segmenter(path))
 
 
 def segmented(docs: DataFrame, model: str, n: int = 3) -> DataFrame:

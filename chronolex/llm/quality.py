@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import WordHashes, crc_fold, segments
+from chronolex.llm.common import WordHashes, crc_fold, memo, segments
 
 BUCKETS = 1 << 13
 FACTORS = 8
@@ -49,17 +49,14 @@ class Features:
     dense: np.ndarray
 
 
-_hashes = WordHashes()
-
-
 def features(texts: list[str | None], n_chars: list[int | None]) -> Features:
     dense = np.zeros((len(texts), len(STATISTICS)))
-    hashed, counts = [], []
+    hashed, counts, hashes = [], [], memo("word hashes", WordHashes)
     for i, (text, chars) in enumerate(zip(texts, n_chars, strict=True)):
         raw = (text or "").encode()
         words = raw.split()
         counts.append(len(words))
-        hashed.append(_hashes(raw.lower().split()) if words else np.empty(0, np.uint64))
+        hashed.append(hashes(raw.lower().split()) if words else np.empty(0, np.uint64))
         dense[i, 13:] = np.log1p(max(chars or 0, 0)), chars is None
         if not words:
             continue
