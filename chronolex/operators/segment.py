@@ -122,8 +122,9 @@ def sliding_windows(texts: DataFrame, size: int = 512, overlap: int = 64) -> Dat
     raw = F.encode("text", "utf-8")
     step = size - overlap
     rows = texts.withColumn("_n", F.octet_length("text")).filter("_n > 0").withColumn("byte_start", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(step))))
-    piece = F.make_valid_utf8(F.substring(raw, F.col("byte_start") + 1, size).cast("string"))
-    rows = rows.withColumn("_piece", F.replace(piece, F.lit("\ufffd"), F.lit("")))
+    broken = lambda at, pattern: (F.length(F.regexp_extract(F.hex(F.substring(raw, F.col("byte_start") + at, 3)), pattern, 1)) / 2).cast("int")
+    head, tail = broken(1, "^((?:[89AB].)*)"), broken(size - 2, "^(?:..)*?([C-F].|[EF].[89AB].|F.[89AB].[89AB].)$")
+    rows = rows.withColumn("_piece", F.substring(raw, F.col("byte_start") + 1 + head, size - head - tail).cast("string"))
     cut = F.length("_piece") - F.locate(" ", F.reverse("_piece"))
     last = F.col("byte_start") + size >= F.col("_n")
     shorter = (~last) & (F.locate(" ", F.reverse("_piece")) > 0) & (cut > size / 2)

@@ -38,7 +38,7 @@ def _hier(s, d):
 
 
 def _sliding(s, d):
-    texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text").filter(F.octet_length("text") == F.length("text"))
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
     out = sg.sliding_windows(texts)
     return out.select("document_id", "window", F.sha2("text", 256).alias("digest"), "byte_start", "byte_end")
 
