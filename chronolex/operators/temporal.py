@@ -193,19 +193,17 @@ def metadata_conflicts(spans: DataFrame) -> DataFrame:
 def text_conflicts(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of different documents of one query whose word sets have Jaccard above the threshold.
 
-    Candidates share one of the rarest words of both (prefix filter), so no query's spans are all paired."""
+    Candidates share one of the rarest words of both, early enough in each (prefix and positional filter), so no query's spans are all paired."""
     worded = spans.withColumn("words", word_set(F.col("text")))
     frequency = worded.select("query_id", F.explode("words").alias("word")).groupBy("query_id", "word").count()
-    ranked = worded.select("query_id", "span_id", F.explode("words").alias("word"), F.size("words").alias("n")).join(frequency, ["query_id", "word"])
+    ranked = worded.select("query_id", "span_id", "words", "document_id", "precedence_weight", "effective_date", F.explode("words").alias("word"), F.size("words").alias("n")).join(frequency, ["query_id", "word"])
     order = Window.partitionBy("query_id", "span_id").orderBy("count", "word")
     prefix = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    prefix = prefix.select("query_id", "word", "span_id")
-    found = prefix.withColumnRenamed("span_id", "first").join(prefix.withColumnRenamed("span_id", "second"), ["query_id", "word"])
-    found = found.filter("first < second").select("query_id", "first", "second").distinct()
-    side = lambda name: worded.select("query_id", F.col("span_id").alias(name), F.col("words").alias(f"w_{name}"), F.col("document_id").alias(f"d_{name}"), F.col("precedence_weight").alias(f"p_{name}"), F.col("effective_date").alias(f"e_{name}"))
-    pairs = found.join(side("first"), ["query_id", "first"]).join(side("second"), ["query_id", "second"])
-    similar = jaccard(F.col("w_first"), F.col("w_second"))
-    pairs = pairs.withColumn("similarity", similar).filter((F.col("similarity") > threshold) & (F.col("d_first") != F.col("d_second")))
+    side = lambda name: prefix.select("query_id", "word", F.col("span_id").alias(name), *[F.col(c).alias(f"{c[0]}_{name}") for c in ("words", "document_id", "precedence_weight", "effective_date", "n", "rank")])
+    pairs = side("first").join(side("second"), ["query_id", "word"]).filter((F.col("first") < F.col("second")) & (F.col("d_first") != F.col("d_second")))
+    most = 1 + F.least(F.col("n_first") - F.col("r_first"), F.col("n_second") - F.col("r_second"))  # words that the two can share from this one on
+    pairs = pairs.filter(most >= (F.col("n_first") + F.col("n_second")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = pairs.withColumn("similarity", jaccard(F.col("w_first"), F.col("w_second"))).filter(F.col("similarity") > threshold).dropDuplicates(["query_id", "first", "second"])
     later = F.when((F.col("e_second") > F.col("e_first")), F.col("second")).otherwise(F.col("first"))
     winner = F.when(F.col("p_first") > F.col("p_second"), F.col("first")).when(F.col("p_first") < F.col("p_second"), F.col("second")).otherwise(later)
     return pairs.select("query_id", "first", "second", "similarity", winner.alias("winner"))
@@ -213,7 +211,7 @@ def text_conflicts(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def resolve_conflicts(spans: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Spans that win a conflict or are in none."""
-    sides = conflicts.select("query_id", F.col("first").alias("span_id"), "winner").unionByName(conflicts.select("query_id", F.col("second").alias("span_id"), "winner"))
+    sides = conflicts.select("query_id", F.explode(F.array("first", "second")).alias("span_id"), "winner")
     lost = sides.groupBy("query_id", "span_id").agg(F.max((F.col("winner") == F.col("span_id")).cast("int")).alias("won")).filter("won = 0")
     return spans.join(lost, ["query_id", "span_id"], "left_anti")
 

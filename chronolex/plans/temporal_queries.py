@@ -34,7 +34,7 @@ def _diff(s, d):
 
 def _resolved(s, d):
     spans = temporal(s, d)
-    return tp.resolve_conflicts(spans, tp.text_conflicts(spans, 0.9)).select("query_id", "span_id")
+    return tp.resolve_conflicts(spans, tp.text_conflicts(spans)).select("query_id", "span_id")
 
 
 def _statistics(s, d):
@@ -65,7 +65,7 @@ QUERIES = {
     "supersession_edges": lambda s, d: tp.supersession_edges(temporal(s, d)),
     "precedence_score": lambda s, d: temporal(s, d).select("span_id", F.round(tp.precedence_score(_DATE(AS_OF)), 6).alias("score")),
     "meta_conflicts": lambda s, d: tp.metadata_conflicts(temporal(s, d)),
-    "text_conflicts": lambda s, d: tp.text_conflicts(temporal(s, d), 0.9).withColumn("similarity", F.round("similarity", 6)),
+    "text_conflicts": lambda s, d: tp.text_conflicts(temporal(s, d)).withColumn("similarity", F.round("similarity", 6)),
     "conflict_resolve": _resolved,
     "answer_diff": _diff,
     "change_score": lambda s, d: tp.change_score(_diff(s, d)).withColumn("change_score", F.round("change_score", 6)),

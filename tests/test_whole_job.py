@@ -1,10 +1,14 @@
 """Queries take all rows of their tables, held against brute force on small tables."""
 
 import hashlib
+import itertools
+import re
+from datetime import datetime
 
 import pytest
 
 from chronolex.plans import catalogue
+from chronolex.plans.inputs import temporal
 
 
 @pytest.fixture
@@ -37,3 +41,31 @@ def test_sliding_chunks_of_every_document(run):
     want = {(d, *w) for d, text in enumerate(texts) for w in windows(text)}
     assert len(found) == len(want)
     assert {(r["document_id"], r["window"], r["digest"], r["byte_start"], r["byte_end"]) for r in found} == want
+
+
+def conflicts(spans, threshold=0.8):
+    """{(query_id, first, second): (similarity, winner)} over all pairs, as pipeline/temporal_engine.py compares them."""
+    words, found = {x["span_id"]: set(re.sub(r"\W+", " ", x["text"].lower()).split()) for x in spans}, {}
+    for a, b in itertools.combinations(sorted(spans, key=lambda x: x["span_id"]), 2):
+        if a["query_id"] == b["query_id"] and a["document_id"] != b["document_id"]:
+            one, two = words[a["span_id"]], words[b["span_id"]]
+            similarity = len(one & two) / len(one | two)
+            if similarity > threshold:
+                wins = b if (b["precedence_weight"], b["effective_date"]) > (a["precedence_weight"], a["effective_date"]) else a
+                found[a["query_id"], a["span_id"], b["span_id"]] = (round(similarity, 6), wins["span_id"])
+    return found
+
+
+def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
+    kinds = ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"]
+    orders = [(k, 50 * (k * 7 % 40) + k % 2, datetime(1995, 1, 1 + k % 5), kinds[k * 5 % 11 % 4]) for k in range(400)]
+    found = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
+    spans = [r.asDict() for r in temporal(spark, str(tmp_path)).collect()]
+    want = conflicts(spans)
+    assert any(s <= 0.9 for s, _ in want.values()) and any(s > 0.9 for s, _ in want.values())
+    assert {(r["query_id"], r["first"], r["second"]): (r["similarity"], r["winner"]) for r in found} == want and len(found) == len(want)
+    sides = {(x, w == x) for (_, *pair), (_, w) in want.items() for x in pair}
+    lost = {x for x, won in sides if not won and (x, True) not in sides}
+    kept = catalogue.queries()["conflict_resolve"](spark, str(tmp_path)).collect()
+    assert sorted(r["span_id"] for r in kept) == sorted(x["span_id"] for x in spans if x["span_id"] not in lost)
+    assert lost - {x for (_, *pair), (s, _) in want.items() if s > 0.9 for x in pair}
