@@ -19,6 +19,7 @@ from chronolex.plans.temporal_queries import _kept
 from chronolex.operators.temporal import active_spans
 
 K = 10
+DEPTH = 100  # of the lists that training and its metrics look through
 
 
 def _chunks(s, d):
@@ -29,18 +30,18 @@ def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _dense(s, d):
+def _dense(s, d, k=K):
     vectors = ix.unit_vectors(table(s, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"))
     asked = vectors.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
-    return rt.dense(asked, vectors.select("chunk_id", "v"), K)
+    return rt.dense(asked, vectors.select("chunk_id", "v"), k)
 
 
-def _bm25(s, d):
-    return rt.bm25(_queries(s, d), _chunks(s, d), K)
+def _bm25(s, d, k=K):
+    return rt.bm25(_queries(s, d), _chunks(s, d), k)
 
 
-def _sparse(s, d):
-    return rt.sparse(_queries(s, d), _chunks(s, d), K)
+def _sparse(s, d, k=K):
+    return rt.sparse(_queries(s, d), _chunks(s, d), k)
 
 
 def _fused(s, d):
@@ -53,7 +54,7 @@ def _hybrid(s, d):
 
 
 def _rrf(s, d):
-    out = rt.top(rt.reciprocal_rank(_dense(s, d), _sparse(s, d), _bm25(s, d)), K)
+    out = rt.top(rt.reciprocal_rank(_dense(s, d, 2 * K), _sparse(s, d, 2 * K), _bm25(s, d, 2 * K)), K)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -203,13 +204,13 @@ def _importance(s, d):
 def _hard_negatives(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
     positives = label.alias("a").join(label.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), F.col("label") == F.col("own")).select("query_id", "chunk_id")
-    return tr.hard_negatives(_dense(s, d), positives, 5).withColumn("n", F.col("n").cast("long"))
+    return tr.hard_negatives(_dense(s, d, DEPTH), positives).withColumn("n", F.col("n").cast("long"))
 
 
 def _ir_metrics(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
     positives = label.join(label.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), F.col("label") == F.col("own")).filter("query_id <> chunk_id").select("query_id", "chunk_id")
-    out = tr.retrieval_metrics(_dense(s, d), positives)
+    out = tr.retrieval_metrics(_dense(s, d, DEPTH), positives)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall_at_10", "recall_at_100", "map")])
 
 

@@ -2,12 +2,15 @@
 
 import hashlib
 import itertools
+import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from chronolex.plans import catalogue
+from chronolex.plans import retrieval_queries as rq
 from chronolex.plans.inputs import temporal
 
 
@@ -69,3 +72,46 @@ def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
     kept = catalogue.queries()["conflict_resolve"](spark, str(tmp_path)).collect()
     assert sorted(r["span_id"] for r in kept) == sorted(x["span_id"] for x in spans if x["span_id"] not in lost)
     assert lost - {x for (_, *pair), (s, _) in want.items() if s > 0.9 for x in pair}
+
+
+def test_depth_of_training_lists_and_fused_lists(run, spark, tmp_path):
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0.5, 1) for _ in range(8)] for _ in range(300)]
+    label = [rng.randrange(4) for _ in vectors]
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 30))) for _ in range(80)]
+    found = run(
+        "retrieval_metrics",
+        embeddings=([*zip(range(300), vectors, label)], "vec_id long, embedding array<float>, label int"),
+        documents=([(d, x, "en") for d, x in enumerate(texts)], "doc_id long, text string, lang string"),
+        benchmark=([(i, " ".join(rng.choices(words, k=6))) for i in range(5)], "item_id long, text string"),
+    )
+    got = {r["query_id"]: r for r in found}
+    unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for v in vectors]
+    negatives = {}
+    for x in catalogue.queries()["hard_negatives"](spark, str(tmp_path)).collect():
+        negatives.setdefault(x["query_id"], []).append((x["n"], x["chunk_id"]))
+    for q in got:
+        ranked = sorted((-round(float(unit[q] @ v), 6), c) for c, v in enumerate(unit))
+        ranked = [c for score, c in ranked if score < 0][:100]
+        own = {c for c in range(300) if label[c] == label[q] and c != q}
+        for k in (10, 100):
+            assert got[q][f"recall_at_{k}"] == round(len(own & set(ranked[:k])) / len(own), 6)
+        assert sorted(negatives[q]) == [*enumerate([c for c in ranked if label[c] != label[q]][:10], 1)]
+    assert any(r["recall_at_100"] > r["recall_at_10"] for r in found)
+
+    lists = {k: {} for k in ("dense", "sparse", "bm25")}
+    for name, hits in (("dense", rq._dense), ("sparse", rq._sparse), ("bm25", rq._bm25)):
+        for r in hits(spark, str(tmp_path), 1000).collect():
+            lists[name][r["query_id"], r["chunk_id"]] = r["rank"]
+    scores = {}
+    for ranks in lists.values():
+        for at, rank in ranks.items():
+            if rank <= 20:
+                scores[at] = scores.get(at, 0) + 1 / (60 + rank)
+    want = set()
+    for q in {q for q, _ in scores}:
+        best = sorted((-round(x, 6), c) for (i, c), x in scores.items() if i == q)[:10]
+        want |= {(q, c, -x) for x, c in best}
+    fused = catalogue.queries()["rrf_fuse"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in fused} == want and len(fused) == len(want)
