@@ -38,7 +38,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def normalize_unicode(text: Column) -> Column:
     """NFKC (the one step without a builtin), zero-width characters dropped, white space collapsed and trimmed."""
     bare = F.regexp_replace(nfkc(text), "[​‌‍﻿]", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(bare, r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+", " "))
 
 
 def dehyphenate(text: Column) -> Column:

@@ -65,8 +65,7 @@ def _fragments(s, d):
 
 
 def _nfkc(s, d):
-    rows = s.createDataFrame([(1, "ﬁne  ﾃｽﾄ​ x"), (2, "①² ｆｕｌｌ\t width﻿"), (3, "")], "id long, text string")
-    return rows.select("id", tx.normalize_unicode(F.col("text")).alias("text"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), tx.normalize_unicode(F.col("text")).alias("text"))
 
 
 QUERIES = {

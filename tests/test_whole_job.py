@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 from datetime import datetime
 
 import numpy as np
@@ -115,3 +116,10 @@ def test_depth_of_training_lists_and_fused_lists(run, spark, tmp_path):
         want |= {(q, c, -x) for x, c in best}
     fused = catalogue.queries()["rrf_fuse"](spark, str(tmp_path)).collect()
     assert {(r["query_id"], r["chunk_id"], r["score"]) for r in fused} == want and len(fused) == len(want)
+
+
+def test_nfkc_of_every_document(run):
+    texts = ["ﬁne  ﾃｽﾄ​ x", "①² ｆｕｌｌ\t width﻿", "", None, "a b　c d\x85e\x1cf ", "‍ ‌", "ﬃ नि‍यम \n" * 20_000, "plain"]
+    found = run("nfkc_normalize", documents=([*enumerate(texts)], "doc_id long, text string"))
+    clean = lambda t: re.sub(r"\s+", " ", re.sub("[​‌‍﻿]", "", unicodedata.normalize("NFKC", t))).strip()
+    assert {r["id"]: r["text"] for r in found} == {i: t if t is None else clean(t) for i, t in enumerate(texts)}
