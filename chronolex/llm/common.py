@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: `[^\x20\x09-\x0D]+` of the contracts; bytes.split() without arguments cuts at the same bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_MEMO_WORDS = 700_000
+#: What a worker may remember of words, in bytes by rough count: of each word its own bytes and ENTRY_BYTES.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
+_BATCH_BYTES, _BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to 8 MB: by rows alone, batches of long texts hold gigabytes."""
+    if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > _BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(_BATCH_BYTES))
+
+
 def work_path(spark: SparkSession, name: str) -> str:
+    _bounded_batches(spark)
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,9 +66,18 @@ def discard(*frames: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(column, folds: int):
     """crc32 of the id as decimal text, modulo folds; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -100,10 +123,10 @@ class WordHashes:
     """64-bit hashes of words, each computed once per worker as long as it stays among the remembered ones."""
 
     def __init__(self):
-        self._interner, self._hashes, self._filled = Interner(), np.empty(1 << 16, np.uint64), 0
+        self._interner, self._hashes, self._filled, self._bytes = Interner(), np.empty(1 << 16, np.uint64), 0, 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self._interner) > _MEMO_WORDS:
+        if self._bytes > MEMO_BYTES:
             self.__init__()
         numbers = self._interner.numbers(words)
         fresh = self._interner.new[self._filled :]
@@ -113,9 +136,14 @@ class WordHashes:
                 self._hashes = np.concatenate([self._hashes, np.empty(len(self._hashes), np.uint64)])
             self._hashes[self._filled : self._filled + len(made)] = made
             self._filled += len(made)
+            self._bytes += memo_bytes(fresh)
         return self._hashes[numbers]
 
 
+def memo_bytes(words: list[bytes]) -> int:
+    return sum(map(len, words)) + ENTRY_BYTES * len(words)
+
+
 _memo: dict = {}
 
 
@@ -123,11 +151,34 @@ def memo(key, make):
     """What a Python worker remembers between tasks, made at first use. A worker holds one such thing: asking for
     another, as a later stage of a pipeline does, lets go of it."""
     if key not in _memo:
-        _memo.clear()
+        forget()
         _memo[key] = make()
     return _memo[key]
 
 
+def forget() -> None:
+    """Let go of what the worker remembers, down to the system: workers outlive stages, and their memory adds up."""
+    if _memo:
+        _memo.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps what it was given
+            pass
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with at most `rows` rows and, but for a longer text alone, `size` bytes of text."""
+    lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of consecutive runs of the given lengths, and for each element the number of its run."""
     ends = np.cumsum(lengths)

@@ -17,7 +17,8 @@ can be decoded from its checkpoint alone, and the reader decodes all blocks of a
 by table look-up. A damaged or foreign file is refused with an error.
 
 Null texts encode as empty ones. Documents stand by (doc_id, ids), null ids first, so that equal ids and
-repeated rows each keep their own entry. An empty table makes no file and gives an empty result.
+repeated rows each keep their own entry. A very long text is one document of one chunk, encoded whole. Other
+columns are not read, whatever their names. An empty table makes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import Interner, discard, memo, staged, work_path
+from chronolex.llm.common import MEMO_BYTES, Interner, discard, memo, memo_bytes, slices, staged, work_path
 
 MAGIC = b"CLHUF01\n"
 HEAD = struct.Struct("<8sQQQIII")
@@ -41,7 +42,7 @@ BLOCK = 1024
 LIMIT = 16
 CHUNK_IDS = 2_000_000
 FILE_IDS = 8_000_000
-_MEMO_WORDS = 1_200_000
+_MEMO_BYTES = 5 * MEMO_BYTES
 
 
 # --- encoding texts -------------------------------------------------------------------------------
@@ -52,7 +53,8 @@ class WordEncoder:
     Words are looked up among those seen by this worker; a new word is cut into runs of letters, single
     digits and runs of signs, and new runs are encoded many in one call. A token that ends a run is told by
     the vocabulary's end-of-word mark. Words with anything but plain letters, digits and signs (apostrophes,
-    combining marks, other scripts, special tokens) are encoded each as it stands."""
+    combining marks, other scripts) are encoded each as it stands. The tokenizer looks for its added tokens before
+    it lower-cases, so a word that spells one in any case is kept in its own."""
 
     LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xca][\x80-\xbf])"
     SIGNS = rb"[!-&(-/:;=-`{-~]"
@@ -66,10 +68,11 @@ class WordEncoder:
         self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith(self.END) for i in range(size)])
         self._plain = re.compile(rb"(?:%s+|[0-9]|%s+)+" % (self.LETTER, self.SIGNS)).fullmatch
         self._runs = re.compile(rb"%s+|[0-9]|%s+" % (self.LETTER, self.SIGNS)).findall
+        self._added = [t.content.encode().lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self._words, self._parts = Interner(), Interner()
+        self._words, self._parts, self._bytes = Interner(), Interner(), 0
         self._of_words, self._of_parts = _Lists(), _Lists()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -107,18 +110,28 @@ class WordEncoder:
         self._of_words.extend(ids, per_word)
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        if len(self._words) > _MEMO_WORDS:
+        if self._bytes > _MEMO_BYTES:
             self._forget()
-        per_text = [text.encode("utf-8").lower().split() if text else [] for text in texts]
+        per_text = [self._split(text.encode("utf-8")) if text else [] for text in texts]
         numbers = self._words.numbers([w for words in per_text for w in words])
-        if len(self._words.new) > len(self._of_words):
-            self._learn(self._words.new[len(self._of_words) :])
+        fresh = self._words.new[len(self._of_words) :]
+        if fresh:
+            self._learn(fresh)
+            self._bytes += memo_bytes(fresh)
         at = 0
         for words in per_text:
             yield self._of_words.take(numbers[at : at + len(words)])[0]
             at += len(words)
 
 
+    def _split(self, raw: bytes) -> list[bytes]:
+        low = raw.lower()
+        words = low.split()
+        if any(x in low for x in self._added):
+            words = [own if any(x in w for x in self._added) else w for own, w in zip(raw.split(), words, strict=True)]
+        return words
+
+
 class _Lists:
     """Growing list of id lists."""
 
@@ -162,8 +175,7 @@ def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -
         encoder = _encoder(tokenizer)
         end = np.array([end_id], kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch):
                 ids = [np.concatenate([made.astype(kind), end]).tobytes() for made in encoder.batch(some["text"].to_pylist())]
                 yield pa.record_batch([some["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -306,7 +318,8 @@ def read_chunks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
 
 # --- the operator ---------------------------------------------------------------------------------
 def write_corpus(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIMIT, file_ids: int = FILE_IDS) -> None:
-    """tokens (doc_id, ids) into files of about file_ids ids under path, in ascending (doc_id, ids) order.
+    """tokens (doc_id, ids, and row, what tells repeated rows apart) into files of about file_ids ids under path, in
+    ascending (doc_id, ids) order. Rows of one doc_id and equal ids are split between files, too, by row.
 
     The counts that come to the driver are one number an id of the vocabulary."""
 
@@ -340,9 +353,9 @@ def write_corpus(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIM
             yield pa.record_batch([pa.array([write_chunk(coder, names, parts)], pa.binary())], ["value"])
 
     files = max(1, round(int(counts.sum()) / file_ids))
-    tie = F.xxhash64("ids")
-    placed = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), tie) if files > 1 else tokens.coalesce(1)
-    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(write, "value binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), *([F.col("row")] if "row" in tokens.columns else [])]
+    placed = tokens.repartitionByRange(files, *order) if files > 1 else tokens.coalesce(1)
+    placed = placed.sortWithinPartitions(*order).mapInArrow(write, "value binary")
     # the text sink writes the bytes of a string as they are; its line end is the newline after each chunk
     placed.select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
@@ -374,6 +387,7 @@ def corpus_file(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = L
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     tokens = staged(encoded(docs, tokenizer, vocabulary, end_id), "token-ids")
+    tokens = tokens.withColumn("row", F.xxhash64("_metadata.file_name", "_metadata.row_index"))  # the same at every reading
     path = work_path(spark, "huffman")
     write_corpus(tokens, path, vocabulary, limit, file_ids)
     discard(tokens)
