@@ -5,7 +5,7 @@ gzip magic (1F 8B 08); a piece belongs to the range in which it starts. A piece
 member if its gzip header decodes and its first inflated bytes are a WARC version line. The magic can
 also occur inside compressed data: a piece that meets an unfinished member continues it, and pieces
 before a range's first member go, with the unfinished last member of the range before, to a small
-second stage that joins them by (file, range). So every record is read once, by the task in whose range
+second stage that joins them by (file, range); so do empty members and pieces too short to tell. So every record is read once, by the task in whose range
 it starts, whatever the ranges are. Files need no index and no common record size.
 
 Writer. The text sink writes the bytes of a value as they are and ends it with one byte; that byte is
@@ -13,7 +13,9 @@ the last one of the member (the top byte of its length, 0 below 16 MiB), so that
 concatenated gzip members. A longer member is followed by an empty one, whose last byte is 0.
 
 Damaged members, bytes between members and records without a WARC header raise an error. Null urls
-leave their header out, null html is an empty payload, null ids are written as `null`.
+leave their header out, null html is an empty payload, null ids are written as `null`; repeated rows are
+records each. Very long payloads are one member each. Other columns of pages are not read, whatever their
+names; an empty table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import work_path
+from chronolex.llm.common import slices, staged, work_path
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROBE = 512
+BROADCAST_DIGESTS = 200_000  # some 15 MB
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 
@@ -42,13 +45,13 @@ def sha1_base32(payload: bytes) -> str:
 
 
 # --- members --------------------------------------------------------------------------------------
-def record_member(record_id: str, record_type: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """A response with its payload, or a revisit that names the record which has the payload; as one gzip member."""
+def record_member(record_id: str, record_type: str, uri: str | None, payload: bytes | None, length: int, digest: str, refers_to: str | None) -> bytes:
+    """A response with its payload, or a revisit that names the record which has the payload of that length; as one gzip member."""
     lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}"]
     if uri is not None:
         lines.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
-    block = _HTTP % len(payload)
+    block = _HTTP % length
     if record_type == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
     else:
@@ -80,13 +83,21 @@ def opens_record(piece: bytes) -> bool:
     return start.startswith(b"WARC/1.")
 
 
+def _header_text(value: bytes) -> str:
+    """UTF-8, as the standard has it, or else Latin-1."""
+    try:
+        return value.decode()
+    except UnicodeDecodeError:
+        return value.decode("latin-1")
+
+
 def parse_record(body: bytes) -> tuple:
     """A decompressed member as a row of RECORD."""
     head, cut, rest = body.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not cut or not lines[0].startswith(b"WARC/1."):
         raise ValueError("no WARC header")
-    fields = {k.strip().lower(): v.strip().decode() for k, _, v in (line.partition(b":") for line in lines[1:])}
+    fields = {k.strip().lower(): _header_text(v.strip()) for k, _, v in (line.partition(b":") for line in lines[1:])}
     block = rest[: int(fields[b"content-length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("record length and content disagree")
@@ -126,13 +137,15 @@ class _Member:
         return parse_record(body) if body else None
 
 
-def join_pieces(pieces: Iterator[bytes]) -> Iterator[tuple[str, object]]:
-    """Pieces of one range in order -> ("record", row), ("orphan", piece) before the first member, ("tail", bytes) of an unfinished last one."""
+def join_pieces(pieces: Iterator[bytes], known: bool = False) -> Iterator[tuple[str, object]]:
+    """Pieces of one range in order -> ("record", row), ("orphan", piece) before the first member, ("tail", bytes) of an unfinished last one.
+
+    known: what follows a whole member, and comes first, is a member; else what can't be told to open a record is an orphan."""
     member = None
     for piece in pieces:
         if member is not None and not member.whole:
             member.feed(piece)
-        elif member is None and not opens_record(piece):
+        elif member is None and not known and not opens_record(piece):
             yield "orphan", piece
             continue
         else:
@@ -199,7 +212,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         found, pieces = [], [bytes(x) for x in pdf.sort_values(["start", "nth"])["piece"]]
-        for what, x in join_pieces(iter(pieces)):
+        # here what an unfinished member lacks follows it, so anything else opens a member: an empty one, or one that
+        # a false magic cuts too early to tell at the start of its range
+        for what, x in join_pieces(iter(pieces), known=True):
             if what != "record":
                 raise ValueError("an archive has bytes that belong to no record")
             found += [x] * (x is not None)
@@ -213,19 +228,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 # --- writing --------------------------------------------------------------------------------------
 def write_warc(records: DataFrame, path: str) -> None:
-    """records (record_id, record_type, target_uri, payload, payload_digest, refers_to) as archives under path, one a task."""
+    """records (record_id, record_type, target_uri, payload: null for revisits, payload_length, payload_digest, refers_to) as archives under path, one a task."""
 
     def members(batches):
-        names = ("record_id", "record_type", "target_uri", "payload", "payload_digest", "refers_to")
+        names = ("record_id", "record_type", "target_uri", "payload", "payload_length", "payload_digest", "refers_to")
         for batch in batches:
-            made, held = [], 0
-            for record_id, kind, uri, payload, digest, refers in zip(*(batch[n].to_pylist() for n in names), strict=True):
-                made.append(sink_value(record_member(record_id, kind, uri, payload, digest, refers)))
-                held += len(made[-1])
-                if held > 8 << 20:
-                    yield pa.record_batch([pa.array(made, pa.binary())], ["value"])
-                    made, held = [], 0
-            yield pa.record_batch([pa.array(made, pa.binary())], ["value"])
+            for some in slices(batch, "payload"):
+                made = [sink_value(record_member(*row)) for row in zip(*(some[n].to_pylist() for n in names), strict=True)]
+                yield pa.record_batch([pa.array(made, pa.binary())], ["value"])
 
     written = records.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
     written.write.option("lineSep", "\0").option("compression", "none").text(path)
@@ -237,17 +247,19 @@ def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     that id and payload are responses each."""
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    # a digest has one row here, summed before the shuffle; only digests of several pages are joined
+    # a digest has one row here, summed before the shuffle; only digests of several pages are joined, where they are
+    # few enough without moving a payload
     kept = pages.filter(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
-    kept = kept.filter("n > 1").drop("n")
-    joined = pages.join(kept, ["sha1", "bytes"], "left")
+    kept = staged(kept.filter("n > 1").drop("n"), "warc-digests")
+    joined = pages.join(F.broadcast(kept) if kept.count() <= BROADCAST_DIGESTS else kept, ["sha1", "bytes"], "left")
     revisit = F.col("kept_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id"))
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
     return joined.select(
         name.alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        "payload",
+        F.when(~revisit, F.col("payload")).alias("payload"),
+        F.col("bytes").alias("payload_length"),
         base32_of_hex(F.col("sha1"), 40).alias("payload_digest"),
         F.when(revisit, F.concat(F.lit("urn:x-page:"), F.col("kept_id").cast("string"))).alias("refers_to"),
     )
