@@ -8,7 +8,9 @@ follow a seeded one, round the end; so documents stay whole but at the two ends
 document's share is the overlap of two intervals.
 
 Null or empty texts have size 0 and take 0 words; null sources are one source, the last; repeated
-rows are documents of their own. An empty table gives an empty result.
+rows are documents of their own. Very long texts may span many blocks. Other columns of any name are kept by
+mixed(). An empty table gives an empty result. What stands in one task is the table of sources, one row each, and
+of one source's shards; the number of sources must fit a task's memory (millions do).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import WORD_PATTERN, staged
+from chronolex.llm.common import WORD_PATTERN, staged, unused
 
 CYCLE = (5.0, 2.0, 1.0)
 
@@ -146,7 +148,8 @@ def mixed(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFram
     """The mix itself: each document as often as the words taken of it round to whole documents; wordless ones are left out."""
     plan = mix(docs, **options).filter("taken > 0")
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("_times"))
-    plan = staged(plan.filter("_times > 0"), "mix-plan")
-    joined = docs.join(F.broadcast(plan) if plan.count() <= broadcast_rows else plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    of, much, nth = (unused(docs, n) for n in ("_id", "_times", "_nth"))
+    plan = plan.groupBy(F.col("doc_id").alias(of)).agg(F.max(times).alias(much))
+    plan = staged(plan.filter(F.col(much) > 0), "mix-plan")
+    joined = docs.join(F.broadcast(plan) if plan.count() <= broadcast_rows else plan, F.col("doc_id").eqNullSafe(F.col(of)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(much)))).select(docs.columns)

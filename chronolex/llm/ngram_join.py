@@ -17,7 +17,9 @@ link between components is lost, and large groups of copies stay linear. All com
 64-bit hashes of shingles (of 64-bit hashes of words).
 
 Null, empty and wordless texts have no shingles and link with nothing; fewer words than the shingle size
-make one shingle of the whole sequence. Rows with equal doc_id count as one node; a row without doc_id links with nothing.
+make one shingle of the whole sequence; very long texts are read whole. Rows with equal doc_id count as one
+node; a row without doc_id links with nothing. Other columns are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import WordHashes, discard, memo, mix64, staged, words_of
+from chronolex.llm.common import WordHashes, discard, memo, mix64, slices, staged, unused, words_of
 from chronolex.llm.graph import components
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -155,8 +157,7 @@ def signatures(members: np.ndarray, t: Fraction, boundary: int, heavy: np.ndarra
 
 def _sets(batches, k: int, named=("doc_id", "text")) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 300):
-            some = batch.slice(at, 300)
+        for some in slices(batch, named[1], 300):
             yield from zip(some[named[0]].to_pylist(), shingle_sets(some[named[1]].to_pylist(), k), strict=True)
 
 
@@ -257,8 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                some = batch.slice(at, 300)
+            for some in slices(batch, rows=300):
                 sets = [members.tobytes() for members in shingle_sets(some["text"].to_pylist(), k)]
                 yield pa.record_batch([some["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "members"])
 
@@ -334,12 +334,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "9/10") ->
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, threshold: str = "4/5") -> DataFrame:
-    """docs with one document of each group of near copies, that with the smallest doc_id; rows without doc_id stay."""
-    grouped = staged(jaccard_components(docs, k, threshold), "near-copies")
-    gone = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
-    if grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
-        again = Window.partitionBy("doc_id").orderBy("text")  # rows of one id are one node: one of them stays
-        first = kept.withColumn("_n", F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1))
-        kept = first.filter("_n = 1").drop("_n")
-    return kept
+    """docs with one document of each group of near copies, that with the smallest doc_id; rows without doc_id stay.
+
+    Where doc_ids repeat, rows are told apart by doc_id and text: different texts under one id are documents of their own."""
+    seen = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not seen.take(1):
+        grouped = staged(jaccard_components(docs, k, threshold), "near-copies")
+        return _without(docs, "doc_id", grouped.filter("doc_id <> component_id").select("doc_id").distinct())
+    node = unused(docs, "node")
+    named = docs.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    pairs = named.filter("doc_id IS NOT NULL").select("doc_id", F.col(node).alias("node"), "text")
+    texts = pairs.groupBy("node").agg(F.min("text").alias("text")).select(F.col("node").alias("doc_id"), "text")
+    grouped = jaccard_components(texts, k, threshold).select(F.col("doc_id").alias("node"), "component_id")
+    grouped = staged(grouped.join(pairs.groupBy("node").agg(F.min("doc_id").alias("first")), "node"), "near-copies")
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct("first", "node")).alias("kept"))
+    gone = grouped.join(kept, "component_id").filter("node <> kept.node").select(F.col("node").alias(node))
+    left = _without(named, node, gone)
+    once = left.filter(F.col(node).isNotNull()).dropDuplicates([node])  # rows of equal doc_id and text
+    return once.unionByName(left.filter(F.col(node).isNull())).select(docs.columns)
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs whose key isn't in gone (of distinct rows)."""
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)

@@ -10,8 +10,10 @@ that are learnt from; it runs on the driver over these bounded rows, in a fixed
 seed. Scoring covers every document's whole text.
 
 Null and empty texts have all-zero word and text statistics and get the score that follows; a null n_chars counts as
-missing. Rows repeated in documents are scored each, labels without a document or with a null label
-are passed over. With no labelled row the model is neutral: 0.5.
+missing. Very long texts are read whole. Rows repeated in documents are scored each and learnt from once: of
+the rows of a doc_id the least. Labels without a document or with a null label are passed over, repeated ones
+count once, contradicting ones each. With no labelled row the model is neutral: 0.5. Other columns of any name
+are kept by scored().
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolex.llm.common import WordHashes, crc_fold, memo, segments
+from chronolex.llm.common import WordHashes, crc_fold, memo, segments, slices, unused
 
 BUCKETS = 1 << 13
 FACTORS = 8
@@ -157,11 +160,12 @@ def train(x: Features, labels: np.ndarray, epochs: int = 12, rate: float = 0.05,
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Machine:
     """A machine from at most `sample` rows of labels (doc_id, quality) whose fold isn't held out."""
     rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out))
-    rows = rows.select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    drawn = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text", _chars(docs).alias("n_chars"))
+    rows = rows.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    drawn = docs.select("doc_id", "text", _chars(docs).alias("n_chars")).join(F.broadcast(rows), "doc_id")
+    drawn = drawn.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("d")).select("doc_id", "quality", "d.*")
 
     def extract(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             x = features(batch["text"].to_pylist(), batch["n_chars"].to_pylist())
             cut = np.searchsorted(x.row, np.arange(x.n + 1))
             parts = [(x.bucket[a:b].astype("<i4").tobytes(), x.share[a:b].astype("<f8").tobytes(), d.tobytes()) for a, b, d in zip(cut, cut[1:], x.dense, strict=False)]
@@ -183,24 +187,25 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
 
 
 def _chars(docs: DataFrame):
-    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
-def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (double) and predicted (int); all columns of docs stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size, whatever the corpus
+def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """docs with a score (double) and a prediction (int) under the given names; all columns of docs stay."""
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {names[0]} or {names[1]}")
+    sent, kept = docs.sparkSession.sparkContext.broadcast(machine), docs.columns  # a fixed size, whatever the corpus
 
     def score(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                s = sent.value.scores(features(some["_text"].to_pylist(), some["_chars"].to_pylist()))
-                kept = [c for k, c in zip(some.schema.names, some.columns, strict=True) if k not in ("_text", "_chars")]
-                yield pa.record_batch([*kept, pa.array(s, pa.float64())], [*(k for k in some.schema.names if k not in ("_text", "_chars")), "_score"])
-
-    schema = docs.schema.add("_score", "double")
-    out = docs.withColumns({"_text": F.col("text"), "_chars": _chars(docs)}).mapInArrow(score, schema)
-    return out.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+            batch = batch.rename_columns(["0", "1", *kept])  # text and n_chars stand first
+            for some in slices(batch, "0", 2000):
+                s = sent.value.scores(features(some[0].to_pylist(), some[1].to_pylist()))
+                yield pa.record_batch([*some.columns[2:], pa.array(s, pa.float64())], [*kept, names[0]])
+
+    out = docs.select(F.col("text").alias(unused(docs, "text")), _chars(docs).alias(unused(docs, "n_chars_")), *(F.col(f"`{c}`") for c in kept))
+    out = out.mapInArrow(score, StructType([*docs.schema.fields, StructField(names[0], DoubleType())]))
+    return out.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
