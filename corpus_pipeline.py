@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm import mixing, ngram_join, pieces, quality, secrets
-from chronolex.llm.common import staged, table
+from chronolex.llm.common import staged, table, unused
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, learnt from labels of folds 1 to 4, predicts to be of quality 1."""
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, machine).filter(F.col("_predicted") == 1).select(docs.columns)
+    score, predicted = unused(docs, "_score"), unused(docs, "_predicted")
+    return quality.scored(docs, machine, names=(score, predicted)).filter(F.col(predicted) == 1).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
