@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronolex.operators.index import bm25_index, tfidf_idf, tfidf_vectors, tokens
 
@@ -30,20 +33,45 @@ def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return _top(scores, k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, broadcast_rows: int = 20_000) -> DataFrame:
-    """Cosine of unit vectors (chunk_id, v) for queries (query_id, q): exact, a block of queries at a time against the vectors where they lie.
+def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """Cosine of unit vectors (chunk_id, v) for queries (query_id, q): exact, by matrix products where the vectors lie.
 
-    Queries are a stated set; up to broadcast_rows of them go to every task, more are dealt in blocks of that size."""
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    Queries are a stated set; a block of them goes to every task, which sends on the k best of each query
+    for each batch of vectors only. More queries than a block are dealt in several, one scan of the vectors each."""
     count = queries.count()
-    parts = [queries] if count <= broadcast_rows else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-count // broadcast_rows))) == i) for i in range(-(-count // broadcast_rows))]
+    blocks = max(1, -(-count // block))
+    parts = [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
     out = None
     for part in parts:
-        scores = _top(vectors.join(F.broadcast(part)).select("query_id", "chunk_id", dot.alias("score")), k)
+        scores = _top(_block_scores(part, vectors, k), k)
         out = scores if out is None else out.unionByName(scores)
     return out
 
 
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    kind = vectors.schema["chunk_id"].dataType
+    asked = queries.select("query_id", "q").toArrow()  # a block: bounded
+    ids = asked["query_id"].to_numpy()
+    q = np.array(asked["q"].to_pylist(), np.float64).reshape(len(ids), -1)
+
+    def run(batches):
+        for batch in batches:
+            if not len(ids) or not batch.num_rows:
+                continue
+            v = batch["v"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            for at in range(0, len(ids), 512):
+                scores = np.round(q[at : at + 512] @ v.T, digits)
+                if batch.num_rows > k:  # all that reach the k-th score: ties are settled by id later
+                    limit = np.partition(scores, batch.num_rows - k, axis=1)[:, [batch.num_rows - k]]
+                    row, column = np.nonzero((scores >= limit) & (scores > 0))
+                else:
+                    row, column = np.nonzero(scores > 0)
+                yield pa.record_batch([pa.array(ids[at + row]), batch["chunk_id"].take(pa.array(column)), pa.array(scores[row, column])], ["query_id", "chunk_id", "score"])
+
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", kind), StructField("score", DoubleType())])
+    return vectors.select("chunk_id", "v").mapInArrow(run, schema)
+
+
 def normalised(score: Column, low: Column, high: Column) -> Column:
     """Min-max within a list; a chunk that the list misses enters as 0 and can come out negative."""
     flat = F.when(score > 0, 1.0).otherwise(0.0)

@@ -32,10 +32,15 @@ def _queries(s, d):
 
 def _dense(s, d, k=K):
     vectors = ix.unit_vectors(table(s, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"))
-    asked = vectors.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    asked = vectors.filter("chunk_id % 20 = 0").select(F.expr("chunk_id DIV 20").alias("query_id"), F.col("v").alias("q"))
     return rt.dense(asked, vectors.select("chunk_id", "v"), k)
 
 
+def _own_labels(s, d):
+    """(query_id, own): query i is the vector with vec_id 20 i."""
+    return table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.expr("vec_id DIV 20").alias("query_id"), F.col("label").alias("own"))
+
+
 def _bm25(s, d, k=K):
     return rt.bm25(_queries(s, d), _chunks(s, d), k)
 
@@ -108,7 +113,7 @@ def _winners(s, d):
 
 
 def _decoded(s, d):
-    return an.decode(_answer_spans(s, d), 200)
+    return an.decode(_answer_spans(s, d))
 
 
 def _cited(s, d):
@@ -160,7 +165,7 @@ def _faithfulness(s, d):
 def _ndcg(s, d):
     hits = _dense(s, d)
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    rows = hits.join(label, "chunk_id").join(label.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    rows = hits.join(label, "chunk_id").join(_own_labels(s, d), "query_id")
     ranked = rows.select("query_id", F.col("chunk_id").alias("item_id"), "score", (F.col("label") == F.col("own")).cast("double").alias("relevance"))
     return mt.ndcg(ranked).withColumn("ndcg", F.round("ndcg", 6))
 
@@ -203,13 +208,13 @@ def _importance(s, d):
 
 def _hard_negatives(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    positives = label.alias("a").join(label.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), F.col("label") == F.col("own")).select("query_id", "chunk_id")
+    positives = label.join(_own_labels(s, d), F.col("label") == F.col("own")).select("query_id", "chunk_id")
     return tr.hard_negatives(_dense(s, d, DEPTH), positives).withColumn("n", F.col("n").cast("long"))
 
 
 def _ir_metrics(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    positives = label.join(label.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), F.col("label") == F.col("own")).filter("query_id <> chunk_id").select("query_id", "chunk_id")
+    positives = label.join(_own_labels(s, d), F.col("label") == F.col("own")).filter("query_id * 20 <> chunk_id").select("query_id", "chunk_id")
     out = tr.retrieval_metrics(_dense(s, d, DEPTH), positives)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall_at_10", "recall_at_100", "map")])
 
@@ -293,21 +298,22 @@ QUERIES = {
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in ix.STOP_WORDS)
-_BM25 = f"""docs AS (SELECT doc_id AS chunk_id, {_TOKENS} AS l FROM documents), size AS (SELECT count(*) AS n, avg(len(l)) AS avgdl FROM docs),
+_BM25_AT = f"""docs AS (SELECT doc_id AS chunk_id, {_TOKENS} AS l FROM documents), size AS (SELECT count(*) AS n, avg(len(l)) AS avgdl FROM docs),
   occ AS (SELECT chunk_id, len(l) AS dl, unnest(l) AS term FROM docs), tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM occ GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
   bq AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
   bs AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM bq JOIN tf USING (term) JOIN idf USING (term), size GROUP BY ALL),
-  bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs WHERE score > 0 QUALIFY rank <= 10)"""
-_TFIDF = f"""td AS (SELECT doc_id AS chunk_id, unnest({_TOKENS}) AS term FROM documents), tt AS (SELECT chunk_id, term, count(*) AS tf FROM td WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
+  bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs WHERE score > 0 QUALIFY rank <= DEPTH)"""
+_TFIDF_AT = f"""td AS (SELECT doc_id AS chunk_id, unnest({_TOKENS}) AS term FROM documents), tt AS (SELECT chunk_id, term, count(*) AS tf FROM td WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
   ti AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
   tv AS (SELECT chunk_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY chunk_id)) AS w FROM tt JOIN ti USING (term)),
   qd AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS tf FROM qd WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
   qv AS (SELECT query_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query_id)) AS w FROM qt JOIN ti USING (term)),
   ts AS (SELECT query_id, chunk_id, round(sum(tv.w * qv.w), 6) AS score FROM tv JOIN qv USING (term) GROUP BY ALL),
-  sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ts WHERE score > 0 QUALIFY rank <= 10)"""
-_DENSE = """ev AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), ds AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM ev a, ev b WHERE a.vec_id < 40),
-  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= 10)"""
+  sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ts WHERE score > 0 QUALIFY rank <= DEPTH)"""
+_DENSE_AT = """ev AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), ds AS (SELECT a.vec_id // 20 AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM ev a, ev b WHERE a.vec_id % 20 = 0),
+  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= DEPTH)"""
+_BM25, _TFIDF, _DENSE = (x.replace("DEPTH", str(K)) for x in (_BM25_AT, _TFIDF_AT, _DENSE_AT))
 
 
 def _norm(k: str) -> str:
@@ -345,17 +351,51 @@ def _summary_sql(threshold: float) -> str:
 
 
 _ORDER = f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS number FROM ({SPANS}))"
-_REL = f"{_DENSE}, rk AS (SELECT query_id, chunk_id, score, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS rel FROM dense JOIN ev a ON a.vec_id = chunk_id JOIN ev b ON b.vec_id = query_id)"
+
+
+def _rel(depth: int) -> str:
+    return _DENSE_AT.replace("DEPTH", str(depth)) + ", rk AS (SELECT query_id, chunk_id, score, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS rel FROM dense JOIN ev a ON a.vec_id = chunk_id JOIN ev b ON b.vec_id = query_id * 20)"
+
+
 _CENTRE = "(y1 + y2) / 2, (x1 + x2) / 2, elem_id"
 _KIND = rf"""bx AS ({_BOXES.replace("TABLE", "lineitem")}), kd AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN y2 - y1 > 1.5 * avg(y2 - y1) OVER (PARTITION BY page) THEN 'heading' WHEN length(text) < 50 AND upper(text) = text AND regexp_matches(text, '\p{{Lu}}') THEN 'title'
     WHEN regexp_matches(text, '^[0-9]+\.') THEN 'numbered_item' WHEN regexp_matches(text, '(?i)^\s*TABLE\s*[0-9]*') THEN 'table_header' WHEN len(regexp_extract_all(text, '\s{{2,}}')) >= 2 THEN 'table_cell' WHEN x2 - x1 < 100 AND length(text) < 20 THEN 'label' ELSE 'paragraph' END AS kind FROM bx)"""
 
+_FOLDED = f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS number, {_words('text')} AS w FROM ({SPANS}))"
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    return f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) ELSE 0 END"
+
+
+_GROUPS = f"""{_FOLDED}, g AS (SELECT document_id, number, span_id, 0 AS grp, [w] AS seeds FROM s WHERE number = 1
+    UNION ALL SELECT document_id, number, span_id, CASE WHEN place > 0 THEN place - 1 ELSE len(seeds) END::INT, CASE WHEN place > 0 THEN seeds ELSE list_append(seeds, w) END
+    FROM (SELECT s.document_id, s.number, s.span_id, s.w, g.seeds, coalesce(list_position(list_transform(g.seeds, lambda x: {_overlap_sql("x", "s.w")} > 0.7), TRUE), 0) AS place
+      FROM g JOIN s ON s.document_id = g.document_id AND s.number = g.number + 1))"""
+_JOINED = "list_reduce({l}, lambda a, x: CASE WHEN regexp_matches(a, '[.!?,;]$') THEN a || ' ' || x ELSE a || '. ' || x END)"
+
 ORACLE = {
+    "filter_claims": rf"""WITH {_RESULTS}, ct AS (SELECT DISTINCT answer_id, start, end_ FROM rs WHERE label = 'refuted' OR label = 'uncertain' AND confidence < 0.5),
+        pr AS (SELECT answer_id, start, coalesce(lag(end_) OVER (PARTITION BY answer_id ORDER BY start), 0) AS before, end_ FROM ct),
+        kp AS (SELECT answer_id, string_agg(substr(text, before + 1, start - before), '' ORDER BY start) AS head, max(end_) AS last FROM pr JOIN st USING (answer_id) GROUP BY 1)
+        SELECT answer_id, trim(regexp_replace(coalesce(head, '') || substr(text, coalesce(last, 0) + 1), '\s+', ' ', 'g')) AS text FROM st LEFT JOIN kp USING (answer_id)""",
+    "conflict_groups": f'{_GROUPS} SELECT document_id AS query_id, span_id, grp AS "group" FROM g',
+    "group_winners": f"""{_GROUPS} SELECT document_id AS query_id, span_id, grp AS "group" FROM g JOIN s USING (document_id, number, span_id)
+        QUALIFY row_number() OVER (PARTITION BY document_id, grp ORDER BY precedence_weight DESC, effective_date DESC NULLS LAST, pos) = 1""",
+    "dedup_decode": f"""{_FOLDED}, z AS (SELECT document_id, 0::BIGINT AS number, []::VARCHAR[] AS parts, []::VARCHAR[][] AS sets, 0::BIGINT AS n, FALSE AS is_full FROM s WHERE number = 1
+        UNION ALL SELECT document_id, number, CASE WHEN take THEN list_append(parts, t) ELSE parts END, CASE WHEN take THEN list_append(sets, w) ELSE sets END, CASE WHEN take THEN n + length(t) + 1 ELSE n END, stop
+        FROM (SELECT *, NOT stop AND t <> '' AND len(list_filter(sets, lambda x: {_overlap_sql("x", "w")} > 0.8)) = 0 AS take
+          FROM (SELECT s.document_id, s.number, trim(s.text) AS t, s.w, z.parts, z.sets, z.n, z.is_full OR z.n + length(trim(s.text)) + 1 > 1024 AS stop FROM z JOIN s ON s.document_id = z.document_id AND s.number = z.number + 1)))
+        SELECT document_id AS query_id, CASE WHEN len(parts) = 0 THEN '' ELSE {_JOINED.format(l="parts")} END AS answer, len(parts)::INT AS parts FROM z QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY number DESC) = 1""",
+    "layout_columns": f"""WITH RECURSIVE bx AS ({_BOXES.replace("TABLE", "lineitem")}), o AS (SELECT page, elem_id, (x1 + x2) / 2 AS x, row_number() OVER (PARTITION BY page ORDER BY (x1 + x2) / 2, elem_id) AS number FROM bx),
+        c AS (SELECT page, number, elem_id, x AS seed, 0 AS n FROM o WHERE number = 1
+          UNION ALL SELECT o.page, o.number, o.elem_id, CASE WHEN abs(o.x - c.seed) > 50 THEN o.x ELSE c.seed END, CASE WHEN abs(o.x - c.seed) > 50 THEN c.n + 1 ELSE c.n END FROM c JOIN o ON o.page = c.page AND o.number = c.number + 1)
+        SELECT page, elem_id, n AS "column" FROM c""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score FROM bm25",
     "tfidf_topk": f"WITH {_TFIDF} SELECT query_id, chunk_id, score FROM sparse",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense",
     "hybrid_fuse": f"WITH {_FUSE} SELECT query_id, chunk_id, round(d, 5) AS dense, round(s, 5) AS sparse, round(b, 5) AS bm25, round(score, 5) AS score, round(confidence, 5) AS confidence FROM fused",
-    "rrf_fuse": f"""WITH {_DENSE}, {_TFIDF}, {_BM25}, un AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS x FROM dense UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM sparse UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM bm25),
+    "rrf_fuse": f"""WITH {", ".join(x.replace("DEPTH", str(2 * K)) for x in (_DENSE_AT, _TFIDF_AT, _BM25_AT))}, un AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS x FROM dense UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM sparse UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM bm25),
         sc AS (SELECT query_id, chunk_id, sum(x) AS score FROM un GROUP BY ALL) SELECT query_id, chunk_id, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 10""",
     "filter_lang_conf": f"WITH {_FUSE} SELECT query_id, chunk_id FROM fused JOIN documents ON doc_id = chunk_id WHERE confidence >= 0.2 AND lang IN ('de', 'fr')",
     "rerank": f"WITH {_BM25} SELECT query_id, chunk_id, round(score * 0.7 + 0.3 / rank, 8) AS score FROM bm25",
@@ -376,7 +416,7 @@ ORACLE = {
         SELECT query_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (NOT io), '') AS added, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (NOT inn), '') AS removed, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (io AND inn), '') AS retained FROM b GROUP BY 1""",
     "faithfulness": f"""SELECT round(least(1, greatest(0, 0.7 * avg(CASE WHEN label = 'supported' THEN 1.0 ELSE 0.0 END) + 0.3 * avg(CASE WHEN label = 'supported' THEN confidence ELSE 0.0 END))), 6) AS faithfulness,
         round(avg(CASE WHEN label = 'refuted' THEN 1.0 ELSE 0.0 END), 6) AS contradiction_rate FROM ({_LABELLED})""",
-    "ndcg10": f"""WITH {_REL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS i FROM rk)
+    "ndcg10": f"""WITH {_rel(K)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS i FROM rk)
         SELECT query_id, round(CASE WHEN min(rel) = max(rel) THEN 1 ELSE sum(rel / log2(r + 1)) / sum(rel / log2(i + 1)) END, 6) AS ndcg FROM r GROUP BY 1""",
     "span_f1": f"""WITH i AS ({INTERVALS}), p AS (SELECT DISTINCT document_id, start, "end" FROM i WHERE page_num < 4), t AS (SELECT DISTINCT document_id, start, "end" FROM i WHERE page_num > 1), h AS (SELECT (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM t) AS t, (SELECT count(*) FROM p JOIN t USING (document_id, start, "end")) AS h)
         SELECT round(h / p, 6) AS precision, round(h / t, 6) AS recall, round(2 * h / (p + t), 6) AS f1 FROM h""",
@@ -386,10 +426,10 @@ ORACLE = {
     "ece": f"WITH l AS ({_LABELLED}), b AS (SELECT floor(confidence * 10) AS bin, count(*) AS n, avg(confidence) AS c, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS a FROM l WHERE confidence < 1 GROUP BY 1) SELECT round(sum(abs(c - a) * n) / (SELECT count(*) FROM l), 6) AS ece FROM b",
     "targets": f"""WITH m AS (SELECT least(1, greatest(0, 0.7 * avg(CASE WHEN label = 'supported' THEN 1.0 ELSE 0.0 END) + 0.3 * avg(CASE WHEN label = 'supported' THEN confidence ELSE 0.0 END))) AS f, avg(CASE WHEN label = 'refuted' THEN 1.0 ELSE 0.0 END) AS c FROM ({_LABELLED}))
         SELECT f >= 0.95 AS meets_faithfulness, c <= 0.02 AS meets_contradiction_rate, TRUE AS meets_ndcg, FALSE AS meets_p95_latency, TRUE AS meets_temporal_accuracy, TRUE AS meets_robustness_drop, FALSE AS meets_ece FROM m""",
-    "hard_negatives": f"WITH {_REL} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM rk WHERE rel = 0 QUALIFY n <= 5",
-    "retrieval_metrics": f"""WITH {_REL}, t AS (SELECT a.vec_id AS query_id, count(*) AS total FROM ev a JOIN ev b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 40 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rk),
-        h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) / rank AS p FROM r WHERE rel = 1 AND query_id <> chunk_id)
-        SELECT query_id, round(count(p) / total, 6) AS recall_at_10, round(count(p) / total, 6) AS recall_at_100, round(coalesce(sum(p), 0) / least(total, 10), 6) AS map FROM t LEFT JOIN h USING (query_id) GROUP BY query_id, total""",
+    "hard_negatives": f"WITH {_rel(DEPTH)} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM rk WHERE rel = 0 QUALIFY n <= 10",
+    "retrieval_metrics": f"""WITH {_rel(DEPTH)}, t AS (SELECT a.vec_id // 20 AS query_id, count(*) AS total FROM ev a JOIN ev b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rk),
+        h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) / rank AS p FROM r WHERE rel = 1 AND query_id * 20 <> chunk_id)
+        SELECT query_id, round(count(p) FILTER (rank <= 10) / total, 6) AS recall_at_10, round(count(p) / total, 6) AS recall_at_100, round(coalesce(sum(p) FILTER (rank <= 10), 0) / least(total, 10), 6) AS map FROM t LEFT JOIN h USING (query_id) GROUP BY query_id, total""",
     "train_pairs": """WITH q AS (SELECT o_custkey AS question, o_orderkey % 1200 AS chunk_id, 1.0 AS label FROM orders UNION ALL SELECT o_custkey, unnest([1, 2, o_orderkey % 1300, 4, 5]), 0.0 FROM orders)
         SELECT question, chunk_id, label::DOUBLE AS label, count(*) AS n FROM q JOIN documents ON doc_id = chunk_id GROUP BY ALL""",
     "nli_triples": f"""WITH {_SENT}, f AS (SELECT answer_id, sentence_index, claim, lower(claim) AS low FROM cl QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY sentence_index) <= 3)

@@ -79,7 +79,7 @@ QUERIES = {
     "span_citations": lambda s, d: sp.citations(intervals(s, d)).select("span_id", "span_hash"),
     "span_integrity": lambda s, d: sp.integrity_report(intervals(s, d).withColumn("end", F.when(F.col("span_id") % 50 == 0, F.col("start")).otherwise(F.col("end"))).withColumn("text", F.when(F.col("span_id") % 70 == 1, F.lit(" ")).otherwise(F.col("text")))),
     "span_resolve": lambda s, d: sp.resolve_overlaps(intervals(s, d)).select("span_id"),
-    "span_context": lambda s, d: sp.context(intervals(s, d), 30),
+    "span_context": lambda s, d: sp.context(intervals(s, d)),
 }
 
 _OF = f"TIMESTAMP '{AS_OF}'"
@@ -118,7 +118,7 @@ _PAIRS = f"""w AS (SELECT *, {_WORDS} AS words FROM s),
     p AS (SELECT a.query_id, a.span_id AS first, b.span_id AS second, round(t.similarity, 6) AS similarity,
       CASE WHEN a.precedence_weight > b.precedence_weight THEN a.span_id WHEN a.precedence_weight < b.precedence_weight THEN b.span_id WHEN b.effective_date > a.effective_date THEN b.span_id ELSE a.span_id END AS winner
       FROM t JOIN w a ON a.query_id = t.query_id AND a.text = t.ta JOIN w b ON b.query_id = t.query_id AND b.text = t.tb
-      WHERE t.similarity > 0.9 AND a.span_id < b.span_id AND a.document_id <> b.document_id)"""
+      WHERE t.similarity > 0.8 AND a.span_id < b.span_id AND a.document_id <> b.document_id)"""
 _DIFF = f"""o AS (SELECT query_id, text, max(effective_date) e, max(status) st, max(precedence_weight) w FROM ({_kept(_ERA)}) GROUP BY ALL),
     n AS (SELECT query_id, text, max(effective_date) e, max(status) st, max(precedence_weight) w FROM ({_kept(_OF)}) GROUP BY ALL),
     d AS (SELECT query_id, text, CASE WHEN o.w IS NULL THEN 'added' WHEN n.w IS NULL THEN 'removed' WHEN o.e IS DISTINCT FROM n.e OR o.st <> n.st OR o.w <> n.w THEN 'modified' END AS change, coalesce(n.w, o.w) AS weight
@@ -174,8 +174,8 @@ ORACLE = {
         f AS (SELECT start < 0 OR e <= start OR trim(t) = '' AS inv, row_number() OVER (PARTITION BY t, start, e, document_id ORDER BY span_id) > 1 AS dup, document_id IS NULL AS orp FROM j)
         SELECT count(*) AS total, count_if(inv)::BIGINT AS invalid, count_if(dup)::BIGINT AS duplicate, count_if(orp)::BIGINT AS orphaned, count_if(NOT (inv OR dup OR orp))::BIGINT AS valid FROM f""",
     "span_resolve": f"{_I} SELECT span_id FROM i a WHERE confidence >= 0.8 OR NOT EXISTS (SELECT 1 FROM i b WHERE {_HIT})",
-    "span_context": f"""{_I}, n AS (SELECT b.span_id AS target_id, a.span_id, CASE WHEN a."end" <= b.start AND b.start - a."end" <= 30 THEN 'preceding' WHEN a.start >= b."end" AND a.start - b."end" <= 30 THEN 'following' END AS side,
-          CASE WHEN a."end" <= b.start AND b.start - a."end" <= 30 THEN b.start - a."end" ELSE a.start - b."end" END AS gap FROM i a JOIN i b ON a.document_id = b.document_id AND a.span_id <> b.span_id),
+    "span_context": f"""{_I}, n AS (SELECT b.span_id AS target_id, a.span_id, CASE WHEN a."end" <= b.start AND b.start - a."end" <= 200 THEN 'preceding' WHEN a.start >= b."end" AND a.start - b."end" <= 200 THEN 'following' END AS side,
+          CASE WHEN a."end" <= b.start AND b.start - a."end" <= 200 THEN b.start - a."end" ELSE a.start - b."end" END AS gap FROM i a JOIN i b ON a.document_id = b.document_id AND a.span_id <> b.span_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY target_id, side ORDER BY gap, span_id) AS rank FROM n WHERE side IS NOT NULL)
         SELECT target_id, side, rank::INT AS rank, span_id FROM r WHERE rank <= 3""",
 }

@@ -96,8 +96,23 @@ _MONTHS = tx.MONTHS
 _SECTION_CASES = "\n".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p, _ in sg.SECTION_PATTERNS)
 _LEVEL_CASES = "\n".join(f"WHEN '{k}' THEN {level}" for k, _, level in sg.SECTION_PATTERNS)
 
+_SECTIONS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    o AS (SELECT doc_id, n, trim(raw) AS t, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_start FROM l),
+    sec AS (SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, t, strlen(t) AS b, length(t) % 4 AS lv, byte_start, byte_start + strlen(t) AS byte_end FROM o WHERE t <> '')"""
+
 ORACLE = {
-    "nfkc_normalize": "SELECT * FROM (VALUES (1::BIGINT, 'fine テスト x'), (2::BIGINT, '12 full width'), (3::BIGINT, '')) v(id, text)",
+    "merge_fragments": rf"""SELECT doc_id, list_reduce(list_transform(string_split(replace(text, ' ', '-| '), '|'), lambda x: trim(x)),
+        lambda a, x: CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || '|' || x END) AS merged FROM ({LEGAL})""",
+    "join_coherently": f"""SELECT doc_id, list_reduce(string_split(text, ' it '), lambda a, x: CASE WHEN regexp_matches(a, '[.!?,;]$') THEN a || ' ' || x ELSE a || '. ' || x END) AS text FROM ({LEGAL})""",
+    "hier_chunks": f"""WITH RECURSIVE {_SECTIONS}, f AS (SELECT document_id, pos, lv, pos AS lo, b AS bytes, NULL::BIGINT AS cut_lo, NULL::BIGINT AS full_lo FROM sec WHERE pos = 1
+          UNION ALL SELECT document_id, pos, lv, CASE WHEN lo < pos AND bytes > 512 THEN pos ELSE lo END, CASE WHEN lo < pos AND bytes > 512 THEN b ELSE bytes END, cut_lo, CASE WHEN lo < pos AND bytes > 512 THEN lo END
+          FROM (SELECT s.document_id, s.pos, s.lv, s.b, CASE WHEN s.lv <= f.lv THEN s.pos ELSE f.lo END AS lo, CASE WHEN s.lv <= f.lv THEN s.b ELSE f.bytes + 1 + s.b END AS bytes, CASE WHEN s.lv <= f.lv THEN f.lo END AS cut_lo
+            FROM f JOIN sec s ON s.document_id = f.document_id AND s.pos = f.pos + 1)),
+        r AS (SELECT document_id, pos, 0 AS kind, cut_lo AS lo, pos - 1 AS hi FROM f WHERE cut_lo IS NOT NULL UNION ALL SELECT document_id, pos, 1, full_lo, pos FROM f WHERE full_lo IS NOT NULL
+          UNION ALL (SELECT document_id, pos, 2, lo, pos FROM f QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY pos DESC) = 1)),
+        c AS (SELECT document_id, lo, hi, row_number() OVER (PARTITION BY document_id ORDER BY pos, kind) - 1 AS chunk_no FROM r)
+        SELECT document_id, chunk_no::INT AS chunk_no, min(byte_start)::BIGINT AS byte_start, max(byte_end)::BIGINT AS byte_end, min(lv)::INT AS level, sha256(string_agg(t, ' ' ORDER BY pos)) AS digest, count(*)::INT AS n_spans
+        FROM c JOIN sec USING (document_id) WHERE pos BETWEEN lo AND hi GROUP BY document_id, chunk_no""",
     "dehyphenate": rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '([\p{{L}}\p{{M}}\p{{N}}_]+)-\s*\n\s*([\p{{L}}\p{{M}}\p{{N}}_]+)', '\1\2', 'g'),
         '([\p{{L}}\p{{M}}\p{{N}}_]+)-\s+([\p{{L}}\p{{M}}\p{{N}}_]+)', '\1\2', 'g') AS text FROM ({LEGAL})""",
     "clean_noise": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '[^\p{L}\p{M}\p{N}_\s.,;:!?()\[\]''"/\\-]', '', 'g'), '\s+', ' ', 'g'), '\.{3,}', '...', 'g'))) AS digest FROM pages""",
@@ -136,11 +151,6 @@ ORACLE = {
         SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, section_type, level, byte_start, (byte_start + strlen(t))::BIGINT AS byte_end, sha256(t) AS digest,
         CASE WHEN h + lat = 0 THEN 'unknown' WHEN h / (h + lat) > 0.3 THEN 'hi' ELSE 'en' END AS language,
         CASE WHEN level > 0 THEN last_value(CASE WHEN level = 0 THEN left(t, 50) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS parent FROM v""",
-    "sliding_chunks": f"""WITH t AS (SELECT doc_id, text, strlen(text) AS n FROM documents WHERE strlen(text) = length(text) AND strlen(text) > 0),
-        w AS (SELECT doc_id, text, n, unnest(range(0, n, 448)) AS s FROM t), p AS (SELECT doc_id, n, s, substr(text, s + 1, 512) AS piece FROM w),
-        c AS (SELECT *, CASE WHEN contains(piece, ' ') THEN length(piece) - instr(reverse(piece), ' ') + 1 ELSE 0 END AS cut FROM p),
-        f AS (SELECT doc_id, n, s, trim(CASE WHEN s + 512 < n AND cut - 1 > 256 THEN left(piece, cut - 1) ELSE piece END) AS text FROM c)
-        SELECT doc_id AS document_id, (s // 448)::INT AS "window", sha256(text) AS digest, s::BIGINT AS byte_start, (s + strlen(text))::BIGINT AS byte_end FROM f WHERE text <> ''""",
     "chunk_dedup": """WITH l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents)
         SELECT document_id, min(chunk_no)::BIGINT AS chunk_no, length(text)::INT AS n FROM l GROUP BY document_id, text""",
     "chunk_context": """WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), m AS (SELECT document_id, max(chunk_no) AS top FROM l GROUP BY 1)

@@ -26,7 +26,7 @@ def run(spark, tmp_path):
 
 
 def windows(text):
-    """(window, digest, byte_start, byte_end) as pipeline/chunker.py cuts them, spaces stripped."""
+    """(window, digest, byte_start, byte_end) as the rule cuts them, spaces stripped."""
     raw, out = text.encode(), []
     for start in range(0, len(raw), 448):
         piece = raw[start : start + 512].decode(errors="ignore")
@@ -48,7 +48,7 @@ def test_sliding_chunks_of_every_document(run):
 
 
 def conflicts(spans, threshold=0.8):
-    """{(query_id, first, second): (similarity, winner)} over all pairs, as pipeline/temporal_engine.py compares them."""
+    """{(query_id, first, second): (similarity, winner)} over all pairs."""
     words, found = {x["span_id"]: set(re.sub(r"\W+", " ", x["text"].lower()).split()) for x in spans}, {}
     for a, b in itertools.combinations(sorted(spans, key=lambda x: x["span_id"]), 2):
         if a["query_id"] == b["query_id"] and a["document_id"] != b["document_id"]:
@@ -93,12 +93,12 @@ def test_depth_of_training_lists_and_fused_lists(run, spark, tmp_path):
     for x in catalogue.queries()["hard_negatives"](spark, str(tmp_path)).collect():
         negatives.setdefault(x["query_id"], []).append((x["n"], x["chunk_id"]))
     for q in got:
-        ranked = sorted((-round(float(unit[q] @ v), 6), c) for c, v in enumerate(unit))
+        ranked = sorted((-round(float(unit[20 * q] @ v), 6), c) for c, v in enumerate(unit))  # query i is vector 20 i
         ranked = [c for score, c in ranked if score < 0][:100]
-        own = {c for c in range(300) if label[c] == label[q] and c != q}
+        own = {c for c in range(300) if label[c] == label[20 * q] and c != 20 * q}
         for k in (10, 100):
             assert got[q][f"recall_at_{k}"] == round(len(own & set(ranked[:k])) / len(own), 6)
-        assert sorted(negatives[q]) == [*enumerate([c for c in ranked if label[c] != label[q]][:10], 1)]
+        assert sorted(negatives[q]) == [*enumerate([c for c in ranked if label[c] != label[20 * q]][:10], 1)]
     assert any(r["recall_at_100"] > r["recall_at_10"] for r in found)
 
     lists = {k: {} for k in ("dense", "sparse", "bm25")}
