@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: `[^\x20\x09-\x0D]+` of the contracts; bytes.split() without arguments cuts at the same bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: What a worker may remember of words, in bytes by rough count: of each word its own bytes and ENTRY_BYTES.
-MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
-_BATCH_BYTES, _BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
+_BATCH_BYTES, _BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to 8 MB: by rows alone, batches of long texts hold gigabytes."""
+    """Lower the session's Arrow batches to 4 MB: by rows alone, batches of long texts hold gigabytes."""
     if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > _BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(_BATCH_BYTES))
 
@@ -49,8 +49,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: later stages start there, whatever executors get lost."""
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read again: later stages start there, whatever executors get lost.
+
+    zstd is for large tables that it makes much smaller: its buffers stay with the executor, outside the heap."""
     path = work_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -168,7 +170,7 @@ def forget() -> None:
             pass
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most `rows` rows and, but for a longer text alone, `size` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(lengths, dtype=np.int64), 0

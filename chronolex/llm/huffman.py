@@ -386,7 +386,7 @@ def corpus_file(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = L
 
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    tokens = staged(encoded(docs, tokenizer, vocabulary, end_id), "token-ids")
+    tokens = staged(encoded(docs, tokenizer, vocabulary, end_id), "token-ids", "zstd")
     tokens = tokens.withColumn("row", F.xxhash64("_metadata.file_name", "_metadata.row_index"))  # the same at every reading
     path = work_path(spark, "huffman")
     write_corpus(tokens, path, vocabulary, limit, file_ids)

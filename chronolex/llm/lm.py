@@ -372,7 +372,7 @@ def score_documents(docs: DataFrame, folds: int = 10, broadcast_words: int = BRO
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Fold 0 is held out from all counts, fold 1 from those that the weights are learnt with."""
     spark = docs.sparkSession
     context_ = spark.sparkContext
-    chunks = staged(chunked(docs, folds), "lm-chunks")
+    chunks = staged(chunked(docs, folds), "lm-chunks", "zstd")
     counts = staged(word_counts(chunks), "lm-words")
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("seen").alias("n"), F.sum("rest").alias("r")).first()
     n, v = total["n"] or 0, total["v"]
@@ -386,7 +386,7 @@ def score_documents(docs: DataFrame, folds: int = 10, broadcast_words: int = BRO
         words.seen, words.rest = (known[c].to_numpy()[order].astype(narrow) for c in ("seen", "rest"))
         del known, order
     else:
-        chunks = staged(with_counts(chunks, counts), "lm-counted-chunks")
+        chunks = staged(with_counts(chunks, counts), "lm-counted-chunks", "zstd")
     # every document starts once, and ends once: the starts are counted as the end tokens are
     ends = counts.filter(F.col("word") == int(np.uint64(word_hash(END)).view(np.int64))).first()
     words.extra_starts = (ends["seen"], ends["rest"]) if ends else (0, 0)

@@ -12,14 +12,20 @@ N - 1 units with the smallest gaps only; those units' N best come from A*, and a
 them. Every result is the exact N best of the whole text.
 
 Decoding joins the pieces' bytes and drops the leading space mark, and gives back every text exactly: a
-space mark in the text itself goes through byte fallback, too. Pieces that repeat the space mark are not
-used. Null texts count as empty, which have no pieces; ties are broken by the shorter last piece, then by place.
+space mark in the text itself is told apart by a code outside Unicode and goes through byte fallback, too.
+Pieces that repeat the space mark are not used. Ties are broken by the shorter last piece, again and again.
+
+Null texts count as empty, which have no pieces. Very long texts are taken whole: short units are solved in
+batches of a bounded number of characters, a unit of more than LONG characters alone, in steps over its edges.
+Rows are independent of each other, so repeated rows get equal results; other columns are not read, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import Interner, memo
+from chronolex.llm.common import MEMO_BYTES, Interner, memo, memo_bytes, slices
 
 MARK = "▁"
-_MEMO_UNITS = 600_000
+_TEXT_MARK = 0x110000  # a space mark of the text itself: no character has this code, and so no piece
+LONG, BATCH_UNITS, BATCH_CHARS, BLOCK_CHARS = 48, 2048, 32_768, 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -98,6 +105,18 @@ class Model:
         scores[0][ids[0] == -2] = self.fallback
         return ids, scores
 
+    def arcs(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All edges (start, length, id, score) of a unit by start, then length, a block of characters at a time."""
+        for at in range(0, len(codes), BLOCK_CHARS):
+            some = codes[at : at + BLOCK_CHARS + self.longest - 1]
+            ids, scores = self.edges(some, np.arange(len(some), 0, -1))
+            start, k = np.nonzero(ids[:, :BLOCK_CHARS].T != -1)
+            yield start + at, k + 1, ids[k, start], scores[k, start]
+
+    def fallback_ids(self, code: int) -> list[int]:
+        """Byte pieces of a character."""
+        return self.byte_ids[list((MARK if code == _TEXT_MARK else chr(code)).encode())].tolist()
+
     def decode(self, ids) -> str:
         return b"".join(self.raw[i] for i in ids)[1:].decode()
 
@@ -107,34 +126,54 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+# --- units ----------------------------------------------------------------------------------------
+def coded(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all units, as the lattice sees them, and the length of each: a leading space is the mark, a mark of the text is none."""
+    texts = [u.decode() for u in units]
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    codes[codes == ord(MARK)] = _TEXT_MARK
+    first = (np.cumsum(size) - size)[size > 0]
+    codes[first[codes[first] == ord(" ")]] = ord(MARK)
+    return codes, size
+
+
 # --- one lattice ----------------------------------------------------------------------------------
-def n_best(model: Model, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best (score, ids) of a marked text by forward Viterbi and backward A*."""
-    if not text:
+def n_best(model: Model, codes: np.ndarray, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best (score, ids) of a unit or of a chain of units by forward Viterbi and backward A*.
+
+    The heuristic is exact: an open path stands for a segmentation of just that score, so no more open paths
+    than results still wanted need be kept, and the search takes about n steps a piece."""
+    if not len(codes):
         return [(0.0, ())]
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    ids, scores = model.edges(codes, np.arange(len(codes), 0, -1))
-    ends: list[list[tuple[int, int, float]]] = [[] for _ in range(len(codes) + 1)]
     forward = [0.0] + [-np.inf] * len(codes)
-    lengths, starts = np.nonzero(ids != -1)
-    for s, k in sorted(zip(starts.tolist(), lengths.tolist(), strict=True)):
-        ends[s + k + 1].append((s, int(ids[k, s]), float(scores[k, s])))
-        forward[s + k + 1] = max(forward[s + k + 1], forward[s] + float(scores[k, s]))
+    blocks = []
+    for start, length, piece, score in model.arcs(codes):
+        blocks.append((start, length, piece, score))
+        for s, k, x in zip(start.tolist(), length.tolist(), score.tolist(), strict=True):
+            value = forward[s] + x
+            if value > forward[s + k]:
+                forward[s + k] = value
+    start, length, piece, score = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    order = np.lexsort((length, start + length))  # edges by end, the shortest first
+    length, piece, score = length[order], piece[order], score[order]
+    cuts = np.searchsorted((start + np.concatenate([b[1] for b in blocks]))[order], np.arange(len(codes) + 2))
     found: list[tuple[float, tuple[int, ...]]] = []
-    # (-(score behind + best score to reach the node), order, node, score behind, path)
-    ahead, order = [(-forward[-1], 0, len(codes), 0.0, None)], 0
+    ahead = [(forward[-1], len(codes), 0.0, None)]  # (score of the best segmentation with this end, node, score behind, path)
     while ahead and len(found) < n:
-        _, _, node, behind, path = heapq.heappop(ahead)
+        _, node, behind, path = ahead.pop(0)
         if node == 0:
             pieces: list[int] = []
             while path is not None:
-                at, piece, path = path
-                pieces += [piece] if piece >= 0 else model.byte_ids[list(text[at].encode())].tolist()
+                at, i, path = path
+                pieces += [i] if i >= 0 else model.fallback_ids(int(codes[at]))
             found.append((behind, tuple(pieces)))
             continue
-        for start, piece, score in ends[node]:
-            order += 1
-            heapq.heappush(ahead, (-(behind + score + forward[start]), order, start, behind + score, (start, piece, path)))
+        some = slice(cuts[node], cuts[node + 1])
+        children = []
+        for k, i, x in zip(length[some].tolist(), piece[some].tolist(), score[some].tolist(), strict=True):
+            children.append((behind + x + forward[node - k], node - k, behind + x, (node - k, i, path)))
+        ahead = sorted(children + ahead, key=lambda x: -x[0])[: n - len(found)]  # stable: of equal ones the newest, of these the shortest
     return found
 
 
@@ -148,70 +187,65 @@ class Units:
     ids: np.ndarray
 
 
-def solve(model: Model, units: list[str]) -> Units:
-    """Best score, gap to the second best (inf: none) and best ids of each unit."""
-    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    size = np.array([len(u) for u in units], np.int64)
+def solve(model: Model, units: list[bytes]) -> Units:
+    """Best score, gap to the second best (inf: none) and best ids of each unit.
+
+    Units stand in columns, the longest first, and take their steps together."""
+    codes, size = coded(units)
     base = np.cumsum(size) - size
     of = np.repeat(np.arange(len(units)), size)
     place = np.arange(len(codes)) - base[of]
     ids, scores = model.edges(codes, size[of] - place)
     order = np.argsort(-size, kind="stable")
-    sized = size[order]
-    # node p of unit u is base[u] + u + p
-    node = base + np.arange(len(units))
-    forward = np.full(len(codes) + len(units), -np.inf)
-    backward = forward.copy()
-    last = np.zeros(len(forward), np.int8)
-    forward[node] = 0.0
-    backward[node + size] = 0.0
-    top = int(sized[0]) if len(units) else 0
-    active = np.searchsorted(-sized, -np.arange(top + 1), side="right")  # units of at least p characters
-    for p in range(1, top + 1):
-        u = order[: active[p]]
-        reach = min(p, model.longest)
-        best = np.full(len(u), -np.inf)
-        pick = np.zeros(len(u), np.int8)
-        for k in range(1, reach + 1):
-            value = forward[node[u] + p - k] + scores[k - 1, base[u] + p - k]
-            better = value > best
-            best = np.where(better, value, best)
-            pick[better] = k
-        forward[node[u] + p], last[node[u] + p] = best, pick
+    column = np.empty(len(units), np.int64)
+    column[order] = np.arange(len(units))
+    top, wide, all_ = int(size.max()), model.longest, np.arange(len(units))
+    edge = np.full((wide, top + 1, len(units)), -np.inf)  # score of the piece of k + 1 characters at a place
+    edge[:, place, column[of]] = scores
+    active = np.searchsorted(-size[order], -np.arange(top + 1), side="right")  # units of at least p characters
+    forward = np.full((top + 1, len(units)), -np.inf)
+    forward[0] = 0.0
+    last = np.zeros(forward.shape, np.int8)
     for p in range(1, top + 1):
-        u = order[: active[p]]
-        at = size[u] - p
-        best = np.full(len(u), -np.inf)
-        for k in range(1, min(p, model.longest) + 1):
-            best = np.maximum(best, scores[k - 1, base[u] + at] + backward[node[u] + at + k])
-        backward[node[u] + at] = best
-    total = forward[node + size]
+        a = active[p]
+        for k in range(1, min(p, wide) + 1):
+            value = forward[p - k, :a] + edge[k - 1, p - k, :a]
+            better = value > forward[p, :a]
+            np.copyto(forward[p, :a], value, where=better)
+            np.copyto(last[p, :a], k, where=better)
+    backward = np.full((top + wide + 1, len(units)), -np.inf)
+    backward[size[order], all_] = 0.0
+    for p in range(top - 1, -1, -1):
+        a = active[p + 1]
+        for k in range(1, min(wide, top - p) + 1):
+            np.maximum(backward[p, :a], edge[k - 1, p, :a] + backward[p + k, :a], out=backward[p, :a])
+    total = forward[size, column]
     # the best paths, from the end; edges on them don't count for the second best
-    through = np.full(len(codes), -np.inf)
-    walking, at = np.arange(len(units)), size.copy()
+    walking, at = all_, size.copy()
     steps_unit, steps_place, steps_id = [], [], []
-    on_path = np.zeros(len(codes), np.int8)
+    on_path = np.zeros(forward.shape, np.int8)
     while len(walking):
-        k = last[node[walking] + at[walking]].astype(np.int64)
-        start = base[walking] + at[walking] - k
-        on_path[start] = k
+        k = last[at[walking], column[walking]].astype(np.int64)
+        at[walking] -= k
+        on_path[at[walking], column[walking]] = k
+        start = base[walking] + at[walking]
         steps_unit.append(walking)
         steps_place.append(start)
         steps_id.append(ids[k - 1, start])
-        at[walking] -= k
         walking = walking[at[walking] > 0]
-    for k in range(1, model.longest + 1):
-        start = np.flatnonzero(np.isfinite(scores[k - 1]) & (on_path != k))
-        value = forward[start + of[start]] + scores[k - 1, start] + backward[start + of[start] + k]
-        through[start] = np.maximum(through[start], value)
-    second = np.maximum.reduceat(through, base) if len(units) else np.empty(0)
+    second = np.full(len(units), -np.inf)
+    for k in range(1, wide + 1):
+        through = forward[:top] + edge[k - 1, :top] + backward[k : k + top]
+        through[on_path[:top] == k] = -np.inf
+        np.maximum(second, through.max(axis=0), out=second)
+    second = second[column]
     unit, where, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (steps_unit, steps_place, steps_id))
     by = np.argsort(where, kind="stable")
     unit, where, piece = unit[by], where[by], piece[by]
     if (piece == -2).any():
         made_unit, made = [], []
         for u, w, i in zip(unit.tolist(), where.tolist(), piece.tolist(), strict=True):
-            some = [i] if i >= 0 else model.byte_ids[list(chr(codes[w]).encode())].tolist()
+            some = [i] if i >= 0 else model.fallback_ids(int(codes[w]))
             made += some
             made_unit += [u] * len(some)
         unit, piece = np.array(made_unit, np.int64), np.array(made, np.int64)
@@ -230,43 +264,36 @@ class Segmenter:
         self._forget()
 
     def _forget(self) -> None:
-        self._units, self._alternatives = Interner(), {}
+        self._units, self._alternatives, self._bytes = Interner(), {}, 0
         empty = np.empty(0)
         self._known = Units(empty, empty, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    @staticmethod
-    def marked(unit: bytes) -> str:
-        """The unit as the lattice sees it: a leading space is the mark, a mark of the text is a character that no piece has."""
-        text = unit.decode()
-        body = text.replace(MARK, "﷐") if MARK in text else text
-        return MARK + body[1:] if body[0] == " " else body
-
     def _learn(self) -> None:
-        known = self._known
-        for at in range(len(known.score), len(self._units.new), 20_000):
-            some = self._units.new[at : at + 20_000]
-            if any(MARK.encode() in u for u in some):  # byte fallback must give the mark's own bytes
-                solved = [self._with_marks(u) for u in some]
-                lengths = np.array([len(x[2]) for x in solved], np.int64)
-                new = Units(np.array([x[0] for x in solved]), np.array([x[1] for x in solved]), np.cumsum(lengths) - lengths, lengths, np.array([i for x in solved for i in x[2]], np.int64))
+        known, fresh = [self._known], self._units.new[len(self._known.score) :]
+        some, chars = [], 0
+        for unit in fresh:
+            if some and (len(unit) > LONG or len(some) >= BATCH_UNITS or chars + len(unit) > BATCH_CHARS):
+                known.append(solve(self.model, some))
+                some, chars = [], 0
+            if len(unit) > LONG:
+                best = self.unit_n_best(unit, 2)
+                gap, ids = best[0][0] - best[1][0] if len(best) > 1 else np.inf, np.array(best[0][1], np.int64)
+                known.append(Units(np.array([best[0][0]]), np.array([gap]), np.zeros(1, np.int64), np.array([len(ids)]), ids))
             else:
-                new = solve(self.model, [self.marked(u) for u in some])
-            known = Units(*(np.concatenate(x) for x in ((known.score, new.score), (known.gap, new.gap), (known.starts, new.starts + len(known.ids)), (known.lengths, new.lengths), (known.ids, new.ids))))
-        self._known = known
-
-    def _with_marks(self, unit: bytes) -> tuple[float, float, tuple[int, ...]]:
-        best = self.unit_n_best(unit, 2)
-        return best[0][0], best[0][0] - best[1][0] if len(best) > 1 else np.inf, best[0][1]
+                some.append(unit)
+                chars += len(unit)
+        if some:
+            known.append(solve(self.model, some))
+        before = np.cumsum([0] + [len(k.ids) for k in known])
+        starts = np.concatenate([k.starts + b for k, b in zip(known, before[:-1], strict=True)])
+        self._known = Units(*(np.concatenate([getattr(k, c) for k in known]) for c in ("score", "gap")), starts, *(np.concatenate([getattr(k, c) for k in known]) for c in ("lengths", "ids")))
+        self._bytes += memo_bytes(fresh)
 
     def unit_n_best(self, unit: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        found = n_best(self.model, self.marked(unit), n)
-        if MARK.encode() in unit:
-            stand_in, mark = (tuple(self.model.byte_ids[list(c.encode())].tolist()) for c in ("﷐", MARK))
-            found = [(s, _replaced(ids, stand_in, mark)) for s, ids in found]
-        return found
+        return n_best(self.model, coded([unit])[0], n)
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self._units) > _MEMO_UNITS:
+        if self._bytes > MEMO_BYTES:
             self._forget()
         cut = [self._cut(b" " + text.encode()) if text else [] for text in texts]
         numbers = self._units.numbers([u for units in cut for u in units])
@@ -295,6 +322,7 @@ class Segmenter:
             unit = self._units.new[numbers[place]]
             if (unit, n) not in self._alternatives:
                 self._alternatives[unit, n] = self.unit_n_best(unit, n)
+                self._bytes += memo_bytes([unit] * n)
             lists.append(self._alternatives[unit, n])
         # best-first over the choice for each of these units; a state is reached by raising its last raised unit or a later one
         ahead, first = [], (0,) * len(near)
@@ -329,18 +357,6 @@ class Segmenter:
         return b"".join(self.model.raw_array[ids].tolist())[1:]
 
 
-def _replaced(ids: tuple[int, ...], old: tuple[int, ...], new: tuple[int, ...]) -> tuple[int, ...]:
-    out, at = [], 0
-    while at < len(ids):
-        if ids[at : at + len(old)] == old:
-            out += new
-            at += len(old)
-        else:
-            out.append(ids[at])
-            at += 1
-    return tuple(out)
-
-
 def _smallest(gaps: np.ndarray, k: int) -> np.ndarray:
     """The k smallest, ties to the first."""
     if k <= 0:
@@ -383,8 +399,7 @@ def _solved(batches, model: str, n: int):
     """Lists of (doc_id, n best, text)."""
     segmenter = _segmenter(model)
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
+        for some in slices(batch):
             texts = some["text"].to_pylist()
             numbers = segmenter.numbers(texts)
             yield [(d, segmenter.text_n_best(x, n), t) for d, x, t in zip(some["doc_id"].to_pylist(), numbers, texts, strict=True)]
