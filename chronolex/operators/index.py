@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: parameters of the ranking function
@@ -23,9 +24,11 @@ def terms(text: Column) -> Column:
     return F.filter(tokens(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
 
 
-def postings(chunks: DataFrame, split=tokens) -> DataFrame:
-    """(chunk_id, term, tf, doc_len): occurrences summed within the scan's tasks before the shuffle."""
+def postings(chunks: DataFrame, split=tokens, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, doc_len): occurrences summed within the scan's tasks before the shuffle; of the terms in `only` (distinct), if given."""
     exploded = chunks.withColumn("_t", split(F.col("text"))).select("chunk_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    if only is not None:
+        exploded = exploded.join(only, "term", "left_semi")
     return exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -34,26 +37,37 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
 
 
-def bm25_idf(posts: DataFrame, size: DataFrame) -> DataFrame:
+def term_counts(chunks: DataFrame, split=tokens) -> DataFrame:
+    """(term, total, df): occurrences and chunks of each term, in one shuffle of partial sums by term."""
+    words = chunks.select(split(F.col("text")).alias("_t"))
+    each = words.select(F.explode("_t").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
+    once = words.select(F.explode(F.array_distinct("_t")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
+    return each.unionByName(once).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def bm25_idf(chunks: DataFrame, size: DataFrame) -> DataFrame:
     """(term, idf): ln((n - df + 0.5) / (df + 0.5)), negative ones replaced by a quarter of the mean over all terms."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size.select("n")))
+    words = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size.select("n")))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_index(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, weight): what one occurrence of the term in a query adds to the chunk's score."""
-    posts, size = postings(chunks), corpus_size(chunks)
-    joined = posts.join(bm25_idf(posts, size), "term").join(F.broadcast(size.select("avgdl")))
+def bm25_index(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, weight): what one occurrence of the term in a query adds to the chunk's score; of asked (term, distinct) only, if given."""
+    size = corpus_size(chunks)
+    posts, idf = postings(chunks, only=asked), bm25_idf(chunks, size)
+    if asked is not None:
+        idf = idf.join(asked, "term", "left_semi")
+    joined = posts.join(idf, "term").join(F.broadcast(size.select("avgdl")))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
     return joined.select("term", "chunk_id", (F.col("idf") * tf).alias("weight"))
 
 
 def tfidf_idf(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, idf) of the max_terms terms with most occurrences, ties by term: ln((1 + n) / (1 + df)) + 1."""
-    posts = postings(chunks, terms)
-    counted = posts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
+    counted = term_counts(chunks, terms).orderBy(F.desc("total"), "term").limit(max_terms)
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     return counted.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -77,3 +91,34 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 def index_statistics(chunks: DataFrame) -> DataFrame:
     posts = postings(chunks)
     return chunks.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(posts.agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("postings")))
+
+
+def write_indices(chunks: DataFrame, vectors: DataFrame | None, path: str) -> dict[str, str]:
+    """Chunks, postings of both kinds and vectors as tables below path; name -> "ok" or the error of a part that failed.
+
+    Empty input is an error; a part that fails leaves the others."""
+    if not chunks.take(1):
+        raise ValueError("no chunks to index")
+    idf = tfidf_idf(chunks)
+    parts = {"chunks": lambda: chunks, "bm25": lambda: bm25_index(chunks), "tfidf_idf": lambda: idf, "tfidf": lambda: tfidf_vectors(chunks, idf)}
+    if vectors is not None:
+        parts["dense"] = lambda: unit_vectors(vectors)
+    said = {}
+    for name, made in parts.items():
+        try:
+            made().write.mode("overwrite").parquet(f"{path}/{name}")
+            said[name] = "ok"
+        except Exception as e:  # the other parts are of use without this one
+            said[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    return said
+
+
+def read_indices(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that write_indices left below path; a part that isn't there is missing from the result."""
+    found = {}
+    for name in ("chunks", "bm25", "tfidf_idf", "tfidf", "dense"):
+        try:
+            found[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:
+            continue
+    return found

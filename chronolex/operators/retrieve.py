@@ -18,18 +18,30 @@ def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Postings joined on terms, summed per (query, chunk); query words count as often as they occur."""
+ASKED_TERMS = 100_000  # distinct terms of the queries that are sent to the postings
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """Postings joined on terms, summed per (query, chunk); query words count as often as they occur.
+
+    index: a written bm25_index of chunks; without it only the postings of asked terms are made."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    scores = bm25_index(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    if index is None:
+        index = bm25_index(chunks, _few(asked.select("term").distinct(), ASKED_TERMS))
+    scores = index.join(_few(asked, 10 * ASKED_TERMS), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
     return _top(scores, k)
 
 
-def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Cosine of TF-IDF vectors over shared terms only."""
-    idf = tfidf_idf(chunks)
+def sparse(queries: DataFrame, chunks: DataFrame, k: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Cosine of TF-IDF vectors over shared terms only; index: written (idf, vectors) of chunks."""
+    idf, vectors = index or (tfidf_idf(chunks), None)
+    vectors = tfidf_vectors(chunks, idf) if vectors is None else vectors
     asked = tfidf_vectors(queries, idf, "query_id").withColumnRenamed("weight", "asked")
-    scores = tfidf_vectors(chunks, idf).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
+    scores = vectors.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
     return _top(scores, k)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import detect_language
+from chronolex.operators.spans import interval_join
 
 # fixed values: section types with their patterns, tried in this order, and levels
 SECTION_PATTERNS = (
@@ -144,3 +145,12 @@ def chunk_context(chunks: DataFrame, most: int = 5) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("byte_start", "chunk_no")
     before = F.reverse(F.collect_list("chunk_no").over(order.rowsBetween(-most, -1)))
     return chunks.select("document_id", "chunk_no", before.alias("preceding"), F.collect_list("chunk_no").over(order.rowsBetween(1, most)).alias("following"))
+
+
+def window_sections(texts: DataFrame, rows: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(document_id, window, pos): sections (pos, byte_start, byte_end) that share bytes with each sliding window of texts."""
+    step, n = size - overlap, F.octet_length("text")
+    windows = texts.filter(n > 0).select("document_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("start"), n.alias("_n"))
+    windows = windows.select("document_id", "start", F.least(F.col("start") + size, "_n").alias("end"), (F.col("start") / step).cast("int").alias("window"))
+    right = rows.select("document_id", "pos", F.col("byte_start").alias("r_start"), F.col("byte_end").alias("r_end"))
+    return interval_join(windows, right, ["document_id"]).select("document_id", "window", "pos")

@@ -168,26 +168,26 @@ def precedence_score(as_of: Column) -> Column:
 
 
 # --- conflicts ------------------------------------------------------------------------------------
-def _pairs(spans: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Ordered pairs (a_*, b_*) of rows of a key, by their position."""
-    a = spans.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = spans.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, keys).filter("a_pos < b_pos")
-
-
 def metadata_conflicts(spans: DataFrame) -> DataFrame:
-    """Pairs of one query where one names the other's document as superseded, or with equal effective dates and different status."""
-    pairs = _pairs(spans, ["query_id"], ["pos", "span_id", "effective_date", "status", "supersedes", "superseded_by"])
-    holds = lambda x, y: F.coalesce(F.array_contains(f"{x}_supersedes", F.col(f"{y}_span_id")), F.lit(False)) | F.coalesce(F.col(f"{y}_superseded_by") == F.col(f"{x}_span_id"), F.lit(False))
-    superseding = holds("a", "b") | holds("b", "a")
-    dates = F.coalesce(F.col("a_effective_date") == F.col("b_effective_date"), F.lit(False))
-    clash = dates & (F.col("a_status") != F.col("b_status"))
-    kind = F.when(superseding, "supersession").when(F.col("a_status") != F.col("b_status"), "status_conflict").otherwise("temporal_overlap")
-    prefer = F.when(superseding, F.when(holds("a", "b"), "prefer_first").otherwise("prefer_second"))
+    """Pairs of one query where one names the other as superseded, or with equal effective dates and different status.
+
+    Candidates come from equi-joins, on the dates and on the supersession edges, so no query's spans are all paired."""
+    rows = spans.select("query_id", "pos", "span_id", "effective_date", "status")
+    side = lambda x, *keep: rows.select("query_id", *keep, *[F.col(c).alias(f"{x}_{c}") for c in ("pos", "span_id", "status")])
+    dated = side("a", "effective_date").join(side("b", "effective_date"), ["query_id", "effective_date"])
+    dated = dated.filter("a_pos < b_pos AND a_status <> b_status").drop("effective_date").withColumn("holder", F.lit(0))
+    edges = supersession_edges(spans)
+    named = edges.join(side("x").withColumnRenamed("x_span_id", "superseding"), ["query_id", "superseding"]).join(side("y").withColumnRenamed("y_span_id", "superseded"), ["query_id", "superseded"]).filter("x_pos <> y_pos")
+    forward = F.col("x_pos") < F.col("y_pos")
+    ids = {"x": "superseding", "y": "superseded"}
+    pick = lambda c, first: F.when(forward == first, F.col(ids["x"] if c == "span_id" else f"x_{c}")).otherwise(F.col(ids["y"] if c == "span_id" else f"y_{c}"))
+    named = named.select("query_id", *[pick(c, True).alias(f"a_{c}") for c in ("pos", "span_id", "status")], *[pick(c, False).alias(f"b_{c}") for c in ("pos", "span_id", "status")], F.when(forward, 2).otherwise(1).alias("holder"))
+    pairs = dated.unionByName(named, allowMissingColumns=False).groupBy("query_id", "a_pos", "b_pos", "a_span_id", "b_span_id", "a_status", "b_status").agg(F.max("holder").alias("holder"))
+    kind = F.when(F.col("holder") > 0, "supersession").when(F.col("a_status") != F.col("b_status"), "status_conflict").otherwise("temporal_overlap")
+    prefer = F.when(F.col("holder") == 2, "prefer_first").when(F.col("holder") == 1, "prefer_second")
     prefer = prefer.when((F.col("a_status") == "active") & (F.col("b_status") != "active"), "prefer_first")
     prefer = prefer.when((F.col("b_status") == "active") & (F.col("a_status") != "active"), "prefer_second").otherwise("prefer_latest")
-    out = pairs.filter(superseding | clash)
-    return out.select("query_id", F.col("a_span_id").alias("first"), F.col("b_span_id").alias("second"), kind.alias("conflict_type"), prefer.alias("resolution"))
+    return pairs.select("query_id", F.col("a_span_id").alias("first"), F.col("b_span_id").alias("second"), kind.alias("conflict_type"), prefer.alias("resolution"))
 
 
 def text_conflicts(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -216,6 +216,17 @@ def resolve_conflicts(spans: DataFrame, conflicts: DataFrame) -> DataFrame:
     return spans.join(lost, ["query_id", "span_id"], "left_anti")
 
 
+def versioned_answer(spans: DataFrame, as_of: Column, threshold: float = 0.8) -> DataFrame:
+    """(query_id, total, valid, expired, conflicts, resolved): spans valid at the date, conflicts among them, and what is left when each is resolved."""
+    split = split_by_date(spans, as_of)
+    valid = split.filter("valid").drop("valid")
+    conflicts = text_conflicts(valid, threshold)
+    left = resolve_conflicts(valid, conflicts).groupBy("query_id").agg(F.count(F.lit(1)).alias("resolved"))
+    counts = split.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("expired"))
+    found = conflicts.groupBy("query_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    return counts.join(found, "query_id", "left").join(left, "query_id", "left").fillna(0, ["conflicts", "resolved"])
+
+
 # --- answers at two dates -------------------------------------------------------------------------
 def answer_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(query_id, text, change): added, removed or modified between two valid sets, told apart by text."""

@@ -67,6 +67,7 @@ QUERIES = {
     "meta_conflicts": lambda s, d: tp.metadata_conflicts(temporal(s, d)),
     "text_conflicts": lambda s, d: tp.text_conflicts(temporal(s, d)).withColumn("similarity", F.round("similarity", 6)),
     "conflict_resolve": _resolved,
+    "versioned_answer": lambda s, d: tp.versioned_answer(temporal(s, d), _DATE(AS_OF)),
     "answer_diff": _diff,
     "change_score": lambda s, d: tp.change_score(_diff(s, d)).withColumn("change_score", F.round("change_score", 6)),
     "diff_view": lambda s, d: temporal(s, d).select("span_id", tp.shortened(F.col("text"), 20).alias("shown")),
@@ -158,6 +159,10 @@ ORACLE = {
     "text_conflicts": f"{_WITH}, {_PAIRS} SELECT query_id, first, second, similarity, winner FROM p",
     "conflict_resolve": f"""{_WITH}, {_PAIRS}, l AS (SELECT query_id, span_id, max(CASE WHEN winner = span_id THEN 1 ELSE 0 END) AS won FROM (SELECT query_id, first AS span_id, winner FROM p UNION ALL SELECT query_id, second, winner FROM p) GROUP BY ALL)
         SELECT query_id, span_id FROM s WHERE (query_id, span_id) NOT IN (SELECT (query_id, span_id) FROM l WHERE won = 0)""",
+    "versioned_answer": f"""WITH s0 AS ({SPANS}), s AS (SELECT a.* FROM s0 a JOIN (WITH s AS (SELECT * FROM s0) {_kept(_OF)}) k ON a.query_id = k.query_id AND a.span_id = k.span_id), {_PAIRS},
+        l AS (SELECT query_id, span_id, max(CASE WHEN winner = span_id THEN 1 ELSE 0 END) AS won FROM (SELECT query_id, first AS span_id, winner FROM p UNION ALL SELECT query_id, second, winner FROM p) GROUP BY ALL)
+        SELECT query_id, count(*) AS total, (SELECT count(*) FROM s WHERE s.query_id = s0.query_id) AS valid, count(*) - (SELECT count(*) FROM s WHERE s.query_id = s0.query_id) AS expired, (SELECT count(*) FROM p WHERE p.query_id = s0.query_id) AS conflicts,
+        (SELECT count(*) FROM s WHERE s.query_id = s0.query_id) - (SELECT count(*) FROM l WHERE l.query_id = s0.query_id AND won = 0) AS resolved FROM s0 GROUP BY query_id""",
     "answer_diff": f"{_WITH}, {_DIFF} SELECT query_id, text, change, weight FROM d WHERE change IS NOT NULL",
     "change_score": f"""{_WITH}, {_DIFF} SELECT query_id, round(sum(CASE WHEN change = 'modified' THEN weight / 2 ELSE weight END), 6) AS change_score, count_if(change = 'added')::BIGINT AS added, count_if(change = 'removed')::BIGINT AS removed,
         count_if(change = 'modified')::BIGINT AS modified FROM d WHERE change IS NOT NULL GROUP BY 1""",

@@ -43,6 +43,11 @@ def _sliding(s, d):
     return out.select("document_id", "window", F.sha2("text", 256).alias("digest"), "byte_start", "byte_end")
 
 
+def _window_sections(s, d):
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return sg.window_sections(texts, sg.paragraphs(_pages(s, d), "\n")).withColumn("pos", F.col("pos").cast("long"))
+
+
 def _dedup(s, d):
     lines = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_no", "text")).withColumn("kind", F.lit(0))
     return sg.without_copies(lines).select("document_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").alias("n"))
@@ -88,6 +93,7 @@ QUERIES = {
     "segment_sections": _sections,
     "hier_chunks": _hier,
     "sliding_chunks": _sliding,
+    "window_sections": _window_sections,
     "chunk_dedup": _dedup,
     "chunk_context": _context,
 }
@@ -151,6 +157,8 @@ ORACLE = {
         SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, section_type, level, byte_start, (byte_start + strlen(t))::BIGINT AS byte_end, sha256(t) AS digest,
         CASE WHEN h + lat = 0 THEN 'unknown' WHEN h / (h + lat) > 0.3 THEN 'hi' ELSE 'en' END AS language,
         CASE WHEN level > 0 THEN last_value(CASE WHEN level = 0 THEN left(t, 50) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS parent FROM v""",
+    "window_sections": f"""WITH {_SECTIONS}, w AS (SELECT doc_id AS document_id, strlen(text) AS n, unnest(range(0, strlen(text), 448)) AS s FROM documents)
+        SELECT document_id, (s // 448)::INT AS "window", pos FROM w JOIN sec USING (document_id) WHERE byte_start < least(s + 512, n) AND byte_end > s""",
     "chunk_dedup": """WITH l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents)
         SELECT document_id, min(chunk_no)::BIGINT AS chunk_no, length(text)::INT AS n FROM l GROUP BY document_id, text""",
     "chunk_context": """WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), m AS (SELECT document_id, max(chunk_no) AS top FROM l GROUP BY 1)
