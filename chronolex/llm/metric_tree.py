@@ -19,10 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.vectors import Distinct, sharded_top_k, usable
+from chronolex.llm.vectors import SHARD_VALUES, Distinct, sharded_top_k, usable
 
 PAGE = 32
-SHARD_ROWS = 3072
 
 
 class MetricTree:
@@ -121,7 +120,7 @@ def _index(k: int):
     return build
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, shard_values: int = SHARD_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) whose vec_id `every` divides; components are floor(scale * x)."""
     whole = usable(vectors, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
-    return sharded_top_k(whole, F.col("vec_id") % every == 0, k, shard_rows, _index(k), "long")
+    return sharded_top_k(whole, F.col("vec_id") % every == 0, k, shard_values, _index(k), "long")

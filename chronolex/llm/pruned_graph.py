@@ -10,6 +10,7 @@ that the inner product with a query orders as the distance does. All queries of
 a batch, take their steps together as matrix operations. Scores are exact double-precision inner products.
 
 Every row is indexed, ids of equal vectors under one node. Null, zero and non-finite vectors take no part.
+Building a shard of n rows takes n searches of some log n steps, a query one such search a shard.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.vectors import Distinct, sharded_top_k, usable
+from chronolex.llm.vectors import SHARD_VALUES, Distinct, sharded_top_k, usable
 
-DEGREE, BEAM, QUERY_BEAM, ALPHA = 32, 64, 96, 1.2
-SHARD_ROWS = 3072
+DEGREE, BEAM, QUERY_BEAM, ALPHA = 40, 64, 128, 1.2
 
 
 class PrunedGraph:
@@ -32,7 +32,7 @@ class PrunedGraph:
         self.sq = (self.x**2).sum(axis=1)
         self.degree, self.alpha = degree, np.float32(alpha**2)
         n = len(points)
-        self.links = np.full((n, degree), -1, np.int64)
+        self.links = np.full((n, degree), -1, np.int32)
         self.start = int(np.argmin(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1)))
         order = np.random.default_rng(seed).permutation(n)
         order = order[order != self.start]
@@ -151,6 +151,6 @@ def _index(k: int, query_beam: int):
     return build
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, query_beam: int = QUERY_BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_values: int = SHARD_VALUES, query_beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) whose vec_id `every` divides."""
-    return sharded_top_k(usable(vectors, nonzero=True), F.col("vec_id") % every == 0, k, shard_rows, _index(k, query_beam), "double")
+    return sharded_top_k(usable(vectors, nonzero=True), F.col("vec_id") % every == 0, k, shard_values, _index(k, query_beam), "double")
