@@ -6,8 +6,9 @@ forward Viterbi pass gives every node its best score from the start; these are e
 search backward from the end, which therefore takes segmentations in the order of their scores.
 
 Pieces never cross the start of a word (the space mark) or a line break, so a text's lattice is a chain of
-its units' lattices. Each distinct unit is solved once per worker: forward and backward passes of many units
-at once give best scores and the gap to the second best. The text's N best differ from its best in the
+its units' lattices. A worker remembers the units it has solved, within MEMO_BYTES (beyond that it forgets units
+met once and the rarest of the others, and solves them again when they come): forward and backward passes of
+many units at once give best scores and the gap to the second best. The text's N best differ from its best in the
 N - 1 units with the smallest gaps only; those units' N best come from A*, and a best-first merge joins
 them. Every result is the exact N best of the whole text.
 
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import MEMO_BYTES, Interner, memo, memo_bytes, slices
+from chronolex.llm.common import ENTRY_BYTES, MEMO_BYTES, Interner, memo, memo_bytes, slices
 
 MARK = "▁"
 _TEXT_MARK = 0x110000  # a space mark of the text itself: no character has this code, and so no piece
 LONG, BATCH_UNITS, BATCH_CHARS, BLOCK_CHARS = 48, 2048, 32_768, 1 << 15
+FILTER_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -73,6 +76,10 @@ class Model:
             hashes = self._hash_all([p for p, _ in some]) if some else np.empty(0, np.uint64)
             order = np.argsort(hashes)
             self._by_length.append((hashes[order], np.array([i for _, i in some], np.int64)[order]))
+        self._filter = np.zeros(1 << FILTER_BITS, bool)  # False where no piece has the hash
+        for hashes, _ in self._by_length:
+            self._filter[self._slot(hashes)] = True
+        self._edge_scores = np.append(self.scores, [self.fallback, -np.inf])  # by id: -2 and -1 are the last two
 
     @staticmethod
     def _hash_all(pieces: list[str]) -> np.ndarray:
@@ -84,26 +91,30 @@ class Model:
             out[at] = h & 0xFFFFFFFFFFFFFFFF
         return out
 
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * _MULTIPLIER >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
     def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1 none, -2 byte fallback) and scores of the piece of each length 1.. at each place; left: characters to the unit's end."""
+        """Ids (-1 none, -2 byte fallback) and scores of the piece of each length 1.. (as far as units go) at each place; left: characters to the unit's end."""
         n = len(codes)
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
             inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
             prefix = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:n])])
-        ids = np.full((self.longest, n), -1, np.int64)
-        for length, (hashes, of) in enumerate(self._by_length, 1):
-            at = np.flatnonzero(left >= length)
-            if not len(hashes) or not len(at):
+        high = min(self.longest, int(left.max())) if n else 1
+        ids = np.full((high, n), -1, np.int64)
+        for length, (hashes, of) in enumerate(self._by_length[:high], 1):
+            if not len(hashes):
                 continue
-            wanted = (prefix[at + length] - prefix[at]) * inverse[at]
+            wanted = (prefix[length:] - prefix[:-length]) * inverse[: n - length + 1]
+            at = np.flatnonzero(self._filter[self._slot(wanted)] & (left[: n - length + 1] >= length))
+            wanted = wanted[at]
             place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             hit = hashes[place] == wanted
             ids[length - 1, at[hit]] = of[place[hit]]
         ids[0, ids[0] < 0] = -2
-        scores = np.where(ids >= 0, self.scores[np.maximum(ids, 0)], -np.inf)
-        scores[0][ids[0] == -2] = self.fallback
-        return ids, scores
+        return ids, self._edge_scores[ids]
 
     def arcs(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """All edges (start, length, id, score) of a unit by start, then length, a block of characters at a time."""
@@ -199,7 +210,7 @@ def solve(model: Model, units: list[bytes]) -> Units:
     order = np.argsort(-size, kind="stable")
     column = np.empty(len(units), np.int64)
     column[order] = np.arange(len(units))
-    top, wide, all_ = int(size.max()), model.longest, np.arange(len(units))
+    top, wide, all_ = int(size.max()), len(ids), np.arange(len(units))
     edge = np.full((wide, top + 1, len(units)), -np.inf)  # score of the piece of k + 1 characters at a place
     edge[:, place, column[of]] = scores
     active = np.searchsorted(-size[order], -np.arange(top + 1), side="right")  # units of at least p characters
@@ -223,11 +234,10 @@ def solve(model: Model, units: list[bytes]) -> Units:
     # the best paths, from the end; edges on them don't count for the second best
     walking, at = all_, size.copy()
     steps_unit, steps_place, steps_id = [], [], []
-    on_path = np.zeros(forward.shape, np.int8)
     while len(walking):
         k = last[at[walking], column[walking]].astype(np.int64)
         at[walking] -= k
-        on_path[at[walking], column[walking]] = k
+        edge[k - 1, at[walking], column[walking]] = -np.inf
         start = base[walking] + at[walking]
         steps_unit.append(walking)
         steps_place.append(start)
@@ -236,7 +246,6 @@ def solve(model: Model, units: list[bytes]) -> Units:
     second = np.full(len(units), -np.inf)
     for k in range(1, wide + 1):
         through = forward[:top] + edge[k - 1, :top] + backward[k : k + top]
-        through[on_path[:top] == k] = -np.inf
         np.maximum(second, through.max(axis=0), out=second)
     second = second[column]
     unit, where, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (steps_unit, steps_place, steps_id))
@@ -264,41 +273,65 @@ class Segmenter:
         self._forget()
 
     def _forget(self) -> None:
-        self._units, self._alternatives, self._bytes = Interner(), {}, 0
+        self._units, self._alternatives, self._bytes, self._used = Interner(), {}, 0, np.empty(0, np.int64)
         empty = np.empty(0)
         self._known = Units(empty, empty, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
+    def _forget_rare(self) -> None:
+        """Forget units seen once, and of the others the rarest, until a half of the memo is free."""
+        units, known, used, alternatives = self._units.new, self._known, self._used, self._alternatives
+        order = np.argsort(-used, kind="stable")
+        size = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))[order] + ENTRY_BYTES)
+        keep = np.sort(order[(used[order] > 1) & (size <= MEMO_BYTES // 2)])
+        self._forget()
+        self._units.numbers([units[i] for i in keep.tolist()])
+        self._bytes, self._used = memo_bytes(self._units.new), used[keep] // 2
+        room = MEMO_BYTES // 4
+        for (unit, n), found in alternatives.items():
+            if unit in self._units and room > 0:
+                self._alternatives[unit, n] = found
+                room -= memo_bytes([unit] * n)
+        self._bytes += MEMO_BYTES // 4 - room
+        lengths = known.lengths[keep]
+        ends = np.cumsum(lengths)
+        ids = known.ids[np.repeat(known.starts[keep] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        self._known = Units(known.score[keep], known.gap[keep], ends - lengths, lengths, ids)
+
     def _learn(self) -> None:
-        known, fresh = [self._known], self._units.new[len(self._known.score) :]
-        some, chars = [], 0
-        for unit in fresh:
-            if some and (len(unit) > LONG or len(some) >= BATCH_UNITS or chars + len(unit) > BATCH_CHARS):
-                known.append(solve(self.model, some))
-                some, chars = [], 0
-            if len(unit) > LONG:
-                best = self.unit_n_best(unit, 2)
-                gap, ids = best[0][0] - best[1][0] if len(best) > 1 else np.inf, np.array(best[0][1], np.int64)
-                known.append(Units(np.array([best[0][0]]), np.array([gap]), np.zeros(1, np.int64), np.array([len(ids)]), ids))
-            else:
-                some.append(unit)
-                chars += len(unit)
-        if some:
-            known.append(solve(self.model, some))
-        before = np.cumsum([0] + [len(k.ids) for k in known])
-        starts = np.concatenate([k.starts + b for k, b in zip(known, before[:-1], strict=True)])
-        self._known = Units(*(np.concatenate([getattr(k, c) for k in known]) for c in ("score", "gap")), starts, *(np.concatenate([getattr(k, c) for k in known]) for c in ("lengths", "ids")))
-        self._bytes += memo_bytes(fresh)
+        fresh = self._units.new[len(self._known.score) :]
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        order = np.argsort(size, kind="stable")  # units of like lengths are solved together
+        known, at, short = [], 0, int((size <= LONG).sum())
+        while at < short:
+            widest = size[order[min(at + BATCH_UNITS, short) - 1]]
+            some = order[at : min(at + min(BATCH_UNITS, BATCH_CHARS // int(widest)), short)].tolist()
+            known.append(solve(self.model, [fresh[i] for i in some]))
+            at += len(some)
+        for i in order[short:].tolist():
+            best = self.unit_n_best(fresh[i], 2)
+            gap, ids = best[0][0] - best[1][0] if len(best) > 1 else np.inf, np.array(best[0][1], np.int64)
+            known.append(Units(np.array([best[0][0]]), np.array([gap]), np.zeros(1, np.int64), np.array([len(ids)]), ids))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        before = np.cumsum([len(self._known.ids)] + [len(k.ids) for k in known])
+        made = [np.concatenate([getattr(k, c) + (b if c == "starts" else 0) for k, b in zip(known, before, strict=False)])[back] for c in ("score", "gap", "starts", "lengths")]
+        old = self._known
+        self._known = Units(*(np.concatenate(x) for x in zip((old.score, old.gap, old.starts, old.lengths), made, strict=True)), np.concatenate([old.ids, *(k.ids for k in known)]))
+        self._bytes += int(size.sum()) + ENTRY_BYTES * len(fresh)
 
     def unit_n_best(self, unit: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
         return n_best(self.model, coded([unit])[0], n)
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         if self._bytes > MEMO_BYTES:
-            self._forget()
+            self._forget_rare()
         cut = [self._cut(b" " + text.encode()) if text else [] for text in texts]
         numbers = self._units.numbers([u for units in cut for u in units])
         if len(self._units.new) > len(self._known.score):
             self._learn()
+        used = np.bincount(numbers, minlength=len(self._units.new))
+        used[: len(self._used)] += self._used
+        self._used = used
         return np.split(numbers, np.cumsum([len(c) for c in cut])[:-1]) if cut else []
 
     def best(self, numbers: np.ndarray) -> tuple[float, np.ndarray]:
