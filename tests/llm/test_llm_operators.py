@@ -325,6 +325,62 @@ def test_language_model(spark, broadcast_words):
     assert score_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_words", [10**6, 0])
+def test_language_model_scores_against_brute_force(spark, broadcast_words):
+    """Every score from counts in plain loops. The mixture weights from the histogram's rounded estimates are held
+    against those from the estimates themselves."""
+    from collections import Counter
+
+    from chronolex.llm.lm import _grid, mixture_weights, score_documents
+
+    texts = some_texts(300, seed=11) + [None, "", "seen once in a lifetime"]
+    rows = {r["doc_id"]: r for r in score_documents(documents(spark, texts), broadcast_words=broadcast_words).collect()}
+    tokens = [WORD.findall(low(t)) + ["\n"] for t in texts]
+    fold = [zlib.crc32(str(i).encode()) % 10 for i in range(len(texts))]
+    seen, rest, seen_pair, rest_pair, held = Counter(), Counter(), Counter(), Counter(), Counter()
+    for f, doc in zip(fold, tokens, strict=True):
+        pairs = list(zip([None, *doc], doc, strict=False))
+        if f != 0:
+            seen.update([None, *doc])
+            seen_pair.update(pairs)
+        if f > 1:
+            rest.update([None, *doc])
+            rest_pair.update(pairs)
+        if f == 1:
+            held.update(pairs)
+    n, v, r = sum(seen.values()) - seen[None], len(seen) - 1, sum(rest.values()) - rest[None]
+    floor, histogram, exact = 1 / (v + 1), Counter(), {}
+
+    def bucket(count):
+        return count.bit_length()
+
+    for (u, w), times in held.items():
+        p2, p1 = (rest_pair[u, w] / rest[u] if rest[u] else 0.0), rest[w] / r
+        histogram[bucket(rest[u]), int(_grid(np.array(p2), floor)), int(_grid(np.array(p1), floor))] += times
+        exact.setdefault(bucket(rest[u]), []).append((p2, p1, times))
+    mix = mixture_weights(histogram, floor)
+
+    def likelihood(weights, cells):
+        return sum(t * np.log2(weights @ (p2, p1, floor)) for p2, p1, t in cells) / sum(t for *_, t in cells)
+
+    for b, cells in exact.items():
+        best = np.full(3, 1 / 3)
+        for _ in range(200):
+            total = np.zeros(3)
+            for p2, p1, t in cells:
+                share = best * (p2, p1, floor)
+                total += t * share / share.sum()
+            best = total / total.sum()
+        # what rounding to quarter octaves costs, in bits of a held-out token
+        assert likelihood(best, cells) - likelihood(mix[b], cells) < 0.02
+    for i, doc in enumerate(tokens):
+        want = 0.0
+        for u, w in zip([None, *doc], doc, strict=False):
+            m = mix[bucket(seen[u])]
+            want += np.log10(m[0] * seen_pair[u, w] / max(seen[u], 1) + m[1] * seen[w] / n + m[2] * floor)
+        assert np.isclose(rows[i]["score"], want, rtol=1e-9)
+
+
 def test_mixture_weights_raise_the_likelihood():
     from chronolex.llm.lm import GRID, _grid, _grid_value, mixture_weights
 
