@@ -88,6 +88,12 @@ def op12_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolex.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
