@@ -15,15 +15,15 @@ from chronolex.operators import answer as an
 from chronolex.operators import claims as cl
 from chronolex.operators import retrieve as rt
 from chronolex.operators import temporal as tp
+from chronolex.operators.index import lexical
+from chronolex.staging import staged
 
 RERANK_FROM = 10
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed in spark.checkpoint.dir, which all executors share; persisted where that is unset.
-
-    What follows uses spans many times over; without this each use would retrieve again."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df computed once: what follows uses spans many times over, and each use would retrieve again."""
+    return staged(df, "engine")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, valid: Column | None = None, min_confidence: float = 0.0, languages=None, section_types=None, scorer: Column | None = None) -> DataFrame:
@@ -33,8 +33,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = Engin
     fused hits, then they are cut to top_k; a scorer re-ranks the queries that keep more than ten."""
     none = queries.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     dense = rt.dense(query_vectors, vectors, config.top_k) if config.use_dense and query_vectors is not None and vectors is not None else none
-    sparse = rt.sparse(queries, chunks, config.top_k) if config.use_sparse else none
-    bm25 = rt.bm25(queries, chunks, config.top_k) if config.use_bm25 else none
+    lex = lexical(chunks) if config.use_sparse or config.use_bm25 else None
+    sparse = rt.sparse(queries, lex, config.top_k) if config.use_sparse else none
+    bm25 = rt.bm25(queries, lex, config.top_k) if config.use_bm25 else none
     hits = rt.fuse(dense, sparse, bm25, config.hybrid_alpha).join(chunks, "chunk_id")
     hits = rt.top(rt.filtered(hits, min_confidence, languages, section_types, valid), config.top_k)
     if config.use_reranker and scorer is not None:

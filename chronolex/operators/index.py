@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolex.staging import staged
+
 # fixed values: parameters of the ranking function
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_TERMS = 10_000
+BLOCK, LEVELS, BUCKETS = 2048, 8, 16  # postings of a part, levels of impact, folders of a written table of blocks
 #: a short list of our own; the query and its oracle share it
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
@@ -18,66 +23,75 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def terms(text: Column) -> Column:
-    """Tokens of two characters or more that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+@dataclass(frozen=True)
+class Lexical:
+    """What both lexical rankings read, from one tokenisation: term counts by chunk, the vocabulary, and three totals."""
+
+    counts: DataFrame  #: (chunk_id, doc_len, terms array<struct<term, tf>>)
+    vocabulary: DataFrame  #: (term, df, total)
+    n: int
+    avgdl: float
+    mean_idf: float
+
+    def postings(self, *more: str) -> DataFrame:
+        """(chunk_id, doc_len, term, tf), a row a distinct term of a chunk."""
+        return self.counts.select("chunk_id", "doc_len", *more, F.explode("terms").alias("_p")).select("chunk_id", "doc_len", *more, "_p.term", "_p.tf")
 
 
-def postings(chunks: DataFrame, split=tokens, only: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf, doc_len): occurrences summed within the scan's tasks before the shuffle; of the terms in `only` (distinct), if given."""
-    exploded = chunks.withColumn("_t", split(F.col("text"))).select("chunk_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-    if only is not None:
-        exploded = exploded.join(only, "term", "left_semi")
-    return exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_len, terms): runs of equal words in each chunk's sorted words, so counting needs no shuffle."""
+    words = chunks.select("chunk_id", F.array_sort(tokens(F.col("text"))).alias("_w"))
+    first = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+    words = words.withColumn("_at", F.when(F.size("_w") > 0, first).otherwise(F.array().cast("array<int>")))
+    run = lambda i, k: F.struct(F.get("_w", i - 1).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_w") + 1) - i).alias("tf"))
+    return words.select("chunk_id", F.size("_w").alias("doc_len"), F.transform("_at", run).alias("terms"))
 
 
-def corpus_size(chunks: DataFrame) -> DataFrame:
-    """One row (n, avgdl)."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+def lexical(chunks: DataFrame) -> Lexical:
+    """chunks (chunk_id, text), each id once; a null text counts as a chunk without words or length."""
+    counts = staged(term_counts(chunks), "terms")
+    each = counts.select(F.explode("terms").alias("_p")).groupBy("_p.term").agg(F.count(F.lit(1)).alias("df"), F.sum("_p.tf").alias("total"))
+    vocabulary = staged(each.select("term", "df", "total"), "vocabulary")
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("doc_len") >= 0, F.col("doc_len"))).alias("avgdl")).first()
+    mean = vocabulary.agg(F.avg(_raw_idf(size["n"]))).first()[0]
+    return Lexical(counts, vocabulary, size["n"], size["avgdl"] or 1.0, mean or 0.0)
 
 
-def term_counts(chunks: DataFrame, split=tokens) -> DataFrame:
-    """(term, total, df): occurrences and chunks of each term, in one shuffle of partial sums by term."""
-    words = chunks.select(split(F.col("text")).alias("_t"))
-    each = words.select(F.explode("_t").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
-    once = words.select(F.explode(F.array_distinct("_t")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
-    return each.unionByName(once).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+def _raw_idf(n: int) -> Column:
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def bm25_idf(chunks: DataFrame, size: DataFrame) -> DataFrame:
-    """(term, idf): ln((n - df + 0.5) / (df + 0.5)), negative ones replaced by a quarter of the mean over all terms."""
-    words = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+def bm25_idf(lex: Lexical) -> Column:
+    """Of a vocabulary row: ln((n - df + 0.5) / (df + 0.5)), negative ones replaced by a quarter of the mean over all terms."""
+    return F.when(_raw_idf(lex.n) < 0, F.lit(lex.mean_idf * EPSILON)).otherwise(_raw_idf(lex.n))
 
 
-def bm25_index(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, weight): what one occurrence of the term in a query adds to the chunk's score; of asked (term, distinct) only, if given."""
-    size = corpus_size(chunks)
-    posts, idf = postings(chunks, only=asked), bm25_idf(chunks, size)
-    if asked is not None:
-        idf = idf.join(asked, "term", "left_semi")
-    joined = posts.join(idf, "term").join(F.broadcast(size.select("avgdl")))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    return joined.select("term", "chunk_id", (F.col("idf") * tf).alias("weight"))
+def bm25_weight(lex: Lexical) -> Column:
+    """What one occurrence of the term in a query adds to a chunk's score, from tf, doc_len and idf."""
+    return F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / lex.avgdl)))
 
 
-def tfidf_idf(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+def bm25_index(lex: Lexical) -> DataFrame:
+    """(term, chunk_id, weight) of all postings."""
+    idf = lex.vocabulary.select("term", bm25_idf(lex).alias("idf"))
+    return lex.postings().join(idf, "term").select("term", "chunk_id", bm25_weight(lex).alias("weight"))
+
+
+def tfidf_idf(lex: Lexical, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, idf) of the max_terms terms with most occurrences, ties by term: ln((1 + n) / (1 + df)) + 1."""
-    counted = term_counts(chunks, terms).orderBy(F.desc("total"), "term").limit(max_terms)
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    able = lex.vocabulary.filter((F.length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS)).orderBy(F.desc("total"), "term").limit(max_terms)
+    return able.select("term", (F.log((1 + F.lit(lex.n)) / (1 + F.col("df"))) + 1).alias("idf"))
+
 
+def norms(weighted: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, norm): lengths of the vectors with rows (key, w), summed within the scan's tasks before the shuffle."""
+    return weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-def tfidf_vectors(texts: DataFrame, idf: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, term, weight) of unit length; idf has at most MAX_TERMS rows."""
-    posts = postings(texts.withColumnRenamed(key, "chunk_id"), terms).join(F.broadcast(idf), "term")
-    raw = posts.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("chunk_id")))
-    return raw.select(F.col("chunk_id").alias(key), "term", (F.col("w") / norm).alias("weight"))
+
+def tfidf_vectors(lex: Lexical, idf: DataFrame) -> DataFrame:
+    """(chunk_id, term, weight) of unit length; idf has at most MAX_TERMS rows."""
+    raw = lex.postings().join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return raw.join(norms(raw), "chunk_id").select("chunk_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -88,25 +102,48 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.transform("_v", lambda x: x / F.col("_norm")).alias("v"), *[c for c in vectors.columns if c not in ("chunk_id", "embedding")])
 
 
-def index_statistics(chunks: DataFrame) -> DataFrame:
-    posts = postings(chunks)
-    return chunks.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(posts.agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("postings")))
+# --- postings in blocks ---------------------------------------------------------------------------
+def blocks(index: DataFrame) -> DataFrame:
+    """index (term, chunk_id, weight) -> (bucket, term, part, level, n, most, parts, chunk_ids, weights): postings in blocks of about BLOCK at most.
+
+    A block holds the postings of one term, of one level of impact (LEVELS equal steps up to the term's largest weight, the
+    highest first) and of one part of the chunks, by a hash of chunk_id; frequent terms have many parts, so no term meets in
+    one task. `most` is the block's largest weight; bucket spreads terms over folders of a written table."""
+    sizes = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"), F.min("weight").alias("low"))
+    parts = F.ceil(F.col("df") / BLOCK).cast("int")
+    rows = index.join(sizes.withColumn("parts", parts), "term")
+    step = (F.col("top") - F.col("weight")) / F.when(F.col("top") > F.col("low"), F.col("top") - F.col("low"))
+    rows = rows.withColumn("level", F.least(F.coalesce(F.floor(step * LEVELS), F.lit(0)), F.lit(LEVELS - 1)).cast("int")).withColumn("part", part_of(F.col("chunk_id"), F.col("parts")))
+    held = rows.groupBy("term", "part", "level").agg(F.max("parts").alias("parts"), F.max("weight").alias("most"), F.collect_list(F.struct("chunk_id", "weight")).alias("p"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return held.select(bucket, "term", "part", "level", F.size("p").alias("n"), "most", "parts", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.weight").alias("weights"))
+
+
+def part_of(chunk_id: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(chunk_id), parts).cast("int")
+
+
+def index_statistics(lex: Lexical) -> DataFrame:
+    return lex.vocabulary.agg(F.lit(lex.n).cast("long").alias("chunks"), F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
 
 
 def write_indices(chunks: DataFrame, vectors: DataFrame | None, path: str) -> dict[str, str]:
-    """Chunks, postings of both kinds and vectors as tables below path; name -> "ok" or the error of a part that failed.
+    """Chunks, postings of both kinds, in rows and in blocks, and vectors as tables below path; name -> "ok" or the error of a part that failed.
 
     Empty input is an error; a part that fails leaves the others."""
     if not chunks.take(1):
         raise ValueError("no chunks to index")
-    idf = tfidf_idf(chunks)
-    parts = {"chunks": lambda: chunks, "bm25": lambda: bm25_index(chunks), "tfidf_idf": lambda: idf, "tfidf": lambda: tfidf_vectors(chunks, idf)}
+    lex = lexical(chunks)
+    idf = tfidf_idf(lex)
+    parts = {"chunks": lambda: chunks, "bm25": lambda: bm25_index(lex), "tfidf_idf": lambda: idf, "tfidf": lambda: tfidf_vectors(lex, idf)}
+    parts |= {"bm25_blocks": lambda: blocks(bm25_index(lex)), "tfidf_blocks": lambda: blocks(tfidf_vectors(lex, idf))}
     if vectors is not None:
         parts["dense"] = lambda: unit_vectors(vectors)
     said = {}
     for name, made in parts.items():
         try:
-            made().write.mode("overwrite").parquet(f"{path}/{name}")
+            table = made()
+            table.write.mode("overwrite").partitionBy(*[c for c in ("bucket",) if c in table.columns]).parquet(f"{path}/{name}")
             said[name] = "ok"
         except Exception as e:  # the other parts are of use without this one
             said[name] = f"{type(e).__name__}: {str(e)[:200]}"
@@ -116,7 +153,7 @@ def write_indices(chunks: DataFrame, vectors: DataFrame | None, path: str) -> di
 def read_indices(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that write_indices left below path; a part that isn't there is missing from the result."""
     found = {}
-    for name in ("chunks", "bm25", "tfidf_idf", "tfidf", "dense"):
+    for name in ("chunks", "bm25", "tfidf_idf", "tfidf", "bm25_blocks", "tfidf_blocks", "dense"):
         try:
             found[name] = spark.read.parquet(f"{path}/{name}")
         except AnalysisException:

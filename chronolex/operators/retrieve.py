@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolex.operators.index import bm25_index, tfidf_idf, tfidf_vectors, tokens
+from chronolex.operators.index import Lexical, bm25_idf, bm25_weight, norms, part_of, tfidf_idf, tokens
+from chronolex.staging import staged
 
 
 def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -18,31 +19,127 @@ def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-ASKED_TERMS = 100_000  # distinct terms of the queries that are sent to the postings
+ASKED_TERMS = 1_000_000  # (query, term) rows that are sent to the postings
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
+def _few(df: DataFrame, most: int = ASKED_TERMS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times) of queries (query_id, text)."""
+    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _dots(index: DataFrame, asked: DataFrame, times: str) -> DataFrame:
+    """(query_id, chunk_id, score): index (term, chunk_id, weight) joined on terms and summed."""
+    return index.join(_few(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col(times)).alias("score"))
+
+
+def bm25(queries: DataFrame, lex: Lexical | None, k: int, index: DataFrame | None = None) -> DataFrame:
     """Postings joined on terms, summed per (query, chunk); query words count as often as they occur.
 
-    index: a written bm25_index of chunks; without it only the postings of asked terms are made."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    if index is None:
-        index = bm25_index(chunks, _few(asked.select("term").distinct(), ASKED_TERMS))
-    scores = index.join(_few(asked, 10 * ASKED_TERMS), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    index: a written bm25_index; without it only the postings of asked terms leave the term counts of lex."""
+    asked = asked_terms(queries)
+    if index is not None:
+        return _top(_dots(index, asked, "times"), k)
+    asked = staged(asked.join(lex.vocabulary.select("term", bm25_idf(lex).alias("idf")), "term"), "asked")
+    rows = lex.postings().join(_few(asked), "term")
+    scores = rows.groupBy("query_id", "chunk_id").agg(F.sum(bm25_weight(lex) * F.col("times")).alias("score"))
     return _top(scores, k)
 
 
-def sparse(queries: DataFrame, chunks: DataFrame, k: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Cosine of TF-IDF vectors over shared terms only; index: written (idf, vectors) of chunks."""
-    idf, vectors = index or (tfidf_idf(chunks), None)
-    vectors = tfidf_vectors(chunks, idf) if vectors is None else vectors
-    asked = tfidf_vectors(queries, idf, "query_id").withColumnRenamed("weight", "asked")
-    scores = vectors.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
-    return _top(scores, k)
+def asked_vectors(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """(query_id, term, asked): unit TF-IDF vectors of the queries, idf with at most MAX_TERMS rows."""
+    raw = asked_terms(queries).join(F.broadcast(idf), "term").withColumn("w", F.col("times") * F.col("idf"))
+    return raw.join(norms(raw, "query_id"), "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("asked"))
+
+
+def sparse(queries: DataFrame, lex: Lexical | None, k: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Cosine of TF-IDF vectors over shared terms only; index: written (idf, vectors)."""
+    if index is not None:
+        return _top(_dots(index[1], asked_vectors(queries, index[0]), "asked"), k)
+    idf = staged(tfidf_idf(lex), "idf")
+    weighted = lex.postings().join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    asked = staged(asked_vectors(queries, idf), "asked")
+    dots = weighted.join(_few(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("asked")).alias("dot"))
+    return _top(dots.join(norms(weighted), "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")), k)
+
+
+# --- top k by blocks ------------------------------------------------------------------------------
+def block_top_k(asked: DataFrame, blocks: DataFrame, k: int, seeds: int = 2, reads: list | None = None) -> DataFrame:
+    """The k best of each query over blocks of postings (index.blocks): exact, and reads only blocks that can matter.
+
+    asked: (query_id, term, times), times not negative. 1. Each query's most promising blocks give chunks whose exact scores
+    bound the k-th score from below. 2. A chunk that reaches the bound lies in a block whose largest weight, with all
+    that the query's other terms can add, reaches it, too: only such blocks are read; a chunk goes on if what it
+    got and what unread blocks could add reaches the bound. 3. The scores of these are completed from the parts that
+    hold them. Work of a step is a join on (term, level) or (term, part); no query's or term's postings meet in one task.
+    reads, if given, gets the tables of (term, level or part) that were read, for blocks_read()."""
+    asked = staged(asked.filter("times > 0"), "asked")
+    asked_blocks = blocks.join(_few(asked.select("term").distinct()), "term", "left_semi")
+    levels = asked_blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("parts").alias("parts"))
+    levels = staged(asked.join(levels, "term").withColumn("add", F.col("times") * F.col("most")), "levels")
+    by_query = Window.partitionBy("query_id")
+
+    # 1: about seeds * k chunks a query, from its highest levels
+    before = F.sum("n").over(by_query.orderBy(F.desc("add"), "term", "level").rowsBetween(Window.unboundedPreceding, -1))
+    first = levels.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < seeds * k)
+    some = F.least(F.col("parts"), F.greatest(F.lit(1), F.ceil(F.col("parts") * (seeds * k) / F.col("n")))).cast("int")
+    drawn = _read(asked_blocks, first.select("query_id", "term", "level", some.alias("some")), F.col("part") < F.col("some"))
+    reads = [] if reads is None else reads
+    seeded = _completed(drawn.select("query_id", "chunk_id").distinct(), asked, asked_blocks, reads)
+    kth = F.row_number().over(by_query.orderBy(F.desc("score"), "chunk_id"))
+    bound = seeded.withColumn("r", kth).filter(F.col("r") == k).select("query_id", (F.col("score") - 2e-6).alias("bound"))
+
+    # 2: what each level must have beside it to matter
+    most = levels.groupBy("query_id", "term").agg(F.greatest(F.max("add"), F.lit(0.0)).alias("best"))
+    most = most.withColumn("all", F.sum("best").over(by_query)).withColumn("less", F.sum("best").over(by_query.orderBy("best", "term")))
+    most = most.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    able = levels.join(most, ["query_id", "term"])
+    needed = (F.col("less") >= F.col("bound")) & (F.col("add") + F.col("all") - F.col("best") >= F.col("bound"))
+    able = staged(able.withColumn("needed", needed), "able")
+    unread = able.groupBy("query_id", "term").agg(F.greatest(F.max(F.when(~F.col("needed"), F.col("add"))), F.lit(0.0)).alias("unread"), F.max("bound").alias("bound"))
+    unread = unread.withColumn("unread", F.coalesce("unread", F.lit(0.0))).withColumn("all_unread", F.sum("unread").over(by_query))
+    wanted = able.filter("needed").select("query_id", "term", "level", "times").join(unread, ["query_id", "term"])
+    got = _read(asked_blocks, wanted)
+    partial = got.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("weight")).alias("got"), F.sum("unread").alias("met"), F.max("all_unread").alias("all_unread"), F.max("bound").alias("bound"))
+    left = partial.filter(F.col("got") + F.col("all_unread") - F.col("met") >= F.col("bound")).select("query_id", "chunk_id")
+
+    reads.append(able.filter("needed").select("term", "level"))
+    return _top(_completed(left, asked, asked_blocks, reads), k)  # 3
+
+
+def blocks_read(asked: DataFrame, blocks: DataFrame, reads: list[DataFrame]) -> tuple[int, int]:
+    """Postings of asked terms, and those in blocks that block_top_k read (the first blocks lie in parts that are counted)."""
+    of = blocks.join(_few(asked.select("term").distinct()), "term", "left_semi").select("term", "level", "part", "n")
+    hit = None
+    for table in reads:
+        one = of.join(table.distinct(), [c for c in table.columns], "left_semi")
+        hit = one if hit is None else hit.unionByName(one)
+    sums = [df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (of, hit.distinct())]
+    return sums[0], sums[1]
+
+
+def _read(blocks: DataFrame, wanted: DataFrame, which: Column | None = None) -> DataFrame:
+    """wanted (query_id, term, level, ...) with a row for each posting (chunk_id, weight) of its blocks."""
+    met = blocks.join(_few(wanted), ["term", "level"])
+    met = met if which is None else met.filter(which)
+    columns = [c for c in wanted.columns if c not in ("term", "level")]
+    return met.select(*columns, F.explode(F.arrays_zip("chunk_ids", "weights")).alias("_p")).select(*columns, F.col("_p.chunk_ids").alias("chunk_id"), F.col("_p.weights").alias("weight"))
+
+
+def _completed(candidates: DataFrame, asked: DataFrame, blocks: DataFrame, reads: list[DataFrame]) -> DataFrame:
+    """(query_id, chunk_id, score) of candidates (query_id, chunk_id): exact sums from the parts of asked terms that hold them."""
+    parts = blocks.groupBy("term").agg(F.max("parts").alias("parts"))
+    each = staged(candidates, "candidates").join(asked, "query_id").join(_few(parts), "term")
+    each = each.select("query_id", "chunk_id", "term", "times", part_of(F.col("chunk_id"), F.col("parts")).alias("part"))
+    held = staged(each.select("term", "part").distinct(), "parts")
+    reads.append(held)
+    rows = blocks.join(held, ["term", "part"], "left_semi").select("term", F.explode(F.arrays_zip("chunk_ids", "weights")).alias("_p"))
+    rows = rows.select("term", F.col("_p.chunk_ids").alias("chunk_id"), F.col("_p.weights").alias("weight"))
+    return each.join(rows, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -> DataFrame:

@@ -17,6 +17,7 @@ from chronolex.operators import training as tr
 from chronolex.plans.inputs import AS_OF, EARLIER, INTERVALS, LEGAL, SPANS, intervals, legal, sql, table, temporal
 from chronolex.plans.temporal_queries import _kept
 from chronolex.operators.temporal import active_spans
+from chronolex.staging import staged
 
 K = 10
 DEPTH = 100  # of the lists that training and its metrics look through
@@ -41,16 +42,37 @@ def _own_labels(s, d):
     return table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.expr("vec_id DIV 20").alias("query_id"), F.col("label").alias("own"))
 
 
-def _bm25(s, d, k=K):
-    return rt.bm25(_queries(s, d), _chunks(s, d), k)
+def _lexical(s, d):
+    return ix.lexical(_chunks(s, d))
 
 
-def _sparse(s, d, k=K):
-    return rt.sparse(_queries(s, d), _chunks(s, d), k)
+def _bm25(s, d, k=K, lex=None):
+    return rt.bm25(_queries(s, d), lex or _lexical(s, d), k)
+
+
+def _sparse(s, d, k=K, lex=None):
+    return rt.sparse(_queries(s, d), lex or _lexical(s, d), k)
+
+
+def _bm25_blocks(s, d):
+    return rt.block_top_k(rt.asked_terms(_queries(s, d)), staged(ix.blocks(ix.bm25_index(_lexical(s, d))), "blocks"), K)
+
+
+def _sparse_blocks(s, d):
+    lex = _lexical(s, d)
+    idf = staged(ix.tfidf_idf(lex), "idf")
+    asked = rt.asked_vectors(_queries(s, d), idf).withColumnRenamed("asked", "times")
+    return rt.block_top_k(asked, staged(ix.blocks(ix.tfidf_vectors(lex, idf)), "blocks"), K)
+
+
+def _lists(s, d, k=K):
+    """The dense and the two lexical lists; both lexical ones from one tokenisation."""
+    lex = _lexical(s, d)
+    return _dense(s, d, k), _sparse(s, d, k, lex), _bm25(s, d, k, lex)
 
 
 def _fused(s, d):
-    return rt.fuse(_dense(s, d), _sparse(s, d), _bm25(s, d))
+    return rt.fuse(*_lists(s, d))
 
 
 def _hybrid(s, d):
@@ -59,7 +81,7 @@ def _hybrid(s, d):
 
 
 def _rrf(s, d):
-    out = rt.top(rt.reciprocal_rank(_dense(s, d, 2 * K), _sparse(s, d, 2 * K), _bm25(s, d, 2 * K)), K)
+    out = rt.top(rt.reciprocal_rank(*_lists(s, d, 2 * K)), K)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -225,7 +247,7 @@ def _ablations(s, d):
     number = {name: i for i, name in enumerate(grid)}
     each = lambda df, able: df.withColumn("config", F.explode(F.array(*[F.lit(n) for n, c in grid.items() if able(c)])))
     keyed = lambda df: df.withColumn("query_id", F.struct("config", "query_id"))
-    lists = [keyed(each(hits, able)) for hits, able in ((_dense(s, d), lambda c: c.use_dense), (_sparse(s, d), lambda c: c.use_sparse), (_bm25(s, d), lambda c: c.use_bm25))]
+    lists = [keyed(each(hits, able)) for hits, able in zip(_lists(s, d), (lambda c: c.use_dense, lambda c: c.use_sparse, lambda c: c.use_bm25), strict=True)]
     good = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id")).distinct().withColumn("relevance", F.lit(1.0))
     ranked = rt.top(rt.fuse(*lists), K).join(good, "chunk_id", "left").fillna(0.0, ["relevance"])
     gains = mt.ndcg(ranked.select("query_id", F.col("chunk_id").alias("item_id"), "score", "relevance"))
@@ -299,12 +321,14 @@ def _iou(s, d):
 QUERIES = {
     "bm25_topk": lambda s, d: _bm25(s, d).drop("rank"),
     "tfidf_topk": lambda s, d: _sparse(s, d).drop("rank"),
+    "bm25_blocks": lambda s, d: _bm25_blocks(s, d).drop("rank"),
+    "tfidf_blocks": lambda s, d: _sparse_blocks(s, d).drop("rank"),
     "dense_topk": lambda s, d: _dense(s, d).withColumn("rank", F.col("rank").cast("long")),
     "hybrid_fuse": _hybrid,
     "rrf_fuse": _rrf,
     "filter_lang_conf": _filtered,
     "rerank": _reranked,
-    "index_stats": lambda s, d: ix.index_statistics(_chunks(s, d)),
+    "index_stats": lambda s, d: ix.index_statistics(_lexical(s, d)),
     "claims": lambda s, d: cl.extract(_answers(s, d)).select("answer_id", "sentence_index", "claim", "start", F.col("end").alias("end_"), "claim_type"),
     "verify_claims": _verified,
     "verify_summary": _summary,
@@ -458,6 +482,8 @@ ORACLE = {
         SELECT page, elem_id, n AS "column" FROM c""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score FROM bm25",
     "tfidf_topk": f"WITH {_TFIDF} SELECT query_id, chunk_id, score FROM sparse",
+    "bm25_blocks": f"WITH {_BM25} SELECT query_id, chunk_id, score FROM bm25",
+    "tfidf_blocks": f"WITH {_TFIDF} SELECT query_id, chunk_id, score FROM sparse",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dense",
     "hybrid_fuse": f"WITH {_FUSE} SELECT query_id, chunk_id, round(d, 5) AS dense, round(s, 5) AS sparse, round(b, 5) AS bm25, round(score, 5) AS score, round(confidence, 5) AS confidence FROM fused",
     "rrf_fuse": f"""WITH {", ".join(x.replace("DEPTH", str(2 * K)) for x in (_DENSE_AT, _TFIDF_AT, _BM25_AT))}, un AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS x FROM dense UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM sparse UNION ALL SELECT query_id, chunk_id, 1 / (60 + rank) FROM bm25),

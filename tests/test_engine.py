@@ -64,10 +64,13 @@ def test_written_indices(spark, corpus, queries, tmp_path):
     said = index.write_indices(corpus.select("chunk_id", "text"), None, f"file://{tmp_path}/ix")
     assert set(said.values()) == {"ok"}
     read = index.read_indices(spark, f"file://{tmp_path}/ix")
-    assert set(read) == {"chunks", "bm25", "tfidf_idf", "tfidf"}
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(retrieve.bm25(queries, corpus, 3, read["bm25"])) == rows(retrieve.bm25(queries, corpus, 3))
-    assert rows(retrieve.sparse(queries, corpus, 3, (read["tfidf_idf"], read["tfidf"]))) == rows(retrieve.sparse(queries, corpus, 3))
+    assert set(read) == {"chunks", "bm25", "tfidf_idf", "tfidf", "bm25_blocks", "tfidf_blocks"}
+    rows, lex = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score").collect())), index.lexical(corpus)
+    assert rows(retrieve.bm25(queries, None, 3, read["bm25"])) == rows(retrieve.bm25(queries, lex, 3))
+    assert rows(retrieve.sparse(queries, None, 3, (read["tfidf_idf"], read["tfidf"]))) == rows(retrieve.sparse(queries, lex, 3))
+    assert rows(retrieve.block_top_k(retrieve.asked_terms(queries), read["bm25_blocks"], 3)) == rows(retrieve.bm25(queries, lex, 3))
+    asked = retrieve.asked_vectors(queries, read["tfidf_idf"]).withColumnRenamed("asked", "times")
+    assert rows(retrieve.block_top_k(asked, read["tfidf_blocks"], 3)) == rows(retrieve.sparse(queries, lex, 3))
     with pytest.raises(ValueError):
         index.write_indices(corpus.limit(0), None, f"file://{tmp_path}/none")
     broken = index.write_indices(corpus.select("chunk_id", "text"), corpus.select("chunk_id"), f"file://{tmp_path}/part")
