@@ -12,7 +12,7 @@ from chronolex.operators.index import Lexical, bm25_idf, bm25_weight, norms, par
 from chronolex.staging import staged
 
 
-def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def top_by_query(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k best positive scores of each query with `rank` from 1; rounded scores decide, ties go to the smaller chunk."""
     rounded = scores.withColumn("score", F.round("score", digits)).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -43,11 +43,11 @@ def bm25(queries: DataFrame, lex: Lexical | None, k: int, index: DataFrame | Non
     index: a written bm25_index; without it only the postings of asked terms leave the term counts of lex."""
     asked = asked_terms(queries)
     if index is not None:
-        return _top(_dots(index, asked, "times"), k)
+        return top_by_query(_dots(index, asked, "times"), k)
     asked = staged(asked.join(lex.vocabulary.select("term", bm25_idf(lex).alias("idf")), "term"), "asked")
     rows = lex.postings().join(_few(asked), "term")
     scores = rows.groupBy("query_id", "chunk_id").agg(F.sum(bm25_weight(lex) * F.col("times")).alias("score"))
-    return _top(scores, k)
+    return top_by_query(scores, k)
 
 
 def asked_vectors(queries: DataFrame, idf: DataFrame) -> DataFrame:
@@ -59,12 +59,12 @@ def asked_vectors(queries: DataFrame, idf: DataFrame) -> DataFrame:
 def sparse(queries: DataFrame, lex: Lexical | None, k: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Cosine of TF-IDF vectors over shared terms only; index: written (idf, vectors)."""
     if index is not None:
-        return _top(_dots(index[1], asked_vectors(queries, index[0]), "asked"), k)
+        return top_by_query(_dots(index[1], asked_vectors(queries, index[0]), "asked"), k)
     idf = staged(tfidf_idf(lex), "idf")
     weighted = lex.postings().join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     asked = staged(asked_vectors(queries, idf), "asked")
     dots = weighted.join(_few(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("asked")).alias("dot"))
-    return _top(dots.join(norms(weighted), "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")), k)
+    return top_by_query(dots.join(norms(weighted), "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")), k)
 
 
 # --- top k by blocks ------------------------------------------------------------------------------
@@ -108,7 +108,7 @@ def block_top_k(asked: DataFrame, blocks: DataFrame, k: int, seeds: int = 2, rea
     left = partial.filter(F.col("got") + F.col("all_unread") - F.col("met") >= F.col("bound")).select("query_id", "chunk_id")
 
     reads.append(able.filter("needed").select("term", "level"))
-    return _top(_completed(left, asked, asked_blocks, reads), k)  # 3
+    return top_by_query(_completed(left, asked, asked_blocks, reads), k)  # 3
 
 
 def blocks_read(asked: DataFrame, blocks: DataFrame, reads: list[DataFrame]) -> tuple[int, int]:
@@ -152,7 +152,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -
     parts = [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
     out = None
     for part in parts:
-        scores = _top(_block_scores(part, vectors, k), k)
+        scores = top_by_query(_block_scores(part, vectors, k), k)
         out = scores if out is None else out.unionByName(scores)
     return out
 
@@ -161,9 +161,10 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     kind = vectors.schema["chunk_id"].dataType
     asked = queries.select("query_id", "q").toArrow()  # a block: bounded
     ids = asked["query_id"].to_numpy()
-    q = np.array(asked["q"].to_pylist(), np.float64).reshape(len(ids), -1)
+    sent = queries.sparkSession.sparkContext.broadcast(np.array(asked["q"].to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else None)
 
     def run(batches):
+        q = sent.value
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue

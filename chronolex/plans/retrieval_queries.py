@@ -9,6 +9,7 @@ from chronolex.config import EngineConfig
 from chronolex.functions import text as tx
 from chronolex.operators import answer as an
 from chronolex.operators import claims as cl
+from chronolex.operators import dense_index as dx
 from chronolex.operators import index as ix
 from chronolex.operators import layout as ly
 from chronolex.operators import metrics as mt
@@ -31,10 +32,20 @@ def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _dense(s, d, k=K):
+def _vectors(s, d):
+    """Asked and all vectors; a query's number is its vec_id over 20."""
     vectors = ix.unit_vectors(table(s, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"))
-    asked = vectors.filter("chunk_id % 20 = 0").select(F.expr("chunk_id DIV 20").alias("query_id"), F.col("v").alias("q"))
-    return rt.dense(asked, vectors.select("chunk_id", "v"), k)
+    return vectors.filter("chunk_id % 20 = 0").select(F.expr("chunk_id DIV 20").alias("query_id"), F.col("v").alias("q")), vectors.select("chunk_id", "v")
+
+
+def _dense(s, d, k=K):
+    return rt.dense(*_vectors(s, d), k)
+
+
+def _dense_cells(s, d):
+    asked, vectors = _vectors(s, d)
+    index = dx.build(vectors)
+    return dx.search(asked, index, K, dx.calibrated(index))
 
 
 def _own_labels(s, d):
@@ -324,6 +335,7 @@ QUERIES = {
     "bm25_blocks": lambda s, d: _bm25_blocks(s, d).drop("rank"),
     "tfidf_blocks": lambda s, d: _sparse_blocks(s, d).drop("rank"),
     "dense_topk": lambda s, d: _dense(s, d).withColumn("rank", F.col("rank").cast("long")),
+    "dense_cells": lambda s, d: _dense_cells(s, d).withColumn("rank", F.col("rank").cast("long")),
     "hybrid_fuse": _hybrid,
     "rrf_fuse": _rrf,
     "filter_lang_conf": _filtered,

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolex.operators import dense_index as dx
 from chronolex.operators import index as ix
 from chronolex.operators import retrieve as rt
 
@@ -85,3 +87,71 @@ def test_no_chunks_no_queries(spark):
     assert rows(rt.bm25(asked, ix.lexical(none), 3)) == rows(rt.sparse(asked, ix.lexical(none), 3)) == []
     assert rows(rt.block_top_k(rt.asked_terms(asked), ix.blocks(ix.bm25_index(ix.lexical(none))), 3)) == []
     assert rows(rt.block_top_k(rt.asked_terms(asked.limit(0)), ix.blocks(ix.bm25_index(ix.lexical(some))), 3)) == []
+
+
+# --- vectors ------------------------------------------------------------------------------------------
+def unit(spark, x, name="chunk_id"):
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    return spark.createDataFrame(rows, f"{name} long, {'v' if name == 'chunk_id' else 'q'} array<double>")
+
+
+def clustered(n, seed=0, width=12, clusters=20):
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 1, (clusters, width))[rng.integers(clusters, size=n)] + rng.normal(0, 0.2, (n, width))
+
+
+def recall(found, wanted):
+    got, want = ({(r["query_id"], r["chunk_id"]) for r in df.collect()} for df in (found, wanted))
+    return len(got & want) / len(want)
+
+
+def test_cells_find_the_neighbours_of_clustered_vectors_in_few_of_them(spark):
+    x = clustered(3000)
+    vectors, asked = unit(spark, x), unit(spark, x[::50] + 0.01, "query_id")
+    index = dx.build(vectors)
+    probes = dx.calibrated(index)
+    assert probes < 0.4 * len(index.centroids)
+    found, exact = dx.search(asked, index, 10, probes), rt.dense(asked, vectors, 10)
+    assert recall(found, exact) >= 0.9
+    scores = {(r["query_id"], r["chunk_id"]): r["score"] for r in rt.dense(asked, vectors, 3000).collect()}
+    assert all(r["score"] == pytest.approx(scores[r["query_id"], r["chunk_id"]], abs=2e-6) for r in found.collect())
+
+
+def test_all_cells_probed_is_exact_whatever_the_parts(spark):
+    x = clustered(400, seed=2)
+    x[100:300] = x[100]  # a crowded cell of equal rows: ties go to the smaller id
+    vectors, asked = unit(spark, x), unit(spark, x[::40], "query_id")
+    index = dx.build(vectors, cells=5, part_rows=20)
+    assert index.parts > 10
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect())
+    assert recall(dx.search(asked, index, 7, 5), rt.dense(asked, vectors, 7)) >= 0.95
+    whole = dx.search(asked, index, 250, 5)
+    assert key(whole) == key(rt.dense(asked, vectors, 250))
+
+
+def test_written_cells_and_their_pruning(spark, tmp_path):
+    x = clustered(500, seed=4)
+    index = dx.build(unit(spark, x), cells=20)
+    dx.write(index, f"file://{tmp_path}/dense")
+    again, asked = dx.read(spark, f"file://{tmp_path}/dense"), unit(spark, x[:1], "query_id")
+    rows_of = lambda i: sorted(map(tuple, dx.search(asked, i, 5, 3).collect()))
+    assert rows_of(again) == rows_of(index) and len(rows_of(again)) == 5
+    plan = dx._by_code(dx.probed(asked, again, 2), again, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_codes_are_near(spark):
+    x = clustered(300, seed=5)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = dx.k_means(x, 8)
+    cell, code, scale = dx.encode(x, c)
+    assert np.abs(c[cell] + code * scale[:, None] - x).max() <= scale.max() / 2 + 1e-12
+    assert (dx.encode(c, c)[2] == 0).all()
+
+
+def test_no_vectors_or_no_queries(spark):
+    x = unit(spark, clustered(30))
+    asked = x.withColumnsRenamed({"chunk_id": "query_id", "v": "q"})
+    assert rt.dense(asked.limit(0), x, 3).collect() == rt.dense(asked, x.limit(0), 3).collect() == []
+    assert dx.search(asked.limit(0), dx.build(x), 3, 2).collect() == dx.search(asked, dx.build(x.limit(0)), 3, 2).collect() == []
+    assert dx.calibrated(None) == 1 and dx.calibrated(dx.build(x.limit(1))) == 1
