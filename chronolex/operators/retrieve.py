@@ -45,7 +45,7 @@ def bm25(queries: DataFrame, lex: Lexical | None, k: int, index: DataFrame | Non
     if index is not None:
         return top_by_query(_dots(index, asked, "times"), k)
     asked = staged(asked.join(lex.vocabulary.select("term", bm25_idf(lex).alias("idf")), "term"), "asked")
-    rows = lex.postings().join(_few(asked), "term")
+    rows = lex.postings(by_chunk=True).join(_few(asked), "term")
     scores = rows.groupBy("query_id", "chunk_id").agg(F.sum(bm25_weight(lex) * F.col("times")).alias("score"))
     return top_by_query(scores, k)
 
@@ -61,10 +61,10 @@ def sparse(queries: DataFrame, lex: Lexical | None, k: int, index: tuple[DataFra
     if index is not None:
         return top_by_query(_dots(index[1], asked_vectors(queries, index[0]), "asked"), k)
     idf = staged(tfidf_idf(lex), "idf")
-    weighted = lex.postings().join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = lambda beside: lex.postings(by_chunk=True, beside=beside).join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     asked = staged(asked_vectors(queries, idf), "asked")
-    dots = weighted.join(_few(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("asked")).alias("dot"))
-    return top_by_query(dots.join(norms(weighted), "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")), k)
+    rows = weighted(norms(weighted(None))).join(_few(asked), "term")
+    return top_by_query(rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("asked") / F.col("norm")).alias("score")), k)
 
 
 # --- top k by blocks ------------------------------------------------------------------------------
