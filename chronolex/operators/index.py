@@ -33,11 +33,12 @@ class Lexical:
     avgdl: float
     mean_idf: float
 
-    def postings(self, by_chunk: bool = False, beside: DataFrame | None = None) -> DataFrame:
-        """(chunk_id, doc_len, term, tf), a row a distinct term of a chunk, with the columns that beside has for the chunk_id.
+    def postings(self, only: list[str] | None = None, by_chunk: bool = False, beside: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, doc_len, term, tf), a row a distinct term of a chunk (of those in `only`, if given), with the columns that beside has for the chunk_id.
 
-        by_chunk: dealt by chunk_id while a chunk is one row, so that sums by chunk, and by query and chunk, need no shuffle of their own."""
-        counts = self.counts.repartition("chunk_id") if by_chunk else self.counts
+        by_chunk: dealt by chunk_id while a chunk is one row, so that sums by query and chunk need no shuffle of their own."""
+        counts = self.counts if only is None else self.counts.withColumn("terms", F.filter("terms", lambda t: t["term"].isin(only)))
+        counts = counts.repartition("chunk_id") if by_chunk else counts
         counts = counts if beside is None else counts.join(beside, "chunk_id")
         more = [c for c in counts.columns if c != "terms"]
         return counts.select(*more, F.explode("terms").alias("_p")).select(*more, "_p.term", "_p.tf")

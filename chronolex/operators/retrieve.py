@@ -20,12 +20,19 @@ def top_by_query(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 
 ASKED_TERMS = 1_000_000  # (query, term) rows that are sent to the postings
+LISTED_TERMS = 10_000
 
 
 def _few(df: DataFrame, most: int = ASKED_TERMS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _listed(asked: DataFrame) -> list[str] | None:
+    """The distinct asked terms, if they are few enough to be looked up where the postings lie."""
+    terms = [r["term"] for r in asked.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    return terms if len(terms) <= LISTED_TERMS else None
+
+
 def asked_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times) of queries (query_id, text)."""
     words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
@@ -45,7 +52,7 @@ def bm25(queries: DataFrame, lex: Lexical | None, k: int, index: DataFrame | Non
     if index is not None:
         return top_by_query(_dots(index, asked, "times"), k)
     asked = staged(asked.join(lex.vocabulary.select("term", bm25_idf(lex).alias("idf")), "term"), "asked")
-    rows = lex.postings(by_chunk=True).join(_few(asked), "term")
+    rows = lex.postings(_listed(asked), by_chunk=True).join(_few(asked), "term")
     scores = rows.groupBy("query_id", "chunk_id").agg(F.sum(bm25_weight(lex) * F.col("times")).alias("score"))
     return top_by_query(scores, k)
 
@@ -61,9 +68,9 @@ def sparse(queries: DataFrame, lex: Lexical | None, k: int, index: tuple[DataFra
     if index is not None:
         return top_by_query(_dots(index[1], asked_vectors(queries, index[0]), "asked"), k)
     idf = staged(tfidf_idf(lex), "idf")
-    weighted = lambda beside: lex.postings(by_chunk=True, beside=beside).join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = lambda posts: posts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     asked = staged(asked_vectors(queries, idf), "asked")
-    rows = weighted(norms(weighted(None))).join(_few(asked), "term")
+    rows = weighted(lex.postings(_listed(asked), by_chunk=True, beside=norms(weighted(lex.postings())))).join(_few(asked), "term")
     return top_by_query(rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("asked") / F.col("norm")).alias("score")), k)
 
 
