@@ -13,9 +13,11 @@ from chronolex.config import EngineConfig
 from chronolex.functions.text import answer_hash
 from chronolex.operators import answer as an
 from chronolex.operators import claims as cl
+from chronolex.operators import conflicts
 from chronolex.operators import retrieve as rt
 from chronolex.operators import temporal as tp
 from chronolex.operators.index import lexical
+from chronolex.operators.supersession import document_titles
 from chronolex.staging import staged
 
 RERANK_FROM = 10
@@ -45,12 +47,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = Engin
     return hits
 
 
-def valid_spans(hits: DataFrame, as_of: Column, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Temporal spans of the hits that are valid at the date, without the losers of conflicts; `pos` is their place by score."""
+def valid_spans(hits: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None) -> DataFrame:
+    """Temporal spans of the hits that are valid at the date, without the losers of conflicts; `pos` is their place by score.
+
+    titles (document_id, key): the documents that names of supersession resolve to (supersession.document_titles)."""
     spans = _cut(tp.temporal_spans(hits))
-    kept = _cut(tp.split_by_date(spans, as_of, config.enable_precedence).filter("valid").drop("valid"))
+    kept = _cut(tp.split_by_date(spans, as_of, config.enable_precedence, titles).filter("valid").drop("valid"))
     if config.suppress_contradictions:
-        kept = tp.resolve_conflicts(kept, tp.text_conflicts(kept))
+        membership = _cut(conflicts.members(kept))
+        kept = conflicts.resolve(kept, membership, _cut(conflicts.links(kept, membership)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "span_id")
     return _cut(kept.withColumn("pos", F.row_number().over(order)))
 
@@ -88,21 +93,25 @@ def build_answer(queries: DataFrame, spans: DataFrame, results: DataFrame, summa
     return rows.select("query_id", "answer", F.coalesce(kept, F.array().cast("array<string>")).alias("citations"), answer_hash(F.col("answer")).alias("answer_hash"), "refusal_code", "refusal_message")
 
 
-def ask(queries: DataFrame, chunks: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), threshold: float = 0.3, **options) -> DataFrame:
-    """queries (query_id, text) answered as of a date from chunks; options go to retrieve()."""
-    spans = valid_spans(retrieve(queries, chunks, config, **options), as_of, config)
+def ask(queries: DataFrame, chunks: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), threshold: float = 0.3, titles: DataFrame | None = None, **options) -> DataFrame:
+    """queries (query_id, text) answered as of a date from chunks; options go to retrieve().
+
+    What a text says it supersedes counts by the titles of documents; without titles (document_id, key) the chunks' own."""
+    titles = _cut(document_titles(chunks)) if titles is None else titles
+    spans = valid_spans(retrieve(queries, chunks, config, **options), as_of, config, titles)
     drafts = _cut(an.decode(spans, config.max_answer_chars).select("query_id", F.col("answer").alias("text")))
     results = _cut(verified(drafts, spans, config))
     summary = cl.summarise(drafts.withColumnRenamed("query_id", "answer_id"), results.withColumnRenamed("query_id", "answer_id"), threshold).withColumnRenamed("answer_id", "query_id")
     return build_answer(queries, spans, results, summary, config)
 
 
-def diff(queries: DataFrame, chunks: DataFrame, old: Column, new: Column, config: EngineConfig = EngineConfig(), **options) -> DataFrame:
+def diff(queries: DataFrame, chunks: DataFrame, old: Column, new: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None, **options) -> DataFrame:
     """Answers as of two dates compared: query_id, text_diff, added, removed, retained span ids, hash_changed, old_span_count, new_span_count."""
+    titles = _cut(document_titles(chunks)) if titles is None else titles
     hits = _cut(retrieve(queries, chunks, config, **options))
     sides = {}
     for name, day in (("old", old), ("new", new)):
-        spans = valid_spans(hits, day, config)
+        spans = valid_spans(hits, day, config, titles)
         if config.enable_precedence:
             spans = _cut(an.group_winners(spans, an.conflict_groups(spans)).drop("group"))
         texts = an.decode(spans, config.max_answer_chars).select("query_id", F.col("answer").alias(name))

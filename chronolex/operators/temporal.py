@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.functions.text import jaccard, word_set
+from chronolex.operators import conflicts
+from chronolex.operators.supersession import named_edges
+from chronolex.staging import staged
 
 # fixed values: the phrases of the rules
 _FORCE = r"(?:effective|comes?\s+into\s+force|shall\s+come\s+into\s+force)(?:\s+on)?(?:\s+the)?\s*"
@@ -40,28 +42,16 @@ DOCUMENT_TYPES = (
 WEIGHTS = {"constitution": 10.0, "act": 8.0, "rule": 6.0, "regulation": 5.0, "notification": 4.0, "circular": 3.0, "guideline": 2.0, "order": 1.5, "advisory": 1.0}
 
 
-def parse_date(text: Column) -> Column:
-    """Day first, month first where that fails; null when it is no date."""
-    plain = F.regexp_replace(F.regexp_replace(text, "-", "/"), r"\s+", " ")
-    tries = [F.try_to_timestamp(F.when(plain != "", plain), F.lit(p)) for p in ("d/M/yyyy", "M/d/yyyy", "d MMMM yyyy")]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def parse_date(plain: Column) -> Column:
+    """Day first, month first where that fails; null when it is no date. plain: with slashes and single spaces, a column rather than an expression, as it is read several times."""
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in ("d/M/yyyy", "M/d/yyyy", "d MMMM yyyy")]).cast("timestamp_ntz")
 
 
-def _first_date(text: Column, patterns) -> Column:
-    return F.coalesce(*[parse_date(F.regexp_extract(text, f"(?i){p}", 1)) for p in patterns])
-
-
-def effective_date(text: Column) -> Column:
-    return _first_date(text, EFFECTIVE)
-
-
-def expiry_date(text: Column) -> Column:
-    return _first_date(text, EXPIRY)
-
-
-def publication_date(text: Column, metadata: Column | None = None) -> Column:
-    found = _first_date(text, PUBLICATION)
-    return found if metadata is None else F.coalesce(metadata, found)
+def _found_date(text: Column, pattern: str) -> Column:
+    """What the pattern finds, with slashes and single spaces; null without a match."""
+    found = F.translate(F.regexp_extract(text, f"(?i){pattern}", 1), "-", "/")
+    found = F.regexp_replace(found, r"\s+", " ") if pattern.endswith(_WORDY) else found
+    return F.nullif(found, F.lit(""))
 
 
 def superseded_by(text: Column) -> Column:
@@ -94,9 +84,16 @@ def precedence_weight(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), kind), F.lit(1.0))
 
 
-def with_temporal_metadata(df: DataFrame, text: str = "text") -> DataFrame:
-    t = F.col(text)
-    return df.withColumns({"effective_date": effective_date(t), "expiry_date": expiry_date(t), "publication_date": publication_date(t), "superseded_by": superseded_by(t), "supersedes": supersedes(t), "status": status(t)})
+def with_temporal_metadata(df: DataFrame, text: str = "text", published: Column | None = None) -> DataFrame:
+    """df with effective_date, expiry_date, publication_date, superseded_by, supersedes and status of its texts; a published date given goes before one found.
+
+    Each pattern is tried once, in a projection of its own; dates are parsed in the next, which reads each find several
+    times and so is not merged with the first."""
+    t, kinds = F.col(text), {"effective_date": EFFECTIVE, "expiry_date": EXPIRY, "publication_date": PUBLICATION}
+    finds = {f"_{name}_{i}": _found_date(t, p) for name, patterns in kinds.items() for i, p in enumerate(patterns)}
+    out = df.withColumns(finds | {"superseded_by": superseded_by(t), "supersedes": supersedes(t), "status": status(t)})
+    dates = {name: F.coalesce(*([published] if published is not None and name == "publication_date" else []), *[parse_date(F.col(f"_{name}_{i}")) for i in range(len(patterns))]) for name, patterns in kinds.items()}
+    return out.withColumns(dates).drop(*finds)
 
 
 def temporal_spans(hits: DataFrame) -> DataFrame:
@@ -135,25 +132,29 @@ def active(as_of: Column) -> Column:
     return in_interval(as_of) & F.col("status").isin("active", "amended")
 
 
-def supersession_edges(spans: DataFrame) -> DataFrame:
-    """(query_id, superseding, superseded) of spans of the same query, from both directions; independent of row order."""
+def supersession_edges(spans: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(query_id, superseding, superseded) of spans of the same query, from both directions; independent of row order.
+
+    `supersedes` and `superseded_by` hold span ids, or, with titles (document_id, key), names of documents."""
+    if titles is not None:
+        return named_edges(spans, titles)
     forward = spans.select("query_id", F.col("span_id").alias("superseding"), F.explode("supersedes").alias("superseded"))
     backward = spans.filter("superseded_by IS NOT NULL").select("query_id", F.col("superseded_by").alias("superseding"), F.col("span_id").alias("superseded"))
     return forward.unionByName(backward).distinct()
 
 
-def active_spans(spans: DataFrame, as_of: Column) -> DataFrame:
+def active_spans(spans: DataFrame, as_of: Column, titles: DataFrame | None = None) -> DataFrame:
     """Spans active as of the date that no active span supersedes."""
     now = spans.filter(active(as_of))
-    edges = supersession_edges(spans).join(now.select("query_id", F.col("span_id").alias("superseding")), ["query_id", "superseding"], "left_semi")
+    edges = supersession_edges(spans, titles).join(now.select("query_id", F.col("span_id").alias("superseding")), ["query_id", "superseding"], "left_semi")
     return now.join(edges.select("query_id", F.col("superseded").alias("span_id")), ["query_id", "span_id"], "left_anti")
 
 
-def split_by_date(spans: DataFrame, as_of: Column, precedence: bool = True) -> DataFrame:
+def split_by_date(spans: DataFrame, as_of: Column, precedence: bool = True, titles: DataFrame | None = None) -> DataFrame:
     """spans with `valid`: the two values partition the input."""
     if not precedence:
         return spans.withColumn("valid", simply_valid(as_of))
-    kept = active_spans(spans, as_of).select("query_id", "span_id").distinct().withColumn("_kept", F.lit(True))
+    kept = active_spans(spans, as_of, titles).select("query_id", "span_id").distinct().withColumn("_kept", F.lit(True))
     return spans.join(kept, ["query_id", "span_id"], "left").withColumn("valid", F.coalesce("_kept", F.lit(False))).drop("_kept")
 
 
@@ -190,40 +191,16 @@ def metadata_conflicts(spans: DataFrame) -> DataFrame:
     return pairs.select("query_id", F.col("a_span_id").alias("first"), F.col("b_span_id").alias("second"), kind.alias("conflict_type"), prefer.alias("resolution"))
 
 
-def text_conflicts(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of different documents of one query whose word sets have Jaccard above the threshold.
-
-    Candidates share one of the rarest words of both, early enough in each (prefix and positional filter), so no query's spans are all paired."""
-    worded = spans.withColumn("words", word_set(F.col("text")))
-    frequency = worded.select("query_id", F.explode("words").alias("word")).groupBy("query_id", "word").count()
-    ranked = worded.select("query_id", "span_id", "words", "document_id", "precedence_weight", "effective_date", F.explode("words").alias("word"), F.size("words").alias("n")).join(frequency, ["query_id", "word"])
-    order = Window.partitionBy("query_id", "span_id").orderBy("count", "word")
-    prefix = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    side = lambda name: prefix.select("query_id", "word", F.col("span_id").alias(name), *[F.col(c).alias(f"{c[0]}_{name}") for c in ("words", "document_id", "precedence_weight", "effective_date", "n", "rank")])
-    pairs = side("first").join(side("second"), ["query_id", "word"]).filter((F.col("first") < F.col("second")) & (F.col("d_first") != F.col("d_second")))
-    most = 1 + F.least(F.col("n_first") - F.col("r_first"), F.col("n_second") - F.col("r_second"))  # words that the two can share from this one on
-    pairs = pairs.filter(most >= (F.col("n_first") + F.col("n_second")) * (threshold / (1 + threshold)) - 1e-9)
-    pairs = pairs.withColumn("similarity", jaccard(F.col("w_first"), F.col("w_second"))).filter(F.col("similarity") > threshold).dropDuplicates(["query_id", "first", "second"])
-    later = F.when((F.col("e_second") > F.col("e_first")), F.col("second")).otherwise(F.col("first"))
-    winner = F.when(F.col("p_first") > F.col("p_second"), F.col("first")).when(F.col("p_first") < F.col("p_second"), F.col("second")).otherwise(later)
-    return pairs.select("query_id", "first", "second", "similarity", winner.alias("winner"))
-
-
-def resolve_conflicts(spans: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Spans that win a conflict or are in none."""
-    sides = conflicts.select("query_id", F.explode(F.array("first", "second")).alias("span_id"), "winner")
-    lost = sides.groupBy("query_id", "span_id").agg(F.max((F.col("winner") == F.col("span_id")).cast("int")).alias("won")).filter("won = 0")
-    return spans.join(lost, ["query_id", "span_id"], "left_anti")
-
-
 def versioned_answer(spans: DataFrame, as_of: Column, threshold: float = 0.8) -> DataFrame:
     """(query_id, total, valid, expired, conflicts, resolved): spans valid at the date, conflicts among them, and what is left when each is resolved."""
     split = split_by_date(spans, as_of)
+    split = staged(split, "split")
     valid = split.filter("valid").drop("valid")
-    conflicts = text_conflicts(valid, threshold)
-    left = resolve_conflicts(valid, conflicts).groupBy("query_id").agg(F.count(F.lit(1)).alias("resolved"))
+    membership = staged(conflicts.members(valid), "members")
+    linked = staged(conflicts.links(valid, membership, threshold), "links")
+    left = conflicts.resolve(valid, membership, linked).groupBy("query_id").agg(F.count(F.lit(1)).alias("resolved"))
     counts = split.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("expired"))
-    found = conflicts.groupBy("query_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    found = conflicts.pair_count(valid, membership, linked)
     return counts.join(found, "query_id", "left").join(left, "query_id", "left").fillna(0, ["conflicts", "resolved"])
 
 

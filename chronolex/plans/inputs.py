@@ -42,10 +42,10 @@ LEGAL_SPARK = _legal("{orders}", "date_format(o_orderdate, 'dd/MM/yyyy')", "date
 LEGAL = _legal("orders", "strftime(o_orderdate, '%d/%m/%Y')", "strftime(o_orderdate, '%d-%m-%Y')", "strftime(o_orderdate, '%-d %B %Y')").replace("\\n", "' || chr(10) || '")
 LEGAL = LEGAL.replace("word-\n s", "word-' || chr(10) || ' s")
 
-# Temporal spans made of orders: one query for each fifty customers, a span supersedes the customer's order before it
+# Temporal spans made of orders: one query for thirty customers, so queries grow with them; a span supersedes the customer's order before it
 _SPANS = """
-SELECT o_custkey % 50 AS query_id, o_orderkey AS span_id, o_custkey AS document_id,
-  row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS pos,
+SELECT CAST(floor(o_custkey / 30) AS BIGINT) AS query_id, o_orderkey AS span_id, o_custkey AS document_id,
+  row_number() OVER (PARTITION BY floor(o_custkey / 30) ORDER BY o_orderkey) AS pos,
   'order ' || (o_orderkey % 97) || ' of customer ' || (o_custkey % 13) || ' with priority ' || o_orderpriority AS text,
   o_orderdate AS effective_date,
   CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate + INTERVAL '900' DAY END AS expiry_date,

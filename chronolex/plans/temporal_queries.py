@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronolex.operators import conflicts as cf
 from chronolex.operators import spans as sp
+from chronolex.operators import supersession as su
 from chronolex.operators import temporal as tp
 from chronolex.plans.inputs import AS_OF, EARLIER, INTERVALS, LEGAL, SPANS, intervals, legal, temporal
+from chronolex.staging import staged
 
 _DATE = lambda day: F.lit(day).cast("timestamp_ntz")
 
@@ -32,9 +35,39 @@ def _diff(s, d):
     return tp.answer_diff(kept(EARLIER), kept(AS_OF))
 
 
+def _members(s, d):
+    return cf.members(temporal(s, d))
+
+
+def _links(s, d):
+    spans = temporal(s, d)
+    return cf.links(spans, cf.members(spans)).withColumn("similarity", F.round("similarity", 6))
+
+
 def _resolved(s, d):
     spans = temporal(s, d)
-    return tp.resolve_conflicts(spans, tp.text_conflicts(spans)).select("query_id", "span_id")
+    membership = staged(cf.members(spans), "members")
+    return cf.resolve(spans, membership, staged(cf.links(spans, membership), "links")).select("query_id", "span_id")
+
+
+def _conflict_counts(s, d):
+    spans = temporal(s, d)
+    membership = cf.members(spans)
+    return cf.pair_count(spans, membership, cf.links(spans, membership))
+
+
+def _notices(s, d):
+    """Notices of orders as temporal spans, sixty-four to a query, each with the names that it gives."""
+    rows = tp.with_temporal_metadata(staged(legal(s, d), "notices")).withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>")))
+    return staged(rows.select(F.expr("doc_id DIV 64").alias("query_id"), F.col("doc_id").alias("span_id"), F.col("doc_id").alias("document_id"), "text", "effective_date", "expiry_date", F.lit(None).cast("timestamp_ntz").alias("repeal_date"), "status", "supersedes", "superseded_by"), "spans")
+
+
+def _titles(s, d):
+    return staged(legal(s, d), "notices").select(F.col("doc_id").alias("document_id"), su.title_key(F.col("text")).alias("key")).filter("key IS NOT NULL")
+
+
+def _named_active(s, d):
+    return tp.active_spans(_notices(s, d), _DATE(AS_OF), _titles(s, d)).select("query_id", "span_id")
 
 
 def _statistics(s, d):
@@ -65,7 +98,12 @@ QUERIES = {
     "supersession_edges": lambda s, d: tp.supersession_edges(temporal(s, d)),
     "precedence_score": lambda s, d: temporal(s, d).select("span_id", F.round(tp.precedence_score(_DATE(AS_OF)), 6).alias("score")),
     "meta_conflicts": lambda s, d: tp.metadata_conflicts(temporal(s, d)),
-    "text_conflicts": lambda s, d: tp.text_conflicts(temporal(s, d)).withColumn("similarity", F.round("similarity", 6)),
+    "supersession_names": lambda s, d: su.named_edges(_notices(s, d), _titles(s, d)),
+    "active_by_name": _named_active,
+    "document_titles": _titles,
+    "conflict_members": _members,
+    "text_conflicts": _links,
+    "conflict_counts": _conflict_counts,
     "conflict_resolve": _resolved,
     "versioned_answer": lambda s, d: tp.versioned_answer(temporal(s, d), _DATE(AS_OF)),
     "answer_diff": _diff,
@@ -120,6 +158,28 @@ _PAIRS = f"""w AS (SELECT *, {_WORDS} AS words FROM s),
       CASE WHEN a.precedence_weight > b.precedence_weight THEN a.span_id WHEN a.precedence_weight < b.precedence_weight THEN b.span_id WHEN b.effective_date > a.effective_date THEN b.span_id ELSE a.span_id END AS winner
       FROM t JOIN w a ON a.query_id = t.query_id AND a.text = t.ta JOIN w b ON b.query_id = t.query_id AND b.text = t.tb
       WHERE t.similarity > 0.8 AND a.span_id < b.span_id AND a.document_id <> b.document_id)"""
+_CLASSES = f"""w AS (SELECT *, list_sort({_WORDS}) AS words FROM s), c AS (SELECT query_id, span_id, words, min(span_id) OVER (PARTITION BY query_id, words) AS class_id FROM w WHERE len(words) > 0),
+    h AS (SELECT query_id, class_id, words FROM c WHERE span_id = class_id),
+    k AS (SELECT a.query_id, a.class_id AS first, b.class_id AS second, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6)::DOUBLE AS similarity FROM h a JOIN h b ON a.query_id = b.query_id AND a.class_id <= b.class_id
+      WHERE len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) > 0.8)"""
+# fixed values: kinds of documents that a title names
+_KINDS = "act|statute|order|circular|notification|rule|regulation|guideline|directive|memorandum|advisory|constitution|decision"
+_TITLED = rf"'(?i)\b({_KINDS})s?\s+(?:(?:no\b\.?|number\b)\s*)?([0-9]+[A-Za-z0-9/-]*)'"
+
+
+def _key(x: str) -> str:
+    plain = rf"regexp_replace(regexp_replace(trim(regexp_replace(upper({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '\b(?:THE|THIS|NO|NUMBER)\b', ' ', 'g'), '\b({_KINDS.upper()})S\b', '\1', 'g')"
+    return rf"trim(regexp_replace({plain}, '\s+', ' ', 'g'))"
+
+
+_DATES = f"{_first(tp.EFFECTIVE).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS effective_date, {_first(tp.EXPIRY).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS expiry_date, {_cases(tp.STATUS, 'active')} AS status"
+_NOTICES = rf"""WITH l AS ({LEGAL}), t0 AS (SELECT doc_id AS document_id, regexp_extract(text, {_TITLED}, 1) AS kind, regexp_extract(text, {_TITLED}, 2) AS number FROM l),
+    t AS (SELECT document_id, {_key("kind || ' ' || number")} AS key FROM t0 WHERE kind <> ''),
+    n0 AS (SELECT doc_id, unnest(list_transform(flatten(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in tp.SUPERSEDES)}), lambda m: string_split(m, ','))), lambda x: trim(x))) AS name, TRUE AS newer FROM l
+      UNION ALL SELECT doc_id, coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in tp.SUPERSEDED_BY)}), FALSE FROM l),
+    n AS (SELECT DISTINCT doc_id, newer, {_key("name")} AS key FROM n0 WHERE name IS NOT NULL),
+    e AS (SELECT DISTINCT doc_id // 64 AS query_id, CASE WHEN newer THEN doc_id ELSE document_id END AS superseding, CASE WHEN newer THEN document_id ELSE doc_id END AS superseded
+      FROM n JOIN t USING (key) WHERE document_id <> doc_id AND document_id // 64 = doc_id // 64 AND regexp_matches(key, '[0-9]| '))"""
 _DIFF = f"""o AS (SELECT query_id, text, max(effective_date) e, max(status) st, max(precedence_weight) w FROM ({_kept(_ERA)}) GROUP BY ALL),
     n AS (SELECT query_id, text, max(effective_date) e, max(status) st, max(precedence_weight) w FROM ({_kept(_OF)}) GROUP BY ALL),
     d AS (SELECT query_id, text, CASE WHEN o.w IS NULL THEN 'added' WHEN n.w IS NULL THEN 'removed' WHEN o.e IS DISTINCT FROM n.e OR o.st <> n.st OR o.w <> n.w THEN 'modified' END AS change, coalesce(n.w, o.w) AS weight
@@ -156,7 +216,13 @@ ORACLE = {
         SELECT query_id, first, second, CASE WHEN f OR g THEN 'supersession' WHEN sa <> sb THEN 'status_conflict' ELSE 'temporal_overlap' END AS conflict_type,
         CASE WHEN f THEN 'prefer_first' WHEN g THEN 'prefer_second' WHEN sa = 'active' AND sb <> 'active' THEN 'prefer_first' WHEN sb = 'active' AND sa <> 'active' THEN 'prefer_second' ELSE 'prefer_latest' END AS resolution
         FROM p WHERE f OR g OR (coalesce(same, FALSE) AND sa <> sb)""",
-    "text_conflicts": f"{_WITH}, {_PAIRS} SELECT query_id, first, second, similarity, winner FROM p",
+    "conflict_members": f"{_WITH}, {_CLASSES} SELECT query_id, span_id, class_id FROM c",
+    "text_conflicts": f"{_WITH}, {_CLASSES} SELECT query_id, first, second, similarity FROM k",
+    "conflict_counts": f"{_WITH}, {_PAIRS} SELECT query_id, count(*) AS conflicts FROM p GROUP BY 1",
+    "document_titles": f"{_NOTICES} SELECT document_id, key FROM t",
+    "supersession_names": f"{_NOTICES} SELECT query_id, superseding, superseded FROM e",
+    "active_by_name": f"""{_NOTICES}, s AS (SELECT doc_id // 64 AS query_id, doc_id AS span_id, {_DATES} FROM l), a AS (SELECT * FROM s WHERE (effective_date IS NULL OR {_OF} >= effective_date) AND (expiry_date IS NULL OR {_OF} <= expiry_date) AND status IN ('active', 'amended'))
+        SELECT query_id, span_id FROM a WHERE NOT EXISTS (SELECT 1 FROM e JOIN a b ON b.query_id = e.query_id AND b.span_id = e.superseding WHERE e.query_id = a.query_id AND e.superseded = a.span_id)""",
     "conflict_resolve": f"""{_WITH}, {_PAIRS}, l AS (SELECT query_id, span_id, max(CASE WHEN winner = span_id THEN 1 ELSE 0 END) AS won FROM (SELECT query_id, first AS span_id, winner FROM p UNION ALL SELECT query_id, second, winner FROM p) GROUP BY ALL)
         SELECT query_id, span_id FROM s WHERE (query_id, span_id) NOT IN (SELECT (query_id, span_id) FROM l WHERE won = 0)""",
     "versioned_answer": f"""WITH s0 AS ({SPANS}), s AS (SELECT a.* FROM s0 a JOIN (WITH s AS (SELECT * FROM s0) {_kept(_OF)}) k ON a.query_id = k.query_id AND a.span_id = k.span_id), {_PAIRS},
