@@ -140,11 +140,48 @@ def without_copies(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def chunk_context(chunks: DataFrame, most: int = 5) -> DataFrame:
-    """(document_id, chunk_no, preceding, following): the nearest chunks of the document in byte order, nearest first."""
-    order = Window.partitionBy("document_id").orderBy("byte_start", "chunk_no")
-    before = F.reverse(F.collect_list("chunk_no").over(order.rowsBetween(-most, -1)))
-    return chunks.select("document_id", "chunk_no", before.alias("preceding"), F.collect_list("chunk_no").over(order.rowsBetween(1, most)).alias("following"))
+def chunk_context(chunks: DataFrame) -> DataFrame:
+    """chunks (document_id, chunk_no, byte_start, byte_end) with the places of a chunk by its end and by its start, from 1, and how many precede and follow it.
+
+    The chunks that precede one are those of its document with end_place <= n_preceding, those that follow it the n_following
+    last by start_place: whole lists as ranges, a row a chunk. A chunk is in neither list of itself if it has bytes;
+    ties of ends and starts go by chunk_no. Counts come from one merge of starts and ends in order, not from pairs."""
+    of = Window.partitionBy("document_id")
+    rows = chunks.select("document_id", "chunk_no", "byte_start", "byte_end")
+    rows = rows.withColumn("end_place", F.row_number().over(of.orderBy("byte_end", "chunk_no"))).withColumn("start_place", F.row_number().over(of.orderBy("byte_start", "chunk_no")))
+    ends = rows.select("document_id", F.col("byte_end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["chunk_no"].dataType).alias("chunk_no"))
+    starts = rows.select("document_id", F.col("byte_start").alias("at"), F.lit(1).alias("kind"), "chunk_no")
+    merged = ends.unionByName(starts)
+    ended = F.count_if(F.col("kind") == 0).over(of.orderBy("at", "kind"))  # an end at a start lies before it
+    preceding = merged.withColumn("n_preceding", ended).filter("kind = 1").select("document_id", "chunk_no", "n_preceding")
+    begun = F.count_if(F.col("kind") == 1).over(of.orderBy(F.desc("at"), F.desc("kind")))
+    after = merged.withColumn("n_following", begun).filter("kind = 0")
+    following = after.select("document_id", F.col("at").alias("byte_end"), "n_following").distinct()
+    out = rows.join(preceding, ["document_id", "chunk_no"]).join(following, ["document_id", "byte_end"])
+    return out.select("document_id", "chunk_no", "start_place", "end_place", "n_preceding", "n_following")
+
+
+def chunk_groups(chunks: DataFrame) -> DataFrame:
+    """(document_id, relation, value, chunk_no): the pages and the section types of chunks (page_nums, section_types).
+
+    Two chunks of a document are on the same page, or of the same section type, where they share a row's document, relation and value."""
+    each = lambda relation, column: chunks.select("document_id", F.lit(relation).alias("relation"), F.explode(F.array_distinct(F.col(column).cast("array<string>"))).alias("value"), "chunk_no")
+    return each("page", "page_nums").unionByName(each("section", "section_types"))
+
+
+def neighbours(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(document_id, chunk_no, relation, neighbour) of the asked chunks (document_id, chunk_no): preceding, following, page and section, none of itself.
+
+    As many rows as the lists are long: for a stated few chunks; chunk_context and chunk_groups hold the same for all."""
+    few = asked.select("document_id", "chunk_no").distinct()
+    own = chunks.join(few, ["document_id", "chunk_no"], "left_semi").select("document_id", "chunk_no", F.col("byte_start").alias("_s"), F.col("byte_end").alias("_e"))
+    others = chunks.select("document_id", F.col("chunk_no").alias("neighbour"), "byte_start", "byte_end")
+    side = F.when(F.col("byte_end") <= F.col("_s"), "preceding").when(F.col("byte_start") >= F.col("_e"), "following")
+    placed = own.join(others, "document_id").filter("neighbour <> chunk_no").select("document_id", "chunk_no", side.alias("relation"), "neighbour").filter("relation IS NOT NULL")
+    groups = chunk_groups(chunks)
+    shared = groups.join(few, ["document_id", "chunk_no"], "left_semi").join(groups.withColumnRenamed("chunk_no", "neighbour"), ["document_id", "relation", "value"])
+    shared = shared.filter("neighbour <> chunk_no").select("document_id", "chunk_no", "relation", "neighbour").distinct()
+    return placed.unionByName(shared)
 
 
 def window_sections(texts: DataFrame, rows: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:

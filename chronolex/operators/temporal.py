@@ -225,9 +225,51 @@ def shortened(text: Column, n: int = 100) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+def _iso(day: Column) -> Column:
+    """A date as text: microseconds where there are any."""
+    whole = F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_trunc("second", day) == day, whole).otherwise(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def diff_view(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that show the difference of two valid sets, spans told apart by (query_id, text): change, text cut to 100 characters,
+    ISO dates; type and weight of what was added or removed, both states and dates of what was modified.
+
+    Of rows with one text in a set the one with the greatest (weight, date, status) counts."""
+    fields = ("precedence_weight", "effective_date", "status", "document_type")
+
+    def side(df, s):
+        best = F.max(F.struct(*fields)).alias("x")
+        return df.groupBy("query_id", "text").agg(best).select("query_id", "text", *[F.col(f"x.{c}").alias(f"{s}_{c}") for c in fields], F.lit(True).alias(f"in_{s}"))
+
+    both = side(old, "old").join(side(new, "new"), ["query_id", "text"], "full_outer")
+    same = F.lit(True)
+    for c in ("effective_date", "status", "precedence_weight"):
+        same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~same, "modified")
+    one = F.col("change") != "modified"
+    either = lambda c: F.when(one, F.when(F.col("change") == "added", F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")))
+    rows = both.withColumn("change", change).filter("change IS NOT NULL")
+    return rows.select(
+        "query_id", "change", shortened(F.col("text")).alias("text"), _iso(either("effective_date")).alias("effective_date"), F.when(one, F.coalesce(either("document_type"), F.lit("unknown"))).alias("document_type"), either("precedence_weight").alias("precedence_weight"),
+        *[F.when(~one, F.col(f"{s}_status")).alias(f"{s}_status") for s in ("old", "new")], *[F.when(~one, _iso(F.col(f"{s}_effective_date"))).alias(f"{s}_effective") for s in ("old", "new")],
+    )
+
+
 def statistics(spans: DataFrame) -> DataFrame:
-    """(dimension, value, n) by status and by whole-number weight bucket, plus date bounds, in one scan."""
-    bucket = F.concat_ws("-", F.floor("precedence_weight").cast("string"), (F.floor("precedence_weight") + 1).cast("string"))
-    keyed = spans.withColumn("bucket", bucket)
-    sets = keyed.groupingSets([("status",), ("bucket",)], "status", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("effective_date").alias("earliest"), F.max("effective_date").alias("latest"))
-    return sets.select(F.when(F.col("status").isNotNull(), "status").otherwise("weight").alias("dimension"), F.coalesce("status", "bucket").alias("value"), "n", "earliest", "latest")
+    """(dimension, value, n, earliest and latest of both dates, superseding) over all spans and by document type, status and whole-number weight, in one scan.
+
+    superseding: spans that name a superseding or superseded one. A null type counts as unknown, a null status or weight has a null value."""
+    whole = F.floor("precedence_weight")
+    bucket = F.when(whole.isNotNull(), F.concat_ws("-", whole.cast("string"), (whole + 1).cast("string")))
+    kind = F.coalesce("document_type", F.lit("unknown")) if "document_type" in spans.columns else F.lit("unknown")
+    keyed = spans.select("status", bucket.alias("weight"), kind.alias("document_type"), "effective_date", "expiry_date", (F.col("superseded_by").isNotNull() | (F.coalesce(F.size("supersedes"), F.lit(0)) > 0)).alias("_s"))
+    names = ("document_type", "status", "weight")
+    bounds = [f(c).alias(f"{n}_{s}") for c, s in (("effective_date", "effective"), ("expiry_date", "expiry")) for n, f in (("earliest", F.min), ("latest", F.max))]
+    sets = keyed.groupingSets([(), *[(n,) for n in names]], *names).agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), *bounds, F.count_if("_s").alias("superseding"))
+    marks = {7: "total"} | {7 - (4 >> i): n for i, n in enumerate(names)}  # the set bits are the columns that are not grouped by
+    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for g, name in marks.items():
+        dimension = F.when(F.col("_g") == g, name).otherwise(dimension)
+        value = F.when(F.col("_g") == g, F.lit("all") if name == "total" else F.col(name)).otherwise(value)
+    return sets.select(dimension.alias("dimension"), value.alias("value"), "n", *[c for c in sets.columns if c.startswith(("earliest", "latest"))], "superseding")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions.text import modified_claim, negated_claim
 from chronolex.operators.claims import extract, first_claims
+from chronolex.operators.order import first_share
 
 NEGATIVES = 5
 
@@ -56,11 +57,9 @@ def nli_triples(texts: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("answer_id", "sentence_index", "premise", made.alias("hypothesis"), "label")
 
 
-def ordered_split(rows: DataFrame, by: str, share: float = 0.8) -> DataFrame:
-    """rows with `part` train or test: the first share in order, by a quantile of the order key rather than a global sort."""
-    n = rows.count()
-    cut = rows.select(by).orderBy(by).offset(max(int(n * share) - 1, 0)).limit(1)
-    return rows.join(F.broadcast(cut.withColumnRenamed(by, "_cut"))).withColumn("part", F.when(F.col(by) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+def ordered_split(rows: DataFrame, by: list[str], share: float = 0.8) -> DataFrame:
+    """rows with `part`: train for the first floor(n share) in order of `by`, test for the rest, cut exactly."""
+    return first_share(rows, by, share)
 
 
 def confusion(predictions: DataFrame, labels: list) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolex.config import EngineConfig
 from chronolex.functions import text as tx
 from chronolex.operators import answer as an
+from chronolex.operators import calibrate as ca
 from chronolex.operators import claims as cl
 from chronolex.operators import dense_index as dx
 from chronolex.operators import index as ix
@@ -191,6 +192,24 @@ def _labelled(s, d):
 _LABELLED = "SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuted' WHEN quality = 1 THEN 'supported' ELSE 'uncertain' END AS label, (doc_id % 101) / 100.0::DOUBLE AS confidence, quality = 1 AS correct, quality::VARCHAR AS predicted, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END::VARCHAR AS truth FROM labels"
 
 
+def _isotonic(s, d):
+    return ca.isotonic(_labelled(s, d).withColumn("y", F.col("correct").cast("double")), "confidence", "y").select("lo", "hi", "n", F.round("fitted", 6).alias("fitted"))
+
+
+def _isotonic_ece(s, d):
+    """Calibration error of the scores as they are and as fitted."""
+    rows = _labelled(s, d)
+    blocks = ca.isotonic(rows.withColumn("y", F.col("correct").cast("double")), "confidence", "y")
+    fitted = rows.withColumn("confidence", ca.calibrated(F.col("confidence"), blocks))
+    before, after = (mt.ece(x).select(F.round("ece", 6).alias(n)) for x, n in ((rows, "ece_before"), (fitted, "ece_after")))
+    return before.join(F.broadcast(after))
+
+
+def _split(s, d):
+    """Labelled rows by confidence, the first four fifths for training; ties by doc_id."""
+    return tr.ordered_split(_labelled(s, d), ["confidence", "doc_id"]).select("doc_id", "part")
+
+
 def _faithfulness(s, d):
     return _labelled(s, d).agg(F.round(mt.faithfulness(), 6).alias("faithfulness"), F.round(mt.contradiction_rate(), 6).alias("contradiction_rate"))
 
@@ -370,6 +389,9 @@ QUERIES = {
     "nli_triples": _triples,
     "confusion": _confusion,
     "class_scores": _class_scores,
+    "isotonic_fit": _isotonic,
+    "isotonic_ece": _isotonic_ece,
+    "ordered_split": _split,
     "iou": _iou,
     "layout_kinds": lambda s, d: ly.classified(_boxes(s, d)).select("elem_id", "kind"),
     "reading_order": lambda s, d: ly.reading_order(_boxes(s, d)).select("elem_id", F.col("reading_order").cast("long").alias("reading_order")),
@@ -475,6 +497,11 @@ _METRICS = f"""WITH {_rel(K)}, lb AS ({_LABELLED}), iv AS ({INTERVALS}), sp AS (
     (SELECT avg(CASE WHEN (effective_date IS NULL OR TIMESTAMP '{AS_OF}' >= effective_date) AND (expiry_date IS NULL OR TIMESTAMP '{AS_OF}' <= expiry_date) AND (repeal_date IS NULL OR TIMESTAMP '{AS_OF}' <= repeal_date) THEN 1.0 ELSE 0.0 END) FROM sp) AS temporal_accuracy,
     (SELECT greatest(0, {_like_sql("text")} - {_like_sql("mixed")}) FROM lg, f) AS robustness_drop, (SELECT sum(abs(c - a) * n) / (SELECT count(*) FROM lb) FROM eb) AS ece)"""
 
+# the isotonic fit as the highest of the least means: over all starts up to a score, of the ends from it on
+_ISOTONIC = f"""WITH l AS ({_LABELLED}), s AS (SELECT confidence AS x, count(*) AS w, sum(CASE WHEN correct THEN 1 ELSE 0 END) AS y FROM l GROUP BY 1), k AS (SELECT x, w, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS sw, sum(y) OVER (ORDER BY x) AS sy, w AS w1, y AS y1 FROM s),
+  m AS (SELECT c.i, a.i AS start, min((b.sy - a.sy + a.y1) / (b.sw - a.sw + a.w1)) AS low FROM k c JOIN k a ON a.i <= c.i JOIN k b ON b.i >= c.i GROUP BY ALL),
+  f AS (SELECT i, max(low) AS fitted FROM m GROUP BY 1), b AS (SELECT min(x) AS lo, max(x) AS hi, sum(w) AS n, fitted FROM k JOIN f USING (i) GROUP BY fitted)"""
+
 ORACLE = {
     "filter_claims": rf"""WITH {_RESULTS}, ct AS (SELECT DISTINCT answer_id, start, end_ FROM rs WHERE label = 'refuted' OR label = 'uncertain' AND confidence < 0.5),
         pr AS (SELECT answer_id, start, coalesce(lag(end_) OVER (PARTITION BY answer_id ORDER BY start), 0) AS before, end_ FROM ct),
@@ -543,6 +570,11 @@ ORACLE = {
     "confusion": f"SELECT truth AS label, count_if(predicted = '0')::BIGINT AS predicted_0, count_if(predicted = '1')::BIGINT AS predicted_1 FROM ({_LABELLED}) GROUP BY 1",
     "class_scores": f"""WITH l AS ({_LABELLED}), c AS (SELECT v.c, (SELECT count(*) FROM l WHERE truth = v.c) AS s, (SELECT count(*) FROM l WHERE predicted = v.c) AS g, (SELECT count(*) FROM l WHERE truth = v.c AND predicted = v.c) AS h FROM (VALUES ('0'), ('1')) v(c))
         SELECT round(sum(h) / sum(s), 6) AS accuracy, round(sum(h / g * s) / sum(s), 6) AS precision, round(sum(h / s * s) / sum(s), 6) AS recall, round(sum(2 * (h / g) * (h / s) / (h / g + h / s) * s) / sum(s), 6) AS f1 FROM c""",
+    "isotonic_fit": f"{_ISOTONIC} SELECT lo, hi, n::BIGINT AS n, round(fitted, 6) AS fitted FROM b",
+    "isotonic_ece": f"""{_ISOTONIC}, p AS (SELECT lo AS x, fitted AS y FROM b UNION SELECT hi, fitted FROM b), v AS (SELECT l.confidence AS before, b.fitted AS after, CASE WHEN l.correct THEN 1.0 ELSE 0.0 END AS ok FROM l JOIN b ON l.confidence BETWEEN b.lo AND b.hi),
+        g AS (SELECT 'b' AS side, floor(before * 10) AS bin, count(*) AS n, abs(avg(before) - avg(ok)) AS gap FROM v WHERE before < 1 GROUP BY ALL UNION ALL SELECT 'a', floor(after * 10), count(*), abs(avg(after) - avg(ok)) FROM v WHERE after < 1 GROUP BY ALL)
+        SELECT round(coalesce(sum(gap * n) FILTER (side = 'b'), 0) / (SELECT count(*) FROM v), 6) AS ece_before, round(coalesce(sum(gap * n) FILTER (side = 'a'), 0) / (SELECT count(*) FROM v), 6) AS ece_after FROM g""",
+    "ordered_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY confidence, doc_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part FROM ({_LABELLED})",
     "iou": f"""WITH bx AS ({_BOXES.replace("TABLE", "lineitem")}), p AS (SELECT a.elem_id AS a_elem_id, b.elem_id AS b_elem_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS t
         FROM bx a JOIN bx b ON a.page = b.page AND a.elem_id < b.elem_id) SELECT a_elem_id, b_elem_id, round(i / (t - i), 6) AS iou FROM p""",
     "layout_kinds": f"WITH {_KIND} SELECT elem_id, kind FROM kd",

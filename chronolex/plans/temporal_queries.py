@@ -70,9 +70,18 @@ def _named_active(s, d):
     return tp.active_spans(_notices(s, d), _DATE(AS_OF), _titles(s, d)).select("query_id", "span_id")
 
 
+def _view(s, d):
+    """Notices that hold at one of two dates or differ between them."""
+    kind = tp.document_type(F.col("text"))
+    spans = staged(_notices(s, d).withColumn("document_type", kind).withColumn("precedence_weight", tp.precedence_weight(kind)), "typed")
+    return tp.diff_view(*[tp.active_spans(spans, _DATE(day), _titles(s, d)) for day in (EARLIER, AS_OF)])
+
+
 def _statistics(s, d):
-    out = tp.statistics(temporal(s, d))
-    return out.select("dimension", "value", "n", F.date_format("earliest", "yyyy-MM-dd").alias("earliest"), F.date_format("latest", "yyyy-MM-dd").alias("latest"))
+    spans = temporal(s, d)
+    out = tp.statistics(spans.withColumn("document_type", F.when(F.col("span_id") % 9 > 0, tp.document_type(F.col("text")))))
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in out.columns if c.startswith(("earliest", "latest"))]
+    return out.select("dimension", "value", "n", *days, "superseding")
 
 
 def _overlap(s, d):
@@ -108,7 +117,7 @@ QUERIES = {
     "versioned_answer": lambda s, d: tp.versioned_answer(temporal(s, d), _DATE(AS_OF)),
     "answer_diff": _diff,
     "change_score": lambda s, d: tp.change_score(_diff(s, d)).withColumn("change_score", F.round("change_score", 6)),
-    "diff_view": lambda s, d: temporal(s, d).select("span_id", tp.shortened(F.col("text"), 20).alias("shown")),
+    "diff_view": _view,
     "temporal_stats": _statistics,
     "span_overlap": _overlap,
     "span_merge_overlap": _merged(False, 0),
@@ -232,9 +241,15 @@ ORACLE = {
     "answer_diff": f"{_WITH}, {_DIFF} SELECT query_id, text, change, weight FROM d WHERE change IS NOT NULL",
     "change_score": f"""{_WITH}, {_DIFF} SELECT query_id, round(sum(CASE WHEN change = 'modified' THEN weight / 2 ELSE weight END), 6) AS change_score, count_if(change = 'added')::BIGINT AS added, count_if(change = 'removed')::BIGINT AS removed,
         count_if(change = 'modified')::BIGINT AS modified FROM d WHERE change IS NOT NULL GROUP BY 1""",
-    "diff_view": f"{_WITH} SELECT span_id, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS shown FROM s",
-    "temporal_stats": f"""{_WITH} SELECT 'status' AS dimension, status AS value, count(*) AS n, strftime(min(effective_date), '%Y-%m-%d') AS earliest, strftime(max(effective_date), '%Y-%m-%d') AS latest FROM s GROUP BY status
-        UNION ALL SELECT 'weight', floor(precedence_weight)::INT || '-' || (floor(precedence_weight)::INT + 1), count(*), strftime(min(effective_date), '%Y-%m-%d'), strftime(max(effective_date), '%Y-%m-%d') FROM s GROUP BY floor(precedence_weight)::INT""",
+    "diff_view": rf"""{_NOTICES}, s AS (SELECT doc_id // 64 AS query_id, doc_id AS span_id, text, {_DATES}, {_cases(tp.DOCUMENT_TYPES, "guideline")} AS document_type FROM l), z AS (SELECT *, CASE document_type {" ".join(f"WHEN '{k}' THEN {w}" for k, w in tp.WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS w FROM s),
+        {", ".join(f"""{n}a AS (SELECT * FROM z WHERE (effective_date IS NULL OR {day} >= effective_date) AND (expiry_date IS NULL OR {day} <= expiry_date) AND status IN ('active', 'amended')),
+        {n} AS (SELECT query_id, text, max(w) AS w, max(effective_date) AS e, max(status) AS st, max(document_type) AS ty FROM {n}a a WHERE NOT EXISTS (SELECT 1 FROM e JOIN {n}a b ON b.query_id = e.query_id AND b.span_id = e.superseding WHERE e.query_id = a.query_id AND e.superseded = a.span_id) GROUP BY ALL)""" for n, day in (("vo", _ERA), ("vn", _OF)))},
+        j AS (SELECT query_id, text, o.w AS ow, n.w AS nw, o.e AS oe, n.e AS ne, o.st AS os, n.st AS ns, o.ty AS ot, n.ty AS nt, CASE WHEN o.w IS NULL THEN 'added' WHEN n.w IS NULL THEN 'removed' WHEN o.e IS DISTINCT FROM n.e OR o.st <> n.st OR o.w <> n.w THEN 'modified' END AS change FROM vo o FULL JOIN vn n USING (query_id, text)),
+        v AS (SELECT *, change = 'modified' AS m FROM j WHERE change IS NOT NULL)
+        SELECT query_id, change, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS text, CASE WHEN NOT m THEN strftime(coalesce(ne, oe), '%Y-%m-%dT%H:%M:%S') END AS effective_date, CASE WHEN NOT m THEN coalesce(nt, ot) END AS document_type, CASE WHEN NOT m THEN coalesce(nw, ow) END AS precedence_weight,
+        CASE WHEN m THEN os END AS old_status, CASE WHEN m THEN ns END AS new_status, CASE WHEN m THEN strftime(oe, '%Y-%m-%dT%H:%M:%S') END AS old_effective, CASE WHEN m THEN strftime(ne, '%Y-%m-%dT%H:%M:%S') END AS new_effective FROM v""",
+    "temporal_stats": f"""{_WITH}, y AS (SELECT *, CASE WHEN span_id % 9 > 0 THEN {_cases(tp.DOCUMENT_TYPES, "guideline")} ELSE 'unknown' END AS kind FROM s)
+        {" UNION ALL ".join(f"SELECT '{name}' AS dimension, {value} AS value, count(*) AS n, strftime(min(effective_date), '%Y-%m-%d') AS earliest_effective, strftime(max(effective_date), '%Y-%m-%d') AS latest_effective, strftime(min(expiry_date), '%Y-%m-%d') AS earliest_expiry, strftime(max(expiry_date), '%Y-%m-%d') AS latest_expiry, count_if(superseded_by IS NOT NULL OR older IS NOT NULL)::BIGINT AS superseding FROM y GROUP BY 1, 2" for name, value in (("total", "'all'"), ("document_type", "kind"), ("status", "status"), ("weight", "floor(precedence_weight)::INT || '-' || (floor(precedence_weight)::INT + 1)")))}""",
     "span_overlap": f"{_I} SELECT b.span_id AS target_id, a.span_id FROM i a JOIN i b ON {_HIT}",
     "span_merge_overlap": _islands("start < reach"),
     "span_merge_gap": _islands("start <= reach + 5"),

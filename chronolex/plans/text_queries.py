@@ -53,10 +53,21 @@ def _dedup(s, d):
     return sg.without_copies(lines).select("document_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").alias("n"))
 
 
+def _windows(s, d):
+    """Windows of all documents as chunks, with pages of 4096 bytes and the types of the sections that they share bytes with."""
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    n = F.octet_length("text").cast("long")
+    rows = texts.filter(n > 0).select("document_id", n.alias("n"), F.posexplode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(448).cast("long"))).alias("chunk_no", "byte_start"))
+    rows = rows.withColumn("byte_end", F.least(F.col("byte_start") + 512, "n")).withColumn("page_nums", F.sequence(F.expr("byte_start DIV 4096"), F.expr("(byte_end - 1) DIV 4096")))
+    typed = sg.sections(_pages(s, d), "\n")
+    kinds = sg.window_sections(texts, typed).join(typed.select("document_id", "pos", "section_type"), ["document_id", "pos"])
+    kinds = kinds.groupBy("document_id", F.col("window").alias("chunk_no")).agg(F.collect_set("section_type").alias("section_types"))
+    return rows.drop("n").join(kinds, ["document_id", "chunk_no"], "left").withColumn("section_types", F.coalesce("section_types", F.array().cast("array<string>")))
+
+
 def _context(s, d):
-    lines = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_no", "text")).withColumn("byte_start", F.col("chunk_no"))
-    out = sg.chunk_context(lines, 2)
-    return out.select("document_id", "chunk_no", F.array_join("preceding", ",").alias("preceding"), F.array_join("following", ",").alias("following"))
+    out = sg.chunk_context(_windows(s, d).drop("section_types"))
+    return out.select("document_id", "chunk_no", *[F.col(c).cast("long").alias(c) for c in ("start_place", "end_place", "n_preceding", "n_following")])
 
 
 def _language(s, d):
@@ -96,6 +107,7 @@ QUERIES = {
     "window_sections": _window_sections,
     "chunk_dedup": _dedup,
     "chunk_context": _context,
+    "chunk_groups": lambda s, d: sg.chunk_groups(_windows(s, d)),
 }
 
 _MONTHS = tx.MONTHS
@@ -106,6 +118,12 @@ _SECTIONS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw
     o AS (SELECT doc_id, n, trim(raw) AS t, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_start FROM l),
     sec AS (SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, t, strlen(t) AS b, length(t) % 4 AS lv, byte_start, byte_start + strlen(t) AS byte_end FROM o WHERE t <> '')"""
 
+_TYPED = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        o AS (SELECT doc_id, n, trim(raw) AS t, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_start FROM l),
+        c AS (SELECT *, CASE {_SECTION_CASES} WHEN length(t) < 200 AND upper(t) = t AND regexp_matches(t, '\p{{Lu}}') THEN 'heading' WHEN regexp_matches(t, '^[0-9]+\.') THEN 'numbered_section'
+            WHEN regexp_matches(t, '^\([a-z]\)') THEN 'clause' WHEN starts_with(t, 'Note:') OR starts_with(t, 'NOTE:') THEN 'note' ELSE 'paragraph' END AS section_type FROM o WHERE t <> '')"""
+_WINDOWED = "d AS (SELECT doc_id AS document_id, strlen(text) AS n, unnest(range(0, strlen(text), 448)) AS s FROM documents), w AS (SELECT document_id, (s // 448)::INT AS chunk_no, s, least(s + 512, n) AS e FROM d)"
+
 ORACLE = {
     "merge_fragments": rf"""SELECT doc_id, list_reduce(list_transform(string_split(replace(text, ' ', '-| '), '|'), lambda x: trim(x)),
         lambda a, x: CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || '|' || x END) AS merged FROM ({LEGAL})""",
@@ -148,10 +166,7 @@ ORACLE = {
     "modified_claim": f"""SELECT doc_id, CASE length(text) % 5 WHEN 0 THEN replace(text, '10%', '15%') WHEN 1 THEN replace(text, 'shall', 'may') WHEN 2 THEN replace(text, 'must', 'should')
         WHEN 3 THEN replace(text, 'all', 'some') ELSE replace(text, 'every', 'any') END AS text FROM ({LEGAL})""",
     "trust_gate": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE coalesce(nullif(l_discount, 0.0), 1.0) >= 0.07 GROUP BY 1",
-    "segment_sections": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-        o AS (SELECT doc_id, n, trim(raw) AS t, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_start FROM l),
-        c AS (SELECT *, CASE {_SECTION_CASES} WHEN length(t) < 200 AND upper(t) = t AND regexp_matches(t, '\p{{Lu}}') THEN 'heading' WHEN regexp_matches(t, '^[0-9]+\.') THEN 'numbered_section'
-            WHEN regexp_matches(t, '^\([a-z]\)') THEN 'clause' WHEN starts_with(t, 'Note:') OR starts_with(t, 'NOTE:') THEN 'note' ELSE 'paragraph' END AS section_type FROM o WHERE t <> ''),
+    "segment_sections": rf"""WITH {_TYPED},
         v AS (SELECT *, CASE section_type {_LEVEL_CASES} WHEN 'heading' THEN 0 WHEN 'numbered_section' THEN 1 WHEN 'note' THEN 2 ELSE 3 END AS level,
             length(regexp_replace(t, '[^\x{{0900}}-\x{{097F}}]', '', 'g')) AS h, length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS lat FROM c)
         SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, section_type, level, byte_start, (byte_start + strlen(t))::BIGINT AS byte_end, sha256(t) AS digest,
@@ -161,7 +176,8 @@ ORACLE = {
         SELECT document_id, (s // 448)::INT AS "window", pos FROM w JOIN sec USING (document_id) WHERE byte_start < least(s + 512, n) AND byte_end > s""",
     "chunk_dedup": """WITH l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents)
         SELECT document_id, min(chunk_no)::BIGINT AS chunk_no, length(text)::INT AS n FROM l GROUP BY document_id, text""",
-    "chunk_context": """WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), m AS (SELECT document_id, max(chunk_no) AS top FROM l GROUP BY 1)
-        SELECT document_id, chunk_no::INT AS chunk_no, array_to_string(list_filter([chunk_no - 1, chunk_no - 2], lambda x: x >= 0), ',') AS preceding,
-        array_to_string(list_filter([chunk_no + 1, chunk_no + 2], lambda x: x <= top), ',') AS following FROM l JOIN m USING (document_id)""",
+    "chunk_context": f"""WITH {_WINDOWED} SELECT document_id, chunk_no, row_number() OVER (PARTITION BY document_id ORDER BY s, chunk_no) AS start_place, row_number() OVER (PARTITION BY document_id ORDER BY e, chunk_no) AS end_place,
+        (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.e <= a.s) AS n_preceding, (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.s >= a.e) AS n_following FROM w a""",
+    "chunk_groups": rf"""WITH {_WINDOWED}, {_TYPED} SELECT document_id, 'page' AS relation, unnest(range(s // 4096, (e - 1) // 4096 + 1))::VARCHAR AS value, chunk_no FROM w
+        UNION ALL SELECT DISTINCT document_id, 'section', section_type, chunk_no FROM w JOIN (SELECT doc_id AS document_id, section_type, byte_start AS b, byte_start + strlen(t) AS f FROM c) USING (document_id) WHERE b < e AND f > s""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolex.config import EngineConfig
 from chronolex.functions import text as tx
-from chronolex.operators import answer, claims, layout, metrics, retrieve, segment, spans, temporal, training
+from chronolex.operators import answer, claims, conflicts, layout, metrics, retrieve, segment, spans, temporal, training
 from chronolex.sources import corpus
 
 
@@ -22,7 +22,7 @@ def test_status(spark, text, want):
 
 @pytest.mark.parametrize(("text", "want"), [("w.e.f. 25/12/2023", "2023-12-25"), ("effective from January 1, 2023", None), ("comes into force on the 3 May 2020", "2020-05-03"), ("with effect from 12/31/2020", "2020-12-31"), ("effective 99/99/2020", None)])
 def test_effective_date(spark, text, want):
-    found = one(spark, temporal.effective_date(F.col("t")), t=text)
+    found = temporal.with_temporal_metadata(spark.createDataFrame([(text,)], "text string")).first()["effective_date"]
     assert (found and found.strftime("%Y-%m-%d")) == want
 
 
@@ -119,8 +119,9 @@ def test_temporal_partition_and_self_conflicts(spark):
     df = spark.createDataFrame(rows, kinds)
     day = F.lit("2020-01-01").cast("timestamp_ntz")
     assert {r["span_id"]: r["valid"] for r in temporal.split_by_date(df, day).collect()} == {"a": True, "b": False, "c": False}
-    conflicts = temporal.text_conflicts(df)
-    assert conflicts.first()["winner"] == "a" and {r["span_id"] for r in temporal.resolve_conflicts(df, conflicts).collect()} == {"a", "c"}
+    members = conflicts.members(df)
+    linked = conflicts.links(df, members)
+    assert {r["span_id"] for r in conflicts.resolve(df, members, linked).collect()} == {"a", "c"} and conflicts.pair_count(df, members, linked).first()["conflicts"] == 1
 
 
 def test_claims(spark):
@@ -145,7 +146,7 @@ def test_metrics_edges(spark):
 
 def test_training(spark):
     rows = spark.createDataFrame([(i,) for i in range(10)], "i int")
-    assert training.ordered_split(rows, "i").filter("part = 'train'").count() == 8
+    assert training.ordered_split(rows, ["i"]).filter("part = 'train'").count() == 8
     raw = spark.createDataFrame([("p", "h", "SUPPORTED"), ("p", "h", "other")], "evidence string, claim string, gold_label string")
     assert [tuple(r) for r in training.nli_pairs(raw).collect()] == [("p", "h", 0)]
 

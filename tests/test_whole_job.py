@@ -60,14 +60,31 @@ def conflicts(spans, threshold=0.8):
     return found
 
 
+def pairs_of(spans, membership, linked):
+    """{(query_id, first, second): similarity} from links between classes and membership."""
+    document, held, found = {x["span_id"]: x["document_id"] for x in spans}, {}, {}
+    for r in membership:
+        held.setdefault((r["query_id"], r["class_id"]), []).append(r["span_id"])
+    for r in linked:
+        q = r["query_id"]
+        for a, b in itertools.product(held[q, r["first"]], held[q, r["second"]]):
+            if a != b and document[a] != document[b]:
+                found[q, min(a, b), max(a, b)] = round(r["similarity"], 6)
+    return found
+
+
 def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
     kinds = ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"]
     orders = [(k, 50 * (k * 7 % 40) + k % 2, datetime(1995, 1, 1 + k % 5), kinds[k * 5 % 11 % 4]) for k in range(400)]
-    found = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
+    linked = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
     spans = [r.asDict() for r in temporal(spark, str(tmp_path)).collect()]
     want = conflicts(spans)
     assert any(s <= 0.9 for s, _ in want.values()) and any(s > 0.9 for s, _ in want.values())
-    assert {(r["query_id"], r["first"], r["second"]): (r["similarity"], r["winner"]) for r in found} == want and len(found) == len(want)
+    membership = catalogue.queries()["conflict_members"](spark, str(tmp_path)).collect()
+    assert len(linked) + len(membership) < len(want)
+    assert pairs_of(spans, membership, linked) == {at: s for at, (s, _) in want.items()}
+    counted = {r["query_id"]: r["conflicts"] for r in catalogue.queries()["conflict_counts"](spark, str(tmp_path)).collect()}
+    assert counted == {q: sum(at[0] == q for at in want) for q in {at[0] for at in want}}
     sides = {(x, w == x) for (_, *pair), (_, w) in want.items() for x in pair}
     lost = {x for x, won in sides if not won and (x, True) not in sides}
     kept = catalogue.queries()["conflict_resolve"](spark, str(tmp_path)).collect()
