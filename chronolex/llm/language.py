@@ -33,12 +33,12 @@ from chronolex.llm.common import ENTRY_BYTES, MEMO_BYTES, Interner, crc_fold, me
 BUCKETS = 1 << 15
 DIM = 16
 GRAMS = 4
-SAMPLE, SAMPLE_BYTES = 4096, 64 << 20
+SAMPLE, SAMPLE_BYTES = 2048, 16 << 20
 ERRORS = 0.01
 UNKNOWN = "und"
 #: counts of subwords of a training row; one of more is shared out by the mean anyway
 _MOST_COUNT = 65535
-_MEMO_WORDS = 3 * MEMO_BYTES // (2 * ENTRY_BYTES)
+_MEMO_WORDS = 6 * MEMO_BYTES // (2 * ENTRY_BYTES)
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
