@@ -28,17 +28,21 @@ def _cut(df: DataFrame) -> DataFrame:
     return staged(df, "engine")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, valid: Column | None = None, min_confidence: float = 0.0, languages=None, section_types=None, scorer: Column | None = None) -> DataFrame:
-    """queries (query_id, text) -> fused hits (query_id, chunk_id, dense, sparse, bm25, score, confidence, rank) with the chunks' columns.
-
-    Each list has the config's top_k; a list that is switched off, or a dense one without vectors, is empty. Filters run on the
-    fused hits, then they are cut to top_k; a scorer re-ranks the queries that keep more than ten."""
+def lists(queries: DataFrame, chunks: DataFrame, config: EngineConfig, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dense, sparse and BM25 lists (query_id, chunk_id, score, rank) of queries (query_id, text), top_k deep; a list that is switched off, or a dense one without vectors, is empty."""
     none = queries.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     dense = rt.dense(query_vectors, vectors, config.top_k) if config.use_dense and query_vectors is not None and vectors is not None else none
     lex = lexical(chunks) if config.use_sparse or config.use_bm25 else None
     sparse = rt.sparse(queries, lex, config.top_k) if config.use_sparse else none
     bm25 = rt.bm25(queries, lex, config.top_k) if config.use_bm25 else none
-    hits = rt.fuse(dense, sparse, bm25, config.hybrid_alpha).join(chunks, "chunk_id")
+    return dense, sparse, bm25
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, valid: Column | None = None, min_confidence: float = 0.0, languages=None, section_types=None, scorer: Column | None = None) -> DataFrame:
+    """queries (query_id, text) -> fused hits (query_id, chunk_id, dense, sparse, bm25, score, confidence, rank) with the chunks' columns.
+
+    Each list has the config's top_k. Filters run on the fused hits, then they are cut to top_k; a scorer re-ranks the queries that keep more than ten."""
+    hits = rt.fuse(*lists(queries, chunks, config, query_vectors, vectors), config.hybrid_alpha).join(chunks, "chunk_id")
     hits = rt.top(rt.filtered(hits, min_confidence, languages, section_types, valid), config.top_k)
     if config.use_reranker and scorer is not None:
         many = F.count(F.lit(1)).over(Window.partitionBy("query_id")) > RERANK_FROM
@@ -47,17 +51,27 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: EngineConfig = Engin
     return hits
 
 
-def valid_spans(hits: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None) -> DataFrame:
-    """Temporal spans of the hits that are valid at the date, without the losers of conflicts; `pos` is their place by score.
+def span_stages(hits: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Temporal spans of the hits: all, those that are valid at the date, and those of them that no conflict takes away; `pos` is the last ones' place by score.
 
-    titles (document_id, key): the documents that names of supersession resolve to (supersession.document_titles)."""
-    spans = _cut(tp.temporal_spans(hits))
-    kept = _cut(tp.split_by_date(spans, as_of, config.enable_precedence, titles).filter("valid").drop("valid"))
+    as_of may read columns of the hits that `keep` names. titles (document_id, key): the documents that names of
+    supersession resolve to (supersession.document_titles)."""
+    spans = _cut(tp.temporal_spans(hits, keep))
+    kept = dated = _cut(tp.split_by_date(spans, as_of, config.enable_precedence, titles).filter("valid").drop("valid"))
     if config.suppress_contradictions:
-        membership = _cut(conflicts.members(kept))
-        kept = conflicts.resolve(kept, membership, _cut(conflicts.links(kept, membership)))
+        membership = _cut(conflicts.members(dated))
+        kept = conflicts.resolve(dated, membership, _cut(conflicts.links(dated, membership)))
+    return spans, dated, _placed(kept)
+
+
+def _placed(spans: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "span_id")
-    return _cut(kept.withColumn("pos", F.row_number().over(order)))
+    return _cut(spans.withColumn("pos", F.row_number().over(order)))
+
+
+def valid_spans(hits: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None) -> DataFrame:
+    """Temporal spans of the hits that are valid at the date, without the losers of conflicts."""
+    return span_stages(hits, as_of, config, titles)[2]
 
 
 def verified(answers: DataFrame, spans: DataFrame, config: EngineConfig = EngineConfig(), similarity=None) -> DataFrame:
@@ -93,16 +107,20 @@ def build_answer(queries: DataFrame, spans: DataFrame, results: DataFrame, summa
     return rows.select("query_id", "answer", F.coalesce(kept, F.array().cast("array<string>")).alias("citations"), answer_hash(F.col("answer")).alias("answer_hash"), "refusal_code", "refusal_message")
 
 
+def answered(queries: DataFrame, spans: DataFrame, config: EngineConfig = EngineConfig(), threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Answers (build_answer) of queries (query_id) from their spans, and the verified claims of what the spans say."""
+    drafts = _cut(an.decode(spans, config.max_answer_chars).select("query_id", F.col("answer").alias("text")))
+    results = _cut(verified(drafts, spans, config))
+    summary = cl.summarise(drafts.withColumnRenamed("query_id", "answer_id"), results.withColumnRenamed("query_id", "answer_id"), threshold).withColumnRenamed("answer_id", "query_id")
+    return build_answer(queries, spans, results, summary, config), results
+
+
 def ask(queries: DataFrame, chunks: DataFrame, as_of: Column, config: EngineConfig = EngineConfig(), threshold: float = 0.3, titles: DataFrame | None = None, **options) -> DataFrame:
     """queries (query_id, text) answered as of a date from chunks; options go to retrieve().
 
     What a text says it supersedes counts by the titles of documents; without titles (document_id, key) the chunks' own."""
     titles = _cut(document_titles(chunks)) if titles is None else titles
-    spans = valid_spans(retrieve(queries, chunks, config, **options), as_of, config, titles)
-    drafts = _cut(an.decode(spans, config.max_answer_chars).select("query_id", F.col("answer").alias("text")))
-    results = _cut(verified(drafts, spans, config))
-    summary = cl.summarise(drafts.withColumnRenamed("query_id", "answer_id"), results.withColumnRenamed("query_id", "answer_id"), threshold).withColumnRenamed("answer_id", "query_id")
-    return build_answer(queries, spans, results, summary, config)
+    return answered(queries, valid_spans(retrieve(queries, chunks, config, **options), as_of, config, titles), config, threshold)[0]
 
 
 def diff(queries: DataFrame, chunks: DataFrame, old: Column, new: Column, config: EngineConfig = EngineConfig(), titles: DataFrame | None = None, **options) -> DataFrame:

@@ -100,6 +100,15 @@ def tfidf_vectors(lex: Lexical, idf: DataFrame) -> DataFrame:
     return raw.join(norms(raw), "chunk_id").select("chunk_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def hashed_vectors(texts: DataFrame, key: str = "chunk_id", width: int = 64) -> DataFrame:
+    """(key, embedding) of texts (key, text): each word adds 1 or -1 to one of `width` components, by its hash; a stand-in for an encoder."""
+    h = F.xxhash64("w")
+    words = texts.select(key, F.explode_outer(tokens(F.col("text"))).alias("w")).select(key, F.when(F.col("w").isNotNull(), F.pmod(h, F.lit(width)).cast("int")).alias("at"), F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0).alias("x"))
+    sums = words.groupBy(key, "at").agg(F.sum("x").alias("x"))
+    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "x")))).alias("m"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(chunk_id, v): vectors as doubles of length one; zero vectors go."""
     v = F.transform("embedding", lambda x: x.cast("double"))

@@ -96,9 +96,9 @@ def with_temporal_metadata(df: DataFrame, text: str = "text", published: Column
     return out.withColumns(dates).drop(*finds)
 
 
-def temporal_spans(hits: DataFrame) -> DataFrame:
-    """hits (query_id, chunk_id, text, spans, score, confidence) -> one temporal span a span, typed by the chunk's text."""
-    rows = hits.select("query_id", "chunk_id", F.col("text").alias("chunk_text"), "score", "confidence", F.posexplode("spans").alias("pos", "span"))
+def temporal_spans(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """hits (query_id, chunk_id, text, spans, score, confidence) -> one temporal span a span, typed by the chunk's text; columns that `keep` names stay."""
+    rows = hits.select("query_id", "chunk_id", *keep, F.col("text").alias("chunk_text"), "score", "confidence", F.posexplode("spans").alias("pos", "span"))
     rows = rows.select("*", F.col("span.text").alias("text"), F.coalesce(F.col("span.byte_start"), F.lit(0)).alias("byte_start"))
     rows = with_temporal_metadata(rows).withColumn("document_type", document_type(F.col("chunk_text")))
     return rows.withColumns(

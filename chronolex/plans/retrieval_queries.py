@@ -11,6 +11,8 @@ from chronolex.operators import answer as an
 from chronolex.operators import calibrate as ca
 from chronolex.operators import claims as cl
 from chronolex.operators import dense_index as dx
+from chronolex.operators import engine as en
+from chronolex.operators import evaluate as ev
 from chronolex.operators import index as ix
 from chronolex.operators import layout as ly
 from chronolex.operators import metrics as mt
@@ -270,34 +272,47 @@ def _targets(s, d):
     return mt.targets(_metrics(s, d)).select(*[f"meets_{n}" for n in mt.TARGETS])
 
 
+def _notice_chunks(s, d):
+    """Notices of all orders as chunks of one span each."""
+    one = F.array(F.struct(F.col("text").alias("text"), F.lit(0).alias("byte_start"), F.octet_length("text").alias("byte_end"), F.lit(1).alias("page_num"), F.lit("paragraph").alias("section_type"), F.lit(0.9).alias("confidence")))
+    rows = legal(s, d)
+    return staged(rows.select(F.concat_ws("_", "doc_id", F.lit(0)).alias("chunk_id"), "text", one.alias("spans"), F.array(F.lit("en")).alias("languages"), F.array(F.lit("paragraph")).alias("section_types")), "chunks")
+
+
+def _qa(s, d):
+    """A question on every order whose key 200 divides: the first words of its notice, as of a date but for every third; the notice is what answers it."""
+    rows = legal(s, d).filter("doc_id % 200 = 0")
+    day = F.when(F.expr("doc_id DIV 200 % 3 > 0"), F.lit(AS_OF).cast("timestamp_ntz"))
+    relevant = F.array(F.struct(F.col("doc_id").alias("document_id"), F.lit(0).alias("byte_start"), F.octet_length("text").alias("byte_end")))
+    return staged(rows.select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"^(?:\S+\s+){0,7}\S+", 0).alias("question"), F.col("text").alias("expected"), day.alias("as_of"), relevant.alias("relevant")), "qa")
+
+
+def _asked(s, d):
+    questions = _qa(s, d).select("query_id", F.col("question").alias("text"))
+    out = en.ask(questions, _notice_chunks(s, d), F.lit(AS_OF).cast("timestamp_ntz"))
+    return out.select("query_id", "answer", F.size("citations").alias("citations"), "answer_hash", "refusal_code")
+
+
+def _differed(s, d):
+    questions = _qa(s, d).select("query_id", F.col("question").alias("text"))
+    out = en.diff(questions, _notice_chunks(s, d), *[F.lit(day).cast("timestamp_ntz") for day in (EARLIER, AS_OF)])
+    return out.select("query_id", F.array_join("text_diff", "\n").alias("text_diff"), *[F.size(c).alias(c) for c in ("added", "removed", "retained")], "hash_changed", "old_span_count", "new_span_count")
+
+
+def _qa_evaluation(s, d):
+    qa = _qa(s, d)
+    rows = ev.per_question(ev.run(qa, _notice_chunks(s, d), {"baseline": EngineConfig()}), qa)
+    return rows.select("query_id", "variant", "question", "answer", "refusal_code", "n_spans", "suppressed", "conflicted", F.size("predicted_spans").alias("predicted"), F.size("true_spans").alias("true"))
+
+
 def _ablations(s, d):
-    """(config, metric, value) of every configuration, run over the tables: nDCG of the fused lists against labelled quality,
-    faithfulness of verified claims, F1 of the spans taken as valid against those that are."""
-    grid = mt.ablation_grid(EngineConfig())
-    number = {name: i for i, name in enumerate(grid)}
-    each = lambda df, able: df.withColumn("config", F.explode(F.array(*[F.lit(n) for n, c in grid.items() if able(c)])))
-    keyed = lambda df: df.withColumn("query_id", F.struct("config", "query_id"))
-    lists = [keyed(each(hits, able)) for hits, able in zip(_lists(s, d), (lambda c: c.use_dense, lambda c: c.use_sparse, lambda c: c.use_bm25), strict=True)]
-    good = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id")).distinct().withColumn("relevance", F.lit(1.0))
-    ranked = rt.top(rt.fuse(*lists), K).join(good, "chunk_id", "left").fillna(0.0, ["relevance"])
-    gains = mt.ndcg(ranked.select("query_id", F.col("chunk_id").alias("item_id"), "score", "relevance"))
-    rows = gains.groupBy(F.col("query_id.config").alias("config")).agg(F.lit("ndcg").alias("metric"), F.avg("ndcg").alias("value"))
-    results = _results(s, d).select("label", "confidence")
-    for verified in (True, False):  # unverified claims count as supported
-        named = [n for n, c in grid.items() if (c.nli_threshold > 0) == verified]
-        one = (results if verified else results.withColumn("label", F.lit("supported"))).agg(mt.faithfulness().alias("value"))
-        rows = rows.unionByName(one.select(F.explode(F.array(*[F.lit(n) for n in named])).alias("config"), F.lit("faithfulness").alias("metric"), "value"))
-    spans = temporal(s, d)
-    true = active_spans(spans, F.lit(AS_OF).cast("timestamp_ntz"))
-    for filtered in (True, False):
-        named = [n for n, c in grid.items() if c.enable_precedence == filtered]
-        f1 = mt.span_f1(true if filtered else spans, true, ["query_id", "span_id"]).select(F.col("f1").alias("value"))
-        rows = rows.unionByName(f1.select(F.explode(F.array(*[F.lit(n) for n in named])).alias("config"), F.lit("span_f1").alias("metric"), "value"))
-    return rows.filter(F.col("config").isin(*number))
+    """(config, metric, value): the questions on notices asked under every configuration."""
+    qa = _qa(s, d)
+    return ev.measured(ev.run(qa, _notice_chunks(s, d), mt.ablation_grid(EngineConfig())), qa)
 
 
 def _importance(s, d):
-    out = mt.importance(mt.ablation_delta(_ablations(s, d)))
+    out = mt.importance(mt.ablation_delta(staged(_ablations(s, d), "metrics")))
     return out.select("config", F.round("importance", 6).alias("importance"))
 
 
@@ -383,6 +398,9 @@ QUERIES = {
     "targets": _targets,
     "ablations": lambda s, d: _ablations(s, d).withColumn("value", F.round("value", 4)),
     "ablation_importance": _importance,
+    "ask": _asked,
+    "diff": _differed,
+    "qa_evaluation": _qa_evaluation,
     "hard_negatives": _hard_negatives,
     "retrieval_metrics": _ir_metrics,
     "train_pairs": _train_pairs,
