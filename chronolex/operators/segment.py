@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import detect_language
+from chronolex.operators import scans
 from chronolex.operators.spans import interval_join
 
 # fixed values: section types with their patterns, tried in this order, and levels
@@ -49,10 +50,11 @@ def paragraphs(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
 
     Offsets run over all pages of a document; a separator counts with its own bytes."""
     rows = pages.select("document_id", "page_num", "trust_score", F.posexplode(F.split("raw_text", separator)).alias("n", "raw"))
-    order = Window.partitionBy("document_id").orderBy("page_num", "n")
-    start = F.sum(F.octet_length("raw") + F.lit(len(separator.encode()))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("byte_start", F.coalesce(start, F.lit(0)).cast("long")).withColumn("text", F.trim("raw")).filter("text <> ''")
-    return rows.withColumn("pos", F.row_number().over(order)).withColumn("byte_end", F.col("byte_start") + F.octet_length("text"))
+    rows = rows.withColumn("text", F.trim("raw")).withColumn("_b", F.floor(F.col("n") / scans.SPLIT))
+    size = F.octet_length("raw") + F.lit(len(separator.encode()))
+    rows = scans.scan(rows, ["document_id"], ["page_num", "_b"], ["n"], {"byte_start": ("sum", size.cast("long")), "pos": ("sum", (F.col("text") != "").cast("int"))}, inclusive=False)
+    rows = rows.drop("_b").filter("text <> ''").withColumn("pos", (F.col("pos") + 1).cast("int"))
+    return rows.withColumn("byte_end", F.col("byte_start") + F.octet_length("text"))
 
 
 def detected(detections: DataFrame, trust: float = 0.7) -> DataFrame:
@@ -71,9 +73,9 @@ def sections(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
 
 
 def with_parents(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("level") == 0, F.substring("text", 1, 50)), ignorenulls=True).over(order)
-    return rows.withColumn("parent", F.when(F.col("level") > 0, last))
+    title = F.when(F.col("level") == 0, F.substring("text", 1, 50))
+    found = scans.scan(rows.withColumn("_b", F.floor(F.col("pos") / scans.SPLIT)), ["document_id"], ["_b"], ["pos"], {"_last": ("last", title)})
+    return found.withColumn("parent", F.when(F.col("level") > 0, F.col("_last"))).drop("_b", "_last")
 
 
 # --- chunks ---------------------------------------------------------------------------------------

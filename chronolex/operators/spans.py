@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import span_hash
+from chronolex.operators.scans import scan
 
 BUCKET = 4096
 
@@ -35,12 +36,11 @@ def overlapping(spans: DataFrame, targets: DataFrame) -> DataFrame:
 def merge_adjacent(spans: DataFrame, max_gap: int = 0, touching: bool = False) -> DataFrame:
     """Islands of spans by (document_id, start): the next span joins when it begins at most max_gap after the island's
     end (touching), or before it (otherwise, with max_gap 0: overlaps only)."""
-    order = Window.partitionBy("document_id").orderBy("start", "end", "span_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end").over(before)
-    joins = (F.col("start") <= reach + max_gap) if touching else (F.col("start") < reach)
-    flagged = spans.withColumn("_new", F.when(reach.isNull() | ~joins, 1).otherwise(0))
-    islands = flagged.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bucketed, order = spans.withColumn("_b", F.floor(F.col("start") / BUCKET)), ["start", "end", "span_id"]
+    reached = scan(bucketed, ["document_id"], ["_b"], order, {"_reach": ("max", F.col("end"))}, inclusive=False)
+    joins = (F.col("start") <= F.col("_reach") + max_gap) if touching else (F.col("start") < F.col("_reach"))
+    flagged = reached.withColumn("_new", F.when(F.col("_reach").isNull() | ~joins, 1).otherwise(0))
+    islands = scan(flagged, ["document_id"], ["_b"], order, {"island": ("sum", F.col("_new"))})
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "span_id", c))), lambda x: x[c])
     return islands.groupBy("document_id", "island").agg(
         F.min("start").alias("start"),
