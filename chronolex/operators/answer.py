@@ -6,12 +6,8 @@ Greedy rules are ordered folds over one query's spans, a handful of rows, inside
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from chronolex.functions.text import answer_hash, join_coherently, overlap_coefficient, sentences, word_set
 
@@ -125,11 +121,5 @@ def evidence_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("query_id", F.array_except(n, o).alias("added"), F.array_except(o, n).alias("removed"), F.array_intersect(o, n).alias("retained"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Lines of the unified difference of two texts (no builtin has one)."""
-    return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="")) for a, b in zip(old, new, strict=True)])
-
-
 def versioned(answers: DataFrame) -> DataFrame:
     return answers.withColumn("answer_hash", answer_hash(F.col("answer")))

@@ -18,6 +18,7 @@ from chronolex.operators import retrieve as rt
 from chronolex.operators import temporal as tp
 from chronolex.operators.index import lexical
 from chronolex.operators.supersession import document_titles
+from chronolex.operators.text_diff import differences, unified
 from chronolex.staging import staged
 
 RERANK_FROM = 10
@@ -140,8 +141,10 @@ def diff(queries: DataFrame, chunks: DataFrame, old: Column, new: Column, config
         rows = rows.join(texts, "query_id", "left").join(counts, "query_id", "left").join(ids(spans, f"_{name}"), "query_id", "left")
     rows = rows.fillna("", ["old", "new"]).fillna(0, ["old_span_count", "new_span_count"])
     a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in ("_old", "_new"))
-    split = lambda c: F.array_join(F.split(c, r"(?<=[.!?])\s+"), "\n")
+    rows, sentence = _cut(rows), r"(?<=[.!?])\s+"
+    lines = rows.select(F.col("query_id").alias("key"), *[F.when(F.col(c) != "", F.split(c, sentence)).alias(c) for c in ("old", "new")])
+    rows = rows.join(unified(differences(lines)).select(F.col("key").alias("query_id"), F.col("lines").alias("_diff")), "query_id", "left")
     return rows.select(
-        "query_id", an.unified_diff(split(F.col("old")), split(F.col("new"))).alias("text_diff"), F.array_except(b, a).alias("added"), F.array_except(a, b).alias("removed"), F.array_intersect(a, b).alias("retained"),
+        "query_id", F.coalesce("_diff", F.array().cast("array<string>")).alias("text_diff"), F.array_except(b, a).alias("added"), F.array_except(a, b).alias("removed"), F.array_intersect(a, b).alias("retained"),
         (answer_hash(F.col("old")) != answer_hash(F.col("new"))).alias("hash_changed"), "old_span_count", "new_span_count",
     )
