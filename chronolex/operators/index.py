@@ -55,7 +55,11 @@ def term_counts(chunks: DataFrame) -> DataFrame:
 
 def lexical(chunks: DataFrame) -> Lexical:
     """chunks (chunk_id, text), each id once; a null text counts as a chunk without words or length."""
-    counts = staged(term_counts(chunks), "terms")
+    return lexical_of(staged(term_counts(chunks), "terms"))
+
+
+def lexical_of(counts: DataFrame) -> Lexical:
+    """From term_counts() of all chunks, a written table."""
     each = counts.select(F.explode("terms").alias("_p")).groupBy("_p.term").agg(F.count(F.lit(1)).alias("df"), F.sum("_p.tf").alias("total"))
     vocabulary = staged(each.select("term", "df", "total"), "vocabulary")
     size = counts.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("doc_len") >= 0, F.col("doc_len"))).alias("avgdl")).first()

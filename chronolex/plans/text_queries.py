@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import text as tx
 from chronolex.operators import segment as sg
+from chronolex.operators import text_diff as td
 from chronolex.plans.inputs import LEGAL, legal, table
+from chronolex.staging import staged
 
 _DATES = lambda s, d: legal(s, d).select("doc_id", F.explode(tx.dates_in(F.col("text"))).alias("d")).select("doc_id", F.col("d.text").alias("date_text"), F.col("d.start").cast("long").alias("start"), F.col("d.end").cast("long").alias("end_"))
 
@@ -70,6 +72,19 @@ def _context(s, d):
     return out.select("document_id", "chunk_no", *[F.col(c).cast("long").alias(c) for c in ("start_place", "end_place", "n_preceding", "n_following")])
 
 
+def _text_diff(s, d):
+    """Each document against the one with the next id, by lines: sizes from the difference, and whether it gives both texts back."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    lines = lambda c: F.split(c, "\n")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    pairs = staged(docs.join(after, "doc_id").select(F.col("doc_id").alias("key"), lines("text").alias("old"), lines("next").alias("new")), "pairs")
+    diff = staged(td.differences(pairs), "diff")
+    back = [td.applied(diff, new).withColumnRenamed("lines", f"_{new}") for new in (False, True)]
+    sizes = diff.groupBy("key").agg(F.count_if(F.col("op") != "+").alias("n_old"), F.count_if(F.col("op") != "-").alias("n_new"))
+    rows = pairs.join(sizes, "key").join(back[0], "key").join(back[1], "key")
+    return rows.select(F.col("key").alias("doc_id"), "n_old", "n_new", (F.col("_False") == F.col("old")).alias("old_back"), (F.col("_True") == F.col("new")).alias("new_back"))
+
+
 def _language(s, d):
     docs = table(s, d, "documents").select("doc_id", "text").unionByName(s.createDataFrame([(-1, "नियम rule"), (-2, "123"), (-3, "")], "doc_id long, text string"))
     return docs.select("doc_id", tx.detect_language(F.col("text")).alias("language"))
@@ -107,6 +122,7 @@ QUERIES = {
     "window_sections": _window_sections,
     "chunk_dedup": _dedup,
     "chunk_context": _context,
+    "text_diff": _text_diff,
     "chunk_groups": lambda s, d: sg.chunk_groups(_windows(s, d)),
 }
 
@@ -178,6 +194,7 @@ ORACLE = {
         SELECT document_id, min(chunk_no)::BIGINT AS chunk_no, length(text)::INT AS n FROM l GROUP BY document_id, text""",
     "chunk_context": f"""WITH {_WINDOWED} SELECT document_id, chunk_no, row_number() OVER (PARTITION BY document_id ORDER BY s, chunk_no) AS start_place, row_number() OVER (PARTITION BY document_id ORDER BY e, chunk_no) AS end_place,
         (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.e <= a.s) AS n_preceding, (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.s >= a.e) AS n_following FROM w a""",
+    "text_diff": "SELECT a.doc_id, len(string_split(a.text, chr(10))) AS n_old, len(string_split(b.text, chr(10))) AS n_new, TRUE AS old_back, TRUE AS new_back FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "chunk_groups": rf"""WITH {_WINDOWED}, {_TYPED} SELECT document_id, 'page' AS relation, unnest(range(s // 4096, (e - 1) // 4096 + 1))::VARCHAR AS value, chunk_no FROM w
         UNION ALL SELECT DISTINCT document_id, 'section', section_type, chunk_no FROM w JOIN (SELECT doc_id AS document_id, section_type, byte_start AS b, byte_start + strlen(t) AS f FROM c) USING (document_id) WHERE b < e AND f > s""",
 }

@@ -30,11 +30,18 @@ def manifest(files: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def processed_documents(spark: SparkSession, manifest_path: str, documents_path: str) -> DataFrame:
-    """Documents named by the manifest; lines without a document go."""
+    """Documents named by the manifest; unprocessed_lines() has the lines without a document."""
     lines = spark.read.json(manifest_path)
     return spark.read.parquet(documents_path).join(lines.select(F.col("file_hash").alias("document_id")).distinct(), "document_id", "left_semi")
 
 
+def unprocessed_lines(spark: SparkSession, manifest_path: str, documents_path: str) -> DataFrame:
+    """(document_id, warning): a row a manifest line whose document isn't there."""
+    lines = spark.read.json(manifest_path).select(F.col("file_hash").alias("document_id"))
+    left = lines.join(spark.read.parquet(documents_path), "document_id", "left_anti")
+    return left.withColumn("warning", F.concat(F.lit("no processed document for "), F.coalesce("document_id", F.lit("a line without a hash"))))
+
+
 def qa_dataset(spark: SparkSession, path: str) -> DataFrame:
     """QA pairs from .jsonl (a row a line) or .json (an array); another suffix is an error."""
     if path.endswith(".jsonl"):
