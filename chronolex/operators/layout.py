@@ -81,3 +81,16 @@ def structure(classified_elements: DataFrame) -> DataFrame:
         count("tables", "table_header", "table_cell"),
         count("paragraphs", "paragraph"),
     )
+
+
+def structure_lists(classified_elements: DataFrame) -> DataFrame:
+    """Per page the first title in reading order, and the headings, sections, tables and paragraphs with text, place and box, each in that order."""
+    item = lambda *more: F.struct(F.col("reading_order").alias("position"), "text", F.struct("x1", "y1", "x2", "y2").alias("bbox"), *more)
+    held = lambda name, kinds, *more: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), item(*more)))).alias(name)
+    return reading_order(classified_elements).groupBy("page").agg(
+        F.min_by("text", F.when(F.col("kind") == "title", F.col("reading_order"))).alias("title"),
+        held("headings", ["heading"]),
+        held("sections", ["numbered_item"]),
+        held("tables", ["table_header", "table_cell"], F.col("kind").alias("type")),
+        held("paragraphs", ["paragraph"]),
+    )

@@ -58,13 +58,32 @@ def paragraphs(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
 
 
 def detected(detections: DataFrame, trust: float = 0.7) -> DataFrame:
-    """detections (document_id, page_num, pos, text, confidence) at or above the trust, with running byte offsets and the page's mean confidence."""
+    """detections (document_id, page_num, pos, text, confidence) at or above the trust, with a coarse type, running byte offsets and the page's mean confidence."""
     kept = detections.filter((F.col("confidence") >= trust) & (F.trim("text") != ""))
     order = Window.partitionBy("document_id", "page_num").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("byte_start", F.coalesce(F.sum(F.octet_length("text") + 1).over(order), F.lit(0)))
+    kept = kept.withColumn("byte_start", F.coalesce(F.sum(F.octet_length("text") + 1).over(order), F.lit(0)).cast("long"))
+    kept = kept.withColumn("coarse_type", coarse_class(F.trim("text")))
     return kept.withColumn("trust_score", F.avg("confidence").over(Window.partitionBy("document_id", "page_num")))
 
 
+def page_sections(pages: DataFrame, found: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """Typed sections of pages: those found (document_id, page_num, pos, text, byte_start, confidence) where a page has any, else its raw text cut.
+
+    A found section keeps its own offset (0 without one) and confidence (the page's trust without one); blank ones go, and a page of
+    blank ones only has none. Offsets are within the page; `pos` numbers a document's sections by page, then place."""
+    at = ["document_id", "page_num"]
+    own = found.join(pages.select(*at, F.coalesce("trust_score", F.lit(1.0)).alias("_trust")).distinct(), at)
+    own = own.select(*at, F.col("pos").cast("long").alias("n"), F.trim("text").alias("text"), F.coalesce(F.col("byte_start").cast("long"), F.lit(0)).alias("byte_start"), F.coalesce("confidence", "_trust").alias("confidence")).filter("text <> ''")
+    rest = pages.join(found.select(*at).distinct(), at, "left_anti").select(*at, F.coalesce("trust_score", F.lit(1.0)).alias("confidence"), F.posexplode(F.split("raw_text", separator)).alias("n", "raw"))
+    rest = rest.withColumn("text", F.trim("raw")).filter("text <> ''").withColumn("_b", F.floor(F.col("n") / scans.SPLIT))
+    size = F.octet_length("text") + len(separator.encode())  # blank paragraphs take no room here
+    rest = scans.scan(rest, at, ["_b"], ["n"], {"byte_start": ("sum", size.cast("long"))}, inclusive=False)
+    both = own.unionByName(rest.select(*at, F.col("n").cast("long").alias("n"), "text", F.col("byte_start").cast("long").alias("byte_start"), "confidence")).withColumn("c", section_class(F.col("text")))
+    both = scans.scan(both.withColumn("_b", F.floor(F.col("n") / scans.SPLIT)), ["document_id"], ["page_num", "_b"], ["n"], {"pos": ("sum", F.lit(1))})
+    rows = both.select("document_id", F.col("pos").cast("int").alias("pos"), "text", "c.section_type", "c.level", "byte_start", (F.col("byte_start") + F.octet_length("text")).alias("byte_end"), "page_num", "confidence")
+    return with_parents(rows.withColumn("language", detect_language(F.col("text"))))
+
+
 def sections(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Typed sections with language and parent: the first 50 characters of the last level-0 section before."""
     rows = paragraphs(pages, separator).withColumn("c", section_class(F.col("text")))
@@ -136,6 +155,14 @@ def sliding_windows(texts: DataFrame, size: int = 512, overlap: int = 64) -> Dat
     return rows.select("document_id", "window", "text", F.col("byte_start").cast("long").alias("byte_start"), (F.col("byte_start") + F.octet_length("text")).cast("long").alias("byte_end"))
 
 
+def document_chunks(rows: DataFrame, texts: DataFrame, chunk_size: int = 512, overlap: int = 64) -> DataFrame:
+    """Hierarchical chunks of sections (kind 0) and sliding windows of whole texts (kind 1), the first of each text of a document: document_id, kind, chunk_no, text, byte_start, byte_end."""
+    columns = ("document_id", "kind", "chunk_no", "text", "byte_start", "byte_end")
+    runs = chunk_rows(hierarchical_chunks(rows, chunk_size), rows).withColumn("kind", F.lit(0))
+    windows = sliding_windows(texts, chunk_size, overlap).withColumn("kind", F.lit(1)).withColumnRenamed("window", "chunk_no")
+    return without_copies(runs.select(*columns).unionByName(windows.select(*columns)))
+
+
 def without_copies(chunks: DataFrame) -> DataFrame:
     """The first chunk of each text of a document, hierarchical (kind 0) before sliding (kind 1)."""
     first = Window.partitionBy("document_id", F.sha2("text", 256)).orderBy("kind", "chunk_no")

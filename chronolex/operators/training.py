@@ -26,17 +26,19 @@ def hard_negatives(hits: DataFrame, positives: DataFrame, most: int = 10) -> Dat
     return left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("query_id", "chunk_id", "n")
 
 
-def retrieval_metrics(hits: DataFrame, positives: DataFrame, recall_at: tuple[int, ...] = (10, 100), map_at: int = 10) -> DataFrame:
-    """(query_id, recall_at_k.., map): hits (query_id, chunk_id, rank), positives (query_id, chunk_id)."""
+def retrieval_metrics(hits: DataFrame, positives: DataFrame, recall_at: tuple[int, ...] = (10, 100), map_at: int = 10, ndcg_at: int = 10) -> DataFrame:
+    """(query_id, recall_at_k.., map, ndcg): hits (query_id, chunk_id, rank), positives (query_id, chunk_id); the ideal list has all positives first."""
     total = positives.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     found = hits.join(positives, ["query_id", "chunk_id"])
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     found = found.withColumn("precision", nth / F.col("rank"))
     recalls = [F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in recall_at]
     ap = F.sum(F.when(F.col("rank") <= map_at, F.col("precision")).otherwise(0.0)).alias("ap")
-    joined = total.join(found.groupBy("query_id").agg(*recalls, ap), "query_id", "left").fillna(0)
+    dcg = F.sum(F.when(F.col("rank") <= ndcg_at, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")
+    joined = total.join(found.groupBy("query_id").agg(*recalls, ap, dcg), "query_id", "left").fillna(0)
     out = [(F.col(f"hit_{k}") / F.col("total")).alias(f"recall_at_{k}") for k in recall_at]
-    return joined.select("query_id", *out, (F.col("ap") / F.least("total", F.lit(map_at))).alias("map"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("total", F.lit(ndcg_at)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return joined.select("query_id", *out, (F.col("ap") / F.least("total", F.lit(map_at))).alias("map"), (F.col("dcg") / ideal).alias("ndcg"))
 
 
 def nli_pairs(raw: DataFrame) -> DataFrame:

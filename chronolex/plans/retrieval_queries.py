@@ -17,6 +17,7 @@ from chronolex.operators import index as ix
 from chronolex.operators import layout as ly
 from chronolex.operators import metrics as mt
 from chronolex.operators import retrieve as rt
+from chronolex.operators import temporal as tm
 from chronolex.operators import training as tr
 from chronolex.plans.inputs import AS_OF, EARLIER, INTERVALS, LEGAL, SPANS, intervals, legal, sql, table, temporal
 from chronolex.plans.temporal_queries import _kept
@@ -257,10 +258,10 @@ def _metrics(s, d):
 
     spans = intervals(s, d).select("document_id", "start", "end", "page_num")
     parts = [
-        _labelled(s, d).agg(mt.faithfulness().alias("faithfulness"), mt.contradiction_rate().alias("contradiction_rate")),
+        _labelled(s, d).agg(mt.faithfulness().alias("faithfulness"), mt.contradiction_rate().alias("contradiction_rate"), *[mt.label_share(x).alias(f"{x}_ratio") for x in ("supported", "uncertain")]),
         _ndcg(s, d).agg(F.avg("ndcg").alias("ndcg")),
-        mt.span_f1(spans.filter("page_num < 4"), spans.filter("page_num > 1"), ["document_id", "start", "end"]).select(F.col("f1").alias("span_f1")),
-        mt.latency(table(s, d, "events").withColumn("all", F.lit(1)), "value", ["all"]).select(F.col("p95").alias("p95_latency")),
+        mt.span_f1(spans.filter("page_num < 4"), spans.filter("page_num > 1"), ["document_id", "start", "end"]).select(F.col("f1").alias("span_f1"), F.col("precision").alias("span_precision"), F.col("recall").alias("span_recall")),
+        mt.latency(table(s, d, "events").withColumn("all", F.lit(1)), "value", ["all"]).select(F.col("p95").alias("p95_latency"), F.col("mean").alias("latency_mean")),
         temporal(s, d).agg(mt.temporal_accuracy(in_interval(F.lit(AS_OF).cast("timestamp_ntz"))).alias("temporal_accuracy")),
         _robustness(s, d),
         mt.ece(_labelled(s, d)),
@@ -326,7 +327,7 @@ def _ir_metrics(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
     positives = label.join(_own_labels(s, d), F.col("label") == F.col("own")).filter("query_id * 20 <> chunk_id").select("query_id", "chunk_id")
     out = tr.retrieval_metrics(_dense(s, d, DEPTH), positives)
-    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall_at_10", "recall_at_100", "map")])
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall_at_10", "recall_at_100", "map", "ndcg")])
 
 
 def _train_pairs(s, d):
@@ -363,6 +364,49 @@ def _iou(s, d):
     return pairs.select("a_elem_id", "b_elem_id", F.round(ly.iou(), 6).alias("iou"))
 
 
+_METRIC_NAMES = ("faithfulness", "contradiction_rate", "ndcg", "span_f1", "p95_latency", "temporal_accuracy", "robustness_drop", "ece", "span_precision", "span_recall", "latency_mean", "supported_ratio", "uncertain_ratio")
+
+
+def _layout_elements(s, d):
+    """The lists of the structure roll-up, a row an element."""
+    lists = ly.structure_lists(ly.classified(_boxes(s, d)))
+    each = None
+    for name in ("headings", "sections", "tables", "paragraphs"):
+        rows = lists.select("page", F.lit(name).alias("group"), F.explode(name).alias("e")).select("page", "group", F.col("e.position").cast("long").alias("position"), "e.text", "e.bbox.x1", "e.bbox.y2")
+        each = rows if each is None else each.unionByName(rows)
+    return each
+
+
+def _nli_labels(s, d):
+    """Scores made of line items, as an entailment model would give them."""
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity") / 10, F.col("l_discount") * 30, F.col("l_tax") * 40).cast("array<double>").alias("x"))
+    rows = rows.withColumn("v", cl.label_of_scores(F.col("x")))
+    return rows.select("l_orderkey", "l_linenumber", "v.label", F.round("v.confidence", 6).alias("confidence"))
+
+
+def _claim_report(s, d):
+    return cl.report(_results(s, d).withColumn("confidence", F.round("confidence", 6)), _evidence(s, d))
+
+
+def _provenance(s, d):
+    hits = _notice_chunks(s, d).select(F.lit(1).alias("query_id"), "chunk_id", (F.length("text") / 100).alias("score"), "spans")
+    return rt.provenance(hits).select("chunk_id", "document_id", "byte_start", "byte_end", "section_type", F.round("score", 6).alias("score"))
+
+
+def _filtered_notices(s, d):
+    """Fused hits of the questions on notices: English paragraphs that hold at the date."""
+    hits = en.retrieve(_qa(s, d).select("query_id", F.col("question").alias("text")), _notice_chunks(s, d), EngineConfig())
+    dated = tm.with_temporal_metadata(staged(hits, "hits"))
+    return rt.filtered(dated, 0.2, ["en"], ["paragraph", "heading"], tm.hit_valid(F.lit(AS_OF).cast("timestamp_ntz"))).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
+def _bbox(s, d):
+    """The box of each line item's box as a polygon of four points."""
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = _boxes(s, d).select("elem_id", ly.bbox(F.array(point("x2", "y1"), point("x1", "y1"), point("x1", "y2"), point("x2", "y2"))).alias("b"))
+    return rows.select("elem_id", "b.*")
+
+
 QUERIES = {
     "bm25_topk": lambda s, d: _bm25(s, d).drop("rank"),
     "tfidf_topk": lambda s, d: _sparse(s, d).drop("rank"),
@@ -394,7 +438,7 @@ QUERIES = {
     "latency_stats": _latency,
     "temporal_accuracy": _temporal_accuracy,
     "ece": lambda s, d: mt.ece(_labelled(s, d)).select(F.round("ece", 6).alias("ece")),
-    "evaluation": lambda s, d: _metrics(s, d).select(*[F.round(c, 4).alias(c) for c in ("faithfulness", "contradiction_rate", "ndcg", "span_f1", "p95_latency", "temporal_accuracy", "robustness_drop", "ece")]),
+    "evaluation": lambda s, d: _metrics(s, d).select(*[F.round(c, 4).alias(c) for c in _METRIC_NAMES]),
     "targets": _targets,
     "ablations": lambda s, d: _ablations(s, d).withColumn("value", F.round("value", 4)),
     "ablation_importance": _importance,
@@ -414,6 +458,12 @@ QUERIES = {
     "layout_kinds": lambda s, d: ly.classified(_boxes(s, d)).select("elem_id", "kind"),
     "reading_order": lambda s, d: ly.reading_order(_boxes(s, d)).select("elem_id", F.col("reading_order").cast("long").alias("reading_order")),
     "layout_columns": lambda s, d: ly.columns(_boxes(s, d)),
+    "bbox": _bbox,
+    "layout_elements": _layout_elements,
+    "nli_labels": _nli_labels,
+    "claim_report": _claim_report,
+    "provenance": _provenance,
+    "filter_sections_asof": _filtered_notices,
     "layout_structure": lambda s, d: ly.structure(ly.classified(_boxes(s, d))),
 }
 
@@ -495,7 +545,6 @@ _GROUPS = f"""{_FOLDED}, g AS (SELECT document_id, number, span_id, 0 AS grp, [w
       FROM g JOIN s ON s.document_id = g.document_id AND s.number = g.number + 1))"""
 _JOINED = "list_reduce({l}, lambda a, x: CASE WHEN regexp_matches(a, '[.!?,;]$') THEN a || ' ' || x ELSE a || '. ' || x END)"
 
-_METRIC_NAMES = ("faithfulness", "contradiction_rate", "ndcg", "span_f1", "p95_latency", "temporal_accuracy", "robustness_drop", "ece")
 _MIXED = r"""array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN CASE lower(x) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.CODE_MIX.items()) + " ELSE x END ELSE x END), ' ')"
 
 
@@ -509,7 +558,8 @@ _METRICS = f"""WITH {_rel(K)}, lb AS ({_LABELLED}), iv AS ({INTERVALS}), sp AS (
   pp AS (SELECT DISTINCT document_id, start, "end" FROM iv WHERE page_num < 4), tt AS (SELECT DISTINCT document_id, start, "end" FROM iv WHERE page_num > 1),
   lt AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events),
   eb AS (SELECT floor(confidence * 10) AS bin, count(*) AS n, avg(confidence) AS c, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS a FROM lb WHERE confidence < 1 GROUP BY 1), f AS (SELECT {_words(f"'{_FORCE}'")} AS w),
-  m AS (SELECT (SELECT least(1, greatest(0, 0.7 * avg(CASE WHEN label = 'supported' THEN 1.0 ELSE 0.0 END) + 0.3 * avg(CASE WHEN label = 'supported' THEN confidence ELSE 0.0 END))) FROM lb) AS faithfulness, (SELECT avg(CASE WHEN label = 'refuted' THEN 1.0 ELSE 0.0 END) FROM lb) AS contradiction_rate,
+  m AS (SELECT (SELECT least(1, greatest(0, 0.7 * avg(CASE WHEN label = 'supported' THEN 1.0 ELSE 0.0 END) + 0.3 * avg(CASE WHEN label = 'supported' THEN confidence ELSE 0.0 END))) FROM lb) AS faithfulness, (SELECT avg(CASE WHEN label = 'refuted' THEN 1.0 ELSE 0.0 END) FROM lb) AS contradiction_rate, (SELECT avg((label = 'supported')::INT) FROM lb) AS supported_ratio, (SELECT avg((label = 'uncertain')::INT) FROM lb) AS uncertain_ratio,
+    (SELECT count(*) FROM pp JOIN tt USING (document_id, start, "end")) / (SELECT count(*) FROM pp) AS span_precision, (SELECT count(*) FROM pp JOIN tt USING (document_id, start, "end")) / (SELECT count(*) FROM tt) AS span_recall, (SELECT avg(value) FROM events) AS latency_mean,
     (SELECT avg(ndcg) FROM nd) AS ndcg, (SELECT 2 * (SELECT count(*) FROM pp JOIN tt USING (document_id, start, "end")) / ((SELECT count(*) FROM pp) + (SELECT count(*) FROM tt))) AS span_f1,
     (SELECT min(value) FILTER (i >= greatest(1, floor(n * 0.95))) FROM lt) AS p95_latency,
     (SELECT avg(CASE WHEN (effective_date IS NULL OR TIMESTAMP '{AS_OF}' >= effective_date) AND (expiry_date IS NULL OR TIMESTAMP '{AS_OF}' <= expiry_date) AND (repeal_date IS NULL OR TIMESTAMP '{AS_OF}' <= repeal_date) THEN 1.0 ELSE 0.0 END) FROM sp) AS temporal_accuracy,
@@ -578,7 +628,7 @@ ORACLE = {
     "hard_negatives": f"WITH {_rel(DEPTH)} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM rk WHERE rel = 0 QUALIFY n <= 10",
     "retrieval_metrics": f"""WITH {_rel(DEPTH)}, t AS (SELECT a.vec_id // 20 AS query_id, count(*) AS total FROM ev a JOIN ev b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rk),
         h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) / rank AS p FROM r WHERE rel = 1 AND query_id * 20 <> chunk_id)
-        SELECT query_id, round(count(p) FILTER (rank <= 10) / total, 6) AS recall_at_10, round(count(p) / total, 6) AS recall_at_100, round(coalesce(sum(p) FILTER (rank <= 10), 0) / least(total, 10), 6) AS map FROM t LEFT JOIN h USING (query_id) GROUP BY query_id, total""",
+        SELECT query_id, round(count(p) FILTER (rank <= 10) / total, 6) AS recall_at_10, round(count(p) / total, 6) AS recall_at_100, round(coalesce(sum(p) FILTER (rank <= 10), 0) / least(total, 10), 6) AS map, round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(total, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM t LEFT JOIN h USING (query_id) GROUP BY query_id, total""",
     "train_pairs": """WITH q AS (SELECT o_custkey AS question, o_orderkey % 1200 AS chunk_id, 1.0 AS label FROM orders UNION ALL SELECT o_custkey, unnest([1, 2, o_orderkey % 1300, 4, 5]), 0.0 FROM orders)
         SELECT question, chunk_id, label::DOUBLE AS label, count(*) AS n FROM q JOIN documents ON doc_id = chunk_id GROUP BY ALL""",
     "nli_triples": f"""WITH {_SENT}, f AS (SELECT answer_id, sentence_index, claim, lower(claim) AS low FROM cl QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY sentence_index) <= 3)
@@ -597,6 +647,13 @@ ORACLE = {
         FROM bx a JOIN bx b ON a.page = b.page AND a.elem_id < b.elem_id) SELECT a_elem_id, b_elem_id, round(i / (t - i), 6) AS iou FROM p""",
     "layout_kinds": f"WITH {_KIND} SELECT elem_id, kind FROM kd",
     "reading_order": f"WITH {_KIND} SELECT elem_id, row_number() OVER (PARTITION BY page ORDER BY {_CENTRE}) - 1 AS reading_order FROM kd",
+    "bbox": f"SELECT elem_id, x1, y1, x2, y2 FROM ({_BOXES.replace('TABLE', 'lineitem')})",
+    "layout_elements": f"""WITH {_KIND}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {_CENTRE}) - 1 AS position FROM kd)
+        SELECT page, CASE kind WHEN 'heading' THEN 'headings' WHEN 'numbered_item' THEN 'sections' WHEN 'paragraph' THEN 'paragraphs' ELSE 'tables' END AS "group", position, text, x1, y2 FROM o WHERE kind IN ('heading', 'numbered_item', 'table_header', 'table_cell', 'paragraph')""",
+    "nli_labels": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS a, l_discount * 30 AS b, l_tax * 40 AS c FROM lineitem)
+        SELECT l_orderkey, l_linenumber, CASE WHEN a >= b AND a >= c THEN 'supported' WHEN b >= c THEN 'uncertain' ELSE 'refuted' END AS label, round(exp(greatest(a, b, c)) / (exp(a) + exp(b) + exp(c)), 6) AS confidence FROM x""",
+    "claim_report": f"WITH {_RESULTS} SELECT rs.answer_id, claim, CASE WHEN length(evd.text) > 200 THEN left(evd.text, 200) || '...' ELSE evd.text END AS evidence, label, round(confidence, 6) AS confidence FROM rs LEFT JOIN evd USING (answer_id, evidence_id)",
+    "provenance": f"SELECT doc_id || '_0' AS chunk_id, doc_id::VARCHAR AS document_id, 0 AS byte_start, strlen(text)::INT AS byte_end, 'paragraph' AS section_type, round(length(text) / 100, 6) AS score FROM ({LEGAL})",
     "layout_structure": f"""WITH {_KIND}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {_CENTRE}) AS r FROM kd)
         SELECT page, arg_min(text, r) FILTER (kind = 'title') AS title, count_if(kind = 'heading')::BIGINT AS headings, count_if(kind = 'numbered_item')::BIGINT AS sections, count_if(kind IN ('table_header', 'table_cell'))::BIGINT AS tables, count_if(kind = 'paragraph')::BIGINT AS paragraphs FROM o GROUP BY 1""",
 }

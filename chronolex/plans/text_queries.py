@@ -72,6 +72,32 @@ def _context(s, d):
     return out.select("document_id", "chunk_no", *[F.col(c).cast("long").alias(c) for c in ("start_place", "end_place", "n_preceding", "n_following")])
 
 
+def _detections(s, d):
+    """Lines of documents as detections, forty to a page; a line is as sure as its length says, and every third page has none that is."""
+    lines = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    page = F.floor(F.col("pos") / 40).cast("int") + 1
+    sure = F.when((F.col("document_id") + page) % 3 > 0, 0.5 + F.length("text") % 6 / 10.0).otherwise(0.1)
+    return lines.withColumn("page_num", page).withColumn("confidence", sure)
+
+
+def _detected(s, d):
+    rows = sg.detected(_detections(s, d))
+    return rows.select("document_id", "page_num", "pos", "byte_start", "coarse_type", F.round("trust_score", 6).alias("trust_score"))
+
+
+def _page_sections(s, d):
+    lines = _detections(s, d)
+    pages = lines.groupBy("document_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("raw_text"), F.lit(0.5).alias("trust_score"))
+    found = sg.detected(lines).select("document_id", "page_num", "pos", "text", "byte_start", F.when(F.col("pos") % 2 == 0, F.col("confidence")).alias("confidence"))
+    out = sg.page_sections(pages, found, "\n")
+    return out.select("document_id", "pos", "page_num", "section_type", "level", "byte_start", "byte_end", F.round("confidence", 6).alias("confidence"))
+
+
+def _chunk_union(s, d):
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return sg.document_chunks(_leveled(s, d), texts).select("document_id", "kind", "chunk_no", "byte_start", "byte_end", F.sha2("text", 256).alias("digest"))
+
+
 def _text_diff(s, d):
     """Each document against the one with the next id, by lines: sizes from the difference, and whether it gives both texts back."""
     docs = table(s, d, "documents").select("doc_id", "text")
@@ -123,6 +149,9 @@ QUERIES = {
     "chunk_dedup": _dedup,
     "chunk_context": _context,
     "text_diff": _text_diff,
+    "detected_lines": _detected,
+    "page_sections": _page_sections,
+    "chunk_union": _chunk_union,
     "chunk_groups": lambda s, d: sg.chunk_groups(_windows(s, d)),
 }
 
@@ -140,6 +169,10 @@ _TYPED = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, g
             WHEN regexp_matches(t, '^\([a-z]\)') THEN 'clause' WHEN starts_with(t, 'Note:') OR starts_with(t, 'NOTE:') THEN 'note' ELSE 'paragraph' END AS section_type FROM o WHERE t <> '')"""
 _WINDOWED = "d AS (SELECT doc_id AS document_id, strlen(text) AS n, unnest(range(0, strlen(text), 448)) AS s FROM documents), w AS (SELECT document_id, (s // 448)::INT AS chunk_no, s, least(s + 512, n) AS e FROM d)"
 
+_FOUND = """WITH l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS pos FROM documents),
+    e AS (SELECT *, (pos // 40)::INT + 1 AS page_num, CASE WHEN (document_id + pos // 40 + 1) % 3 > 0 THEN 0.5::DOUBLE + (length(text) % 6) / 10.0::DOUBLE ELSE 0.1::DOUBLE END AS sure FROM l),
+    f AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY document_id, page_num ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_start FROM e WHERE sure >= 0.7 AND trim(text) <> '')"""
+
 ORACLE = {
     "merge_fragments": rf"""SELECT doc_id, list_reduce(list_transform(string_split(replace(text, ' ', '-| '), '|'), lambda x: trim(x)),
         lambda a, x: CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || '|' || x END) AS merged FROM ({LEGAL})""",
@@ -194,6 +227,14 @@ ORACLE = {
         SELECT document_id, min(chunk_no)::BIGINT AS chunk_no, length(text)::INT AS n FROM l GROUP BY document_id, text""",
     "chunk_context": f"""WITH {_WINDOWED} SELECT document_id, chunk_no, row_number() OVER (PARTITION BY document_id ORDER BY s, chunk_no) AS start_place, row_number() OVER (PARTITION BY document_id ORDER BY e, chunk_no) AS end_place,
         (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.e <= a.s) AS n_preceding, (SELECT count(*) FROM w b WHERE b.document_id = a.document_id AND b.s >= a.e) AS n_following FROM w a""",
+    "detected_lines": rf"""{_FOUND} SELECT document_id, page_num, pos, byte_start, CASE WHEN regexp_matches(trim(text), '^[0-9]+\.') THEN 'numbered_section' WHEN upper(trim(text)) = trim(text) AND regexp_matches(trim(text), '\p{{Lu}}') AND length(trim(text)) < 100 THEN 'heading'
+        WHEN regexp_matches(trim(text), '^[A-Z][^.!?]*[.!?]') THEN 'paragraph' ELSE 'text' END AS coarse_type, round(avg(sure) OVER (PARTITION BY document_id, page_num), 6) AS trust_score FROM f""",
+    "page_sections": rf"""{_FOUND}, r AS (SELECT document_id, page_num, pos, trim(text) AS t, byte_start, CASE WHEN pos % 2 = 0 THEN sure ELSE 0.5 END AS confidence FROM f
+          UNION ALL SELECT document_id, page_num, pos - 40 * (page_num - 1), trim(text), coalesce(sum(strlen(trim(text)) + 1) OVER (PARTITION BY document_id, page_num ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, 0.5 FROM e WHERE trim(text) <> '' AND (document_id, page_num) NOT IN (SELECT (document_id, page_num) FROM f)),
+        c AS (SELECT *, CASE {_SECTION_CASES} WHEN length(t) < 200 AND upper(t) = t AND regexp_matches(t, '\p{{Lu}}') THEN 'heading' WHEN regexp_matches(t, '^[0-9]+\.') THEN 'numbered_section'
+            WHEN regexp_matches(t, '^\([a-z]\)') THEN 'clause' WHEN starts_with(t, 'Note:') OR starts_with(t, 'NOTE:') THEN 'note' ELSE 'paragraph' END AS section_type FROM r)
+        SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_num, pos)::INT AS pos, page_num, section_type, CASE section_type {_LEVEL_CASES} WHEN 'heading' THEN 0 WHEN 'numbered_section' THEN 1 WHEN 'note' THEN 2 ELSE 3 END AS level,
+        byte_start, byte_start + strlen(t) AS byte_end, round(confidence, 6) AS confidence FROM c""",
     "text_diff": "SELECT a.doc_id, len(string_split(a.text, chr(10))) AS n_old, len(string_split(b.text, chr(10))) AS n_new, TRUE AS old_back, TRUE AS new_back FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "chunk_groups": rf"""WITH {_WINDOWED}, {_TYPED} SELECT document_id, 'page' AS relation, unnest(range(s // 4096, (e - 1) // 4096 + 1))::VARCHAR AS value, chunk_no FROM w
         UNION ALL SELECT DISTINCT document_id, 'section', section_type, chunk_no FROM w JOIN (SELECT doc_id AS document_id, section_type, byte_start AS b, byte_start + strlen(t) AS f FROM c) USING (document_id) WHERE b < e AND f > s""",
