@@ -19,6 +19,7 @@ from chronolex.operators import metrics as mt
 from chronolex.operators import retrieve as rt
 from chronolex.operators import temporal as tm
 from chronolex.operators import training as tr
+from chronolex.plans import fixed as fx
 from chronolex.plans.inputs import AS_OF, EARLIER, INTERVALS, LEGAL, SPANS, intervals, legal, sql, table, temporal
 from chronolex.plans.temporal_queries import _kept
 from chronolex.operators.temporal import active_spans
@@ -468,7 +469,7 @@ QUERIES = {
 }
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
-_STOP = ", ".join(f"'{w}'" for w in ix.STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
 _BM25_AT = f"""docs AS (SELECT doc_id AS chunk_id, {_TOKENS} AS l FROM documents), size AS (SELECT count(*) AS n, avg(len(l)) AS avgdl FROM docs),
   occ AS (SELECT chunk_id, len(l) AS dl, unnest(l) AS term FROM docs), tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM occ GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
@@ -500,8 +501,8 @@ _FUSE = f"""{_DENSE}, {_TFIDF}, {_BM25}, un AS (SELECT query_id, chunk_id, score
 _SENT = rf"""st AS (SELECT doc_id AS answer_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM ({LEGAL})),
   se AS (SELECT answer_id, text, (generate_subscripts(l, 1) - 1)::INT AS sentence_index, unnest(l) AS claim FROM st),
   cl AS (SELECT answer_id, sentence_index, claim, (instr(text, claim) - 1)::INT AS start, (instr(text, claim) - 1 + length(claim))::INT AS end_,
-    CASE {" ".join(f"WHEN regexp_matches(lower(claim), '{p}') THEN '{k}'" for k, p in cl.CLAIM_TYPES)} ELSE 'descriptive' END AS claim_type FROM se
-    WHERE len(list_filter(regexp_split_to_array(claim, '\s+'), lambda x: x <> '')) >= 5 AND regexp_matches(lower(claim), '{cl.FACTUAL}'))"""
+    CASE {" ".join(f"WHEN regexp_matches(lower(claim), '{p}') THEN '{k}'" for k, p in fx.CLAIM_TYPES)} ELSE 'descriptive' END AS claim_type FROM se
+    WHERE len(list_filter(regexp_split_to_array(claim, '\s+'), lambda x: x <> '')) >= 5 AND regexp_matches(lower(claim), '{fx.FACTUAL}'))"""
 
 
 def _words(c: str) -> str:

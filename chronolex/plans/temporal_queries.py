@@ -8,6 +8,7 @@ from chronolex.operators import conflicts as cf
 from chronolex.operators import spans as sp
 from chronolex.operators import supersession as su
 from chronolex.operators import temporal as tp
+from chronolex.plans import fixed as fx
 from chronolex.plans.inputs import AS_OF, EARLIER, INTERVALS, LEGAL, SPANS, intervals, legal, temporal
 from chronolex.staging import staged
 
@@ -144,7 +145,6 @@ def _kept(day: str) -> str:
 
 
 _WITH = f"WITH s AS ({SPANS})"
-_NAMES = r"\s+([A-Z0-9\s,./()-]+?)(?:\s+dated|\s+of|\.|$)"
 
 
 def _first(patterns) -> str:
@@ -181,11 +181,11 @@ def _key(x: str) -> str:
     return rf"trim(regexp_replace({plain}, '\s+', ' ', 'g'))"
 
 
-_DATES = f"{_first(tp.EFFECTIVE).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS effective_date, {_first(tp.EXPIRY).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS expiry_date, {_cases(tp.STATUS, 'active')} AS status"
+_DATES = f"{_first(fx.EFFECTIVE).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS effective_date, {_first(fx.EXPIRY).replace('strftime(', '(', 1).rsplit(',', 1)[0]}) AS expiry_date, {_cases(fx.STATUS, 'active')} AS status"
 _NOTICES = rf"""WITH l AS ({LEGAL}), t0 AS (SELECT doc_id AS document_id, regexp_extract(text, {_TITLED}, 1) AS kind, regexp_extract(text, {_TITLED}, 2) AS number FROM l),
     t AS (SELECT document_id, {_key("kind || ' ' || number")} AS key FROM t0 WHERE kind <> ''),
-    n0 AS (SELECT doc_id, unnest(list_transform(flatten(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in tp.SUPERSEDES)}), lambda m: string_split(m, ','))), lambda x: trim(x))) AS name, TRUE AS newer FROM l
-      UNION ALL SELECT doc_id, coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in tp.SUPERSEDED_BY)}), FALSE FROM l),
+    n0 AS (SELECT doc_id, unnest(list_transform(flatten(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in fx.SUPERSEDES)}), lambda m: string_split(m, ','))), lambda x: trim(x))) AS name, TRUE AS newer FROM l
+      UNION ALL SELECT doc_id, coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in fx.SUPERSEDED_BY)}), FALSE FROM l),
     n AS (SELECT DISTINCT doc_id, newer, {_key("name")} AS key FROM n0 WHERE name IS NOT NULL),
     e AS (SELECT DISTINCT doc_id // 64 AS query_id, CASE WHEN newer THEN doc_id ELSE document_id END AS superseding, CASE WHEN newer THEN document_id ELSE doc_id END AS superseded
       FROM n JOIN t USING (key) WHERE document_id <> doc_id AND document_id // 64 = doc_id // 64 AND regexp_matches(key, '[0-9]| '))"""
@@ -207,12 +207,12 @@ def _islands(test: str) -> str:
 
 
 ORACLE = {
-    "temporal_meta": rf"""SELECT doc_id, {_first(tp.EFFECTIVE)} AS effective_date, {_first(tp.EXPIRY)} AS expiry_date, {_first(tp.PUBLICATION)} AS publication_date,
-        coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in tp.SUPERSEDED_BY)}) AS superseded_by,
-        nullif(array_to_string(list_transform(flatten(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in tp.SUPERSEDES)}), lambda m: string_split(m, ','))), lambda x: trim(x)), '|'), '') AS supersedes,
-        {_cases(tp.STATUS, "active")} AS status FROM ({LEGAL})""",
-    "doc_type": f"""WITH t AS (SELECT doc_id, {_cases(tp.DOCUMENT_TYPES, "guideline")} AS document_type FROM ({LEGAL}))
-        SELECT doc_id, document_type, CASE document_type {" ".join(f"WHEN '{k}' THEN {w}" for k, w in tp.WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS weight FROM t""",
+    "temporal_meta": rf"""SELECT doc_id, {_first(fx.EFFECTIVE)} AS effective_date, {_first(fx.EXPIRY)} AS expiry_date, {_first(fx.PUBLICATION)} AS publication_date,
+        coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1)), '')" for p in fx.SUPERSEDED_BY)}) AS superseded_by,
+        nullif(array_to_string(list_transform(flatten(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in fx.SUPERSEDES)}), lambda m: string_split(m, ','))), lambda x: trim(x)), '|'), '') AS supersedes,
+        {_cases(fx.STATUS, "active")} AS status FROM ({LEGAL})""",
+    "doc_type": f"""WITH t AS (SELECT doc_id, {_cases(fx.DOCUMENT_TYPES, "guideline")} AS document_type FROM ({LEGAL}))
+        SELECT doc_id, document_type, CASE document_type {" ".join(f"WHEN '{k}' THEN {w}" for k, w in fx.WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS weight FROM t""",
     "hit_valid": f"""{_WITH} SELECT span_id, (effective_date IS NULL OR {_OF} >= effective_date) AND (expiry_date IS NULL OR {_OF} <= expiry_date) AND status NOT IN ('repealed', 'suspended') AS valid FROM s""",
     "asof_simple": f"{_WITH} SELECT query_id, span_id FROM s WHERE {_IN.format(d=_OF)} AND status = 'active'",
     "asof_split": f"{_WITH}, k AS ({_kept(_OF)}) SELECT query_id, span_id, span_id IN (SELECT span_id FROM k) AS valid FROM s",
@@ -241,14 +241,14 @@ ORACLE = {
     "answer_diff": f"{_WITH}, {_DIFF} SELECT query_id, text, change, weight FROM d WHERE change IS NOT NULL",
     "change_score": f"""{_WITH}, {_DIFF} SELECT query_id, round(sum(CASE WHEN change = 'modified' THEN weight / 2 ELSE weight END), 6) AS change_score, count_if(change = 'added')::BIGINT AS added, count_if(change = 'removed')::BIGINT AS removed,
         count_if(change = 'modified')::BIGINT AS modified FROM d WHERE change IS NOT NULL GROUP BY 1""",
-    "diff_view": rf"""{_NOTICES}, s AS (SELECT doc_id // 64 AS query_id, doc_id AS span_id, text, {_DATES}, {_cases(tp.DOCUMENT_TYPES, "guideline")} AS document_type FROM l), z AS (SELECT *, CASE document_type {" ".join(f"WHEN '{k}' THEN {w}" for k, w in tp.WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS w FROM s),
+    "diff_view": rf"""{_NOTICES}, s AS (SELECT doc_id // 64 AS query_id, doc_id AS span_id, text, {_DATES}, {_cases(fx.DOCUMENT_TYPES, "guideline")} AS document_type FROM l), z AS (SELECT *, CASE document_type {" ".join(f"WHEN '{k}' THEN {w}" for k, w in fx.WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS w FROM s),
         {", ".join(f"""{n}a AS (SELECT * FROM z WHERE (effective_date IS NULL OR {day} >= effective_date) AND (expiry_date IS NULL OR {day} <= expiry_date) AND status IN ('active', 'amended')),
         {n} AS (SELECT query_id, text, max(w) AS w, max(effective_date) AS e, max(status) AS st, max(document_type) AS ty FROM {n}a a WHERE NOT EXISTS (SELECT 1 FROM e JOIN {n}a b ON b.query_id = e.query_id AND b.span_id = e.superseding WHERE e.query_id = a.query_id AND e.superseded = a.span_id) GROUP BY ALL)""" for n, day in (("vo", _ERA), ("vn", _OF)))},
         j AS (SELECT query_id, text, o.w AS ow, n.w AS nw, o.e AS oe, n.e AS ne, o.st AS os, n.st AS ns, o.ty AS ot, n.ty AS nt, CASE WHEN o.w IS NULL THEN 'added' WHEN n.w IS NULL THEN 'removed' WHEN o.e IS DISTINCT FROM n.e OR o.st <> n.st OR o.w <> n.w THEN 'modified' END AS change FROM vo o FULL JOIN vn n USING (query_id, text)),
         v AS (SELECT *, change = 'modified' AS m FROM j WHERE change IS NOT NULL)
         SELECT query_id, change, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS text, CASE WHEN NOT m THEN strftime(coalesce(ne, oe), '%Y-%m-%dT%H:%M:%S') END AS effective_date, CASE WHEN NOT m THEN coalesce(nt, ot) END AS document_type, CASE WHEN NOT m THEN coalesce(nw, ow) END AS precedence_weight,
         CASE WHEN m THEN os END AS old_status, CASE WHEN m THEN ns END AS new_status, CASE WHEN m THEN strftime(oe, '%Y-%m-%dT%H:%M:%S') END AS old_effective, CASE WHEN m THEN strftime(ne, '%Y-%m-%dT%H:%M:%S') END AS new_effective FROM v""",
-    "temporal_stats": f"""{_WITH}, y AS (SELECT *, CASE WHEN span_id % 9 > 0 THEN {_cases(tp.DOCUMENT_TYPES, "guideline")} ELSE 'unknown' END AS kind FROM s)
+    "temporal_stats": f"""{_WITH}, y AS (SELECT *, CASE WHEN span_id % 9 > 0 THEN {_cases(fx.DOCUMENT_TYPES, "guideline")} ELSE 'unknown' END AS kind FROM s)
         {" UNION ALL ".join(f"SELECT '{name}' AS dimension, {value} AS value, count(*) AS n, strftime(min(effective_date), '%Y-%m-%d') AS earliest_effective, strftime(max(effective_date), '%Y-%m-%d') AS latest_effective, strftime(min(expiry_date), '%Y-%m-%d') AS earliest_expiry, strftime(max(expiry_date), '%Y-%m-%d') AS latest_expiry, count_if(superseded_by IS NOT NULL OR older IS NOT NULL)::BIGINT AS superseding FROM y GROUP BY 1, 2" for name, value in (("total", "'all'"), ("document_type", "kind"), ("status", "status"), ("weight", "floor(precedence_weight)::INT || '-' || (floor(precedence_weight)::INT + 1)")))}""",
     "span_overlap": f"{_I} SELECT b.span_id AS target_id, a.span_id FROM i a JOIN i b ON {_HIT}",
     "span_merge_overlap": _islands("start < reach"),
