@@ -270,11 +270,9 @@ def tail_entries(c: Chunk, words: Words, buckets: int):
     of = (key % np.uint64(buckets)).astype(np.int64)
     # in order of the context within a bucket: its bytes then pack well
     order = np.lexsort((columns[4] if words.all is not None else key, columns[3], of))
-    cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        some = order[cuts[b] : cuts[b + 1]]
-        if len(some):
-            yield b, _pack(*(x[some] for x in columns))
+    held, first = np.unique(of[order], return_index=True)  # the buckets that occur: work follows the entries, not the buckets
+    for b, at, to in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield b, _pack(*(x[order[at:to]] for x in columns))
 
 
 def opened(columns: list[np.ndarray], words: Words) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -145,7 +145,9 @@ def _quotas(shards: DataFrame, block: int, most: int, seed: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """The mix itself: each document as often as the words taken of it round to whole documents; wordless ones are left out."""
+    """The mix itself: each document as often as the words taken of it round to whole documents; wordless ones are left out.
+
+    Rows that share a doc_id are each taken as often as the most taken of them, so repeated ids weigh more than the plan says."""
     plan = mix(docs, **options).filter("taken > 0")
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
     of, much, nth = (unused(docs, n) for n in ("_id", "_times", "_nth"))
