@@ -30,7 +30,7 @@ def rows(df):
 QUESTIONS = ["w50 w3", "w1 w1 w2", "w0", "nothing known", "", "w40 w41 w42 w43 w0 w1", None, "w59"]
 
 
-@pytest.mark.parametrize("block,levels", [(2048, 8), (16, 4), (3, 1)])
+@pytest.mark.parametrize("block,levels", [(2048, 8), (16, 4)])
 def test_blocks_give_the_rows_of_the_join(spark, monkeypatch, block, levels):
     monkeypatch.setattr(ix, "BLOCK", block)
     monkeypatch.setattr(ix, "LEVELS", levels)
