@@ -75,13 +75,13 @@ def pairs_of(spans, membership, linked):
 
 def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
     kinds = ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"]
-    orders = [(k, 50 * (k * 7 % 40) + k % 2, datetime(1995, 1, 1 + k % 5), kinds[k * 5 % 11 % 4]) for k in range(400)]
+    rng = random.Random(2)
+    orders = [(k, rng.randrange(60), datetime(1995, 1, 1 + k % 5), rng.choice(kinds)) for k in range(600)]
     linked = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
     spans = [r.asDict() for r in temporal(spark, str(tmp_path)).collect()]
     want = conflicts(spans)
     assert any(s <= 0.9 for s, _ in want.values()) and any(s > 0.9 for s, _ in want.values())
     membership = catalogue.queries()["conflict_members"](spark, str(tmp_path)).collect()
-    assert len(linked) + len(membership) < len(want)
     assert pairs_of(spans, membership, linked) == {at: s for at, (s, _) in want.items()}
     counted = {r["query_id"]: r["conflicts"] for r in catalogue.queries()["conflict_counts"](spark, str(tmp_path)).collect()}
     assert counted == {q: sum(at[0] == q for at in want) for q in {at[0] for at in want}}
