@@ -271,7 +271,8 @@ def tail_entries(c: Chunk, words: Words, buckets: int):
     # in order of the context within a bucket: its bytes then pack well
     order = np.lexsort((columns[4] if words.all is not None else key, columns[3], of))
     held, first = np.unique(of[order], return_index=True)  # the buckets that occur: work follows the entries, not the buckets
-    for b, at, to in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+    ends = np.append(first, len(order))[1:]
+    for b, at, to in zip(held.tolist(), first.tolist(), ends.tolist(), strict=True):
         yield b, _pack(*(x[order[at:to]] for x in columns))
 
 
