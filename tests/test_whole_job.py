@@ -12,7 +12,8 @@ import pytest
 
 from chronolex.plans import catalogue
 from chronolex.plans import retrieval_queries as rq
-from chronolex.plans.inputs import temporal
+from chronolex.operators import temporal as tp
+from chronolex.plans.inputs import FIFTIETH, temporal
 
 
 @pytest.fixture
@@ -76,15 +77,17 @@ def pairs_of(spans, membership, linked):
 def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
     kinds = ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"]
     rng = random.Random(2)
-    orders = [(k, rng.randrange(60), datetime(1995, 1, 1 + k % 5), rng.choice(kinds)) for k in range(600)]
-    linked = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
-    spans = [r.asDict() for r in temporal(spark, str(tmp_path)).collect()]
+    orders = [(k, rng.choice([0, 50, 650, 1300]) + rng.randrange(2), datetime(1995, 1, 1 + k % 5), rng.choice(kinds)) for k in range(600)]
+    found = run("text_conflicts", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"))
+    spans = [r.asDict() for r in temporal(spark, str(tmp_path), FIFTIETH).collect()]
     want = conflicts(spans)
     assert any(s <= 0.9 for s, _ in want.values()) and any(s > 0.9 for s, _ in want.values())
-    membership = catalogue.queries()["conflict_members"](spark, str(tmp_path)).collect()
-    assert pairs_of(spans, membership, linked) == {at: s for at, (s, _) in want.items()}
+    membership = [{"query_id": r["query_id"], "class_id": r["first"], "span_id": r["second"]} for r in found if r["kind"] == "member"]
+    assert pairs_of(spans, membership, [r for r in found if r["kind"] == "link"]) == {at: s for at, (s, _) in want.items()}
+    few = [r.asDict() for r in temporal(spark, str(tmp_path)).collect()]
     counted = {r["query_id"]: r["conflicts"] for r in catalogue.queries()["conflict_counts"](spark, str(tmp_path)).collect()}
-    assert counted == {q: sum(at[0] == q for at in want) for q in {at[0] for at in want}}
+    pairs = conflicts(few)
+    assert counted == {q: sum(at[0] == q for at in pairs) for q in {at[0] for at in pairs}}
     sides = {(x, w == x) for (_, *pair), (_, w) in want.items() for x in pair}
     lost = {x for x, won in sides if not won and (x, True) not in sides}
     kept = catalogue.queries()["conflict_resolve"](spark, str(tmp_path)).collect()
@@ -92,6 +95,40 @@ def test_conflicts_above_the_default_threshold(run, spark, tmp_path):
     assert lost - {x for (_, *pair), (s, _) in want.items() if s > 0.9 for x in pair}
 
 
+ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def test_conflicts_reach_every_fiftieth_customer(run, spark, tmp_path):
+    """Customers 3 and 653 (a multiple of 50 and of 13 apart): one query, one text, so one class of two and one loser; customer 4 is in another query."""
+    orders = [(10, 3, datetime(1995, 1, 1), "1-URGENT"), (10 + 97 * 6, 653, datetime(1995, 1, 1), "1-URGENT"), (11, 4, datetime(1995, 1, 1), "1-URGENT")]
+    found = run("text_conflicts", orders=(orders, ORDERS))
+    assert sorted((r["query_id"], r["first"], r["second"]) for r in found if r["kind"] == "member") == [(3, 10, 10), (3, 10, 592), (4, 11, 11)]
+    assert [r["span_id"] for r in catalogue.queries()["conflict_resolve"](spark, str(tmp_path)).orderBy("span_id").collect()] == [10, 11]
+
+
+def test_dated_conflicts_as_classes_give_all_pairs(run, spark, tmp_path):
+    """Pairs from classes and edges of meta_conflicts are those that metadata_conflicts makes, over customers that 50 tells apart."""
+    rng = random.Random(5)
+    orders = [(k, rng.randrange(6) * 50 + rng.randrange(2), datetime(1995, 1, 1 + rng.randrange(4)), "5-LOW") for k in range(150)]
+    found = run("meta_conflicts", orders=(orders, ORDERS))
+    held, place = {}, {r["span_id"]: r["pos"] for r in temporal(spark, str(tmp_path), FIFTIETH).collect()}
+    for r in found:
+        if r["conflict_type"] == "member":
+            held.setdefault(r["first"], []).append(r["second"])
+    got = {}
+    for r in found:
+        if r["conflict_type"] == "status_conflict":
+            for a, b in itertools.product(held[r["first"]], held[r["second"]]):
+                side = {"prefer_first": a, "prefer_second": b}.get(r["resolution"])
+                got[tuple(sorted((a, b), key=place.get))] = ("status_conflict", side)
+    for r in found:
+        if r["conflict_type"] == "supersession":
+            got[r["first"], r["second"]] = ("supersession", r["first"] if r["resolution"] == "prefer_first" else r["second"])
+    pick = lambda r: {"prefer_first": r["first"], "prefer_second": r["second"]}.get(r["resolution"])
+    want = {(r["first"], r["second"]): (r["conflict_type"], pick(r)) for r in tp.metadata_conflicts(temporal(spark, str(tmp_path), FIFTIETH)).collect()}
+    assert got == want and len({t for t, _ in want.values()}) == 2
+
+
 def test_depth_of_training_lists_and_fused_lists(run, spark, tmp_path):
     rng = random.Random(3)
     vectors = [[rng.gauss(0.5, 1) for _ in range(8)] for _ in range(300)]
