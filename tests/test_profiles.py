@@ -36,3 +36,11 @@ def test_alike_chunks_make_few_rows(spark, monkeypatch):
     rt.bm25_by_profile(queries, lex, 7, common=20).count()
     assert 0 < made["alike"].count() <= 60
     assert made["firsts"].groupBy("profile").count().agg(F.max("count")).first()[0] == 7
+
+
+def test_parts_of_chunks_follow_the_sums_that_they_hold(spark, monkeypatch):
+    """Four hundred chunks asked by forty queries in parts of at most a hundred sums: enough parts, whatever the bytes."""
+    chunks, _ = corpus(spark, 400, 4)
+    lex = ix.lexical(chunks)
+    monkeypatch.setattr(ix, "SUMS", 100)
+    assert lex.postings(by_chunk=40).rdd.getNumPartitions() == 160
