@@ -71,6 +71,13 @@ def test_blocks_that_cannot_matter_are_not_read(spark, monkeypatch):
     assert total > 1500 and read < 0.5 * total
 
 
+def test_postings_of_a_chunk_meet_queries_in_its_task(spark):
+    lex, asked = ix.lexical(corpus(spark, 300, seed=6)), rt.asked_terms(questions(spark, ["w0 w1 w2", "w1 w3"]))
+    plan = rt._by_chunk(rt._postings(ix.blocks(ix.bm25_index(lex))), 10).join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id").count()._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert top.count("Exchange hashpartitioning") == 1  # that of the postings; none of sums
+
+
 def test_term_counts_need_no_shuffle(spark):
     chunks = corpus(spark, 50)
     plan = ix.term_counts(chunks)._jdf.queryExecution().executedPlan().toString()
