@@ -18,19 +18,16 @@ def scan(rows: DataFrame, keys: list[str], buckets: list[str], order: list[str],
 
     buckets: columns that order the rows of a key as `order` does, more coarsely; rows are in order by buckets, then `order`.
     A sum of nothing is 0, a maximum or last value of nothing null. Nulls are passed over. Null keys are a key."""
-    valued = rows.withColumns({f"_v_{n}": c for n, (_, c) in totals.items()})
+    at = F.struct(*keys, *buckets)  # one column, so that the join and the window deal rows alike; a struct is never null, its fields may be
+    valued = rows.withColumns({"_at": at} | {f"_v_{n}": c for n, (_, c) in totals.items()})
     place = F.struct(*order)
     reduce = {"sum": lambda v: F.sum(v), "max": lambda v: F.max(v), "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), place))}
-    each = valued.groupBy(*keys, *buckets).agg(*[reduce[kind](f"_v_{n}").alias(f"_t_{n}") for n, (kind, _) in totals.items()])
-    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, *buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    each = valued.groupBy("_at").agg(*[reduce[kind](f"_v_{n}").alias(f"_t_{n}") for n, (kind, _) in totals.items()])
+    before = Window.partitionBy(*[f"_at.{c}" for c in keys]).orderBy(*[f"_at.{c}" for c in buckets]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-    at = [*keys, *buckets]
-    carried = each.select(*[F.col(c).alias(f"_k_{i}") for i, c in enumerate(at)], *[over[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in totals.items()])
-    same = F.lit(True)
-    for i, c in enumerate(at):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{i}"))
-    joined = valued.join(carried, same)
+    carried = each.select("_at", *[over[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in totals.items()])
+    joined = valued.join(carried, "_at")
     joined = joined.withColumns({f"_i_{n}": over[kind](F.col(f"_v_{n}")).over(inside) for n, (kind, _) in totals.items()})
     merge = {"sum": lambda c, i: F.coalesce(c, F.lit(0)) + F.coalesce(i, F.lit(0)), "max": lambda c, i: F.greatest(c, i), "last": lambda c, i: F.coalesce(i, c)}
     return joined.select(*rows.columns, *[merge[kind](F.col(f"_c_{n}"), F.col(f"_i_{n}")).alias(n) for n, (kind, _) in totals.items()])

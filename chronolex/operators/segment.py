@@ -49,11 +49,17 @@ def paragraphs(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """pages (document_id, page_num, raw_text, trust_score) -> one row a non-blank paragraph with document-wide byte offsets.
 
     Offsets run over all pages of a document; a separator counts with its own bytes."""
+    return _placed(pages, separator).drop("c", "_title")
+
+
+def _placed(pages: DataFrame, separator: str) -> DataFrame:
+    """paragraphs() with their class, c, and the last title of level 0 before each, _title: one pass, in which each text is dealt once."""
     rows = pages.select("document_id", "page_num", "trust_score", F.posexplode(F.split("raw_text", separator)).alias("n", "raw"))
-    rows = rows.withColumn("text", F.trim("raw")).withColumn("_b", F.floor(F.col("n") / scans.SPLIT))
-    size = F.octet_length("raw") + F.lit(len(separator.encode()))
-    rows = scans.scan(rows, ["document_id"], ["page_num", "_b"], ["n"], {"byte_start": ("sum", size.cast("long")), "pos": ("sum", (F.col("text") != "").cast("int"))}, inclusive=False)
-    rows = rows.drop("_b").filter("text <> ''").withColumn("pos", (F.col("pos") + 1).cast("int"))
+    rows = rows.withColumn("text", F.trim("raw")).withColumn("_b", F.floor(F.col("n") / scans.SPLIT)).withColumn("_size", (F.octet_length("raw") + F.lit(len(separator.encode()))).cast("long"))
+    rows = rows.drop("raw").withColumn("c", section_class(F.col("text")))
+    totals = {"byte_start": ("sum", F.col("_size")), "pos": ("sum", (F.col("text") != "").cast("int")), "_title": ("last", _title(F.col("c.level")))}
+    rows = scans.scan(rows, ["document_id"], ["page_num", "_b"], ["n"], totals, inclusive=False)
+    rows = rows.drop("_b", "_size").filter("text <> ''").withColumn("pos", (F.col("pos") + 1).cast("int"))
     return rows.withColumn("byte_end", F.col("byte_start") + F.octet_length("text"))
 
 
@@ -86,14 +92,17 @@ def page_sections(pages: DataFrame, found: DataFrame, separator: str = "\n\n") -
 
 def sections(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Typed sections with language and parent: the first 50 characters of the last level-0 section before."""
-    rows = paragraphs(pages, separator).withColumn("c", section_class(F.col("text")))
-    rows = rows.select("document_id", "pos", "text", "c.section_type", "c.level", "byte_start", "byte_end", "page_num", F.coalesce("trust_score", F.lit(1.0)).alias("confidence"))
-    return with_parents(rows.withColumn("language", detect_language(F.col("text"))))
+    rows = _placed(pages, separator)
+    rows = rows.select("document_id", "pos", "text", "c.section_type", "c.level", "byte_start", "byte_end", "page_num", F.coalesce("trust_score", F.lit(1.0)).alias("confidence"), "_title")
+    return rows.withColumn("language", detect_language(F.col("text"))).withColumn("parent", F.when(F.col("level") > 0, F.col("_title"))).drop("_title")
+
+
+def _title(level: Column) -> Column:
+    return F.when(level == 0, F.substring("text", 1, 50))
 
 
 def with_parents(rows: DataFrame) -> DataFrame:
-    title = F.when(F.col("level") == 0, F.substring("text", 1, 50))
-    found = scans.scan(rows.withColumn("_b", F.floor(F.col("pos") / scans.SPLIT)), ["document_id"], ["_b"], ["pos"], {"_last": ("last", title)})
+    found = scans.scan(rows.withColumn("_b", F.floor(F.col("pos") / scans.SPLIT)), ["document_id"], ["_b"], ["pos"], {"_last": ("last", _title(F.col("level")))})
     return found.withColumn("parent", F.when(F.col("level") > 0, F.col("_last"))).drop("_b", "_last")
 
 
@@ -128,13 +137,19 @@ def hierarchical_chunks(rows: DataFrame, chunk_size: int = 512) -> DataFrame:
     return runs.select("document_id", "chunk_no", F.col("r.lo").alias("first_pos"), F.col("r.hi").alias("last_pos"))
 
 
+_SETS = (("page_num", "page_nums"), ("section_type", "section_types"), ("language", "languages"), ("parent", "parents"))
+
+
 def chunk_rows(runs: DataFrame, rows: DataFrame) -> DataFrame:
     """Runs of sections as chunks: joined text, byte bounds, distinct pages, types and languages, least level, spans."""
     each = runs.withColumn("pos", F.explode(F.sequence("first_pos", "last_pos"))).join(rows, ["document_id", "pos"])
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    spans = F.array_sort(F.collect_list(F.struct("byte_start", "byte_end", "text", "page_num", "section_type", "confidence")))
-    sets = [F.sort_array(F.collect_set(c)).alias(n) for c, n in (("page_num", "page_nums"), ("section_type", "section_types"), ("language", "languages"), ("parent", "parents"))]
-    return each.groupBy("document_id", "chunk_no").agg(F.array_join(texts, " ").alias("text"), F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), F.min("level").alias("level"), *sets, spans.alias("spans"))
+    fields = ("byte_start", "byte_end", "text", "page_num", "section_type", "confidence")
+    held = F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_s")  # a section's text goes to its chunk once
+    texts = F.transform("_s", lambda x: x["text"])
+    spans = F.array_sort(F.transform("_s", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+    sets = [F.sort_array(F.collect_set(c)).alias(n) for c, n in _SETS]
+    out = each.groupBy("document_id", "chunk_no").agg(held, F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), F.min("level").alias("level"), *sets)
+    return out.select("document_id", "chunk_no", F.array_join(texts, " ").alias("text"), "byte_start", "byte_end", "level", *[n for _, n in _SETS], spans.alias("spans"))
 
 
 def sliding_windows(texts: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -156,7 +171,7 @@ def sliding_windows(texts: DataFrame, size: int = 512, overlap: int = 64) -> Dat
 
 
 def document_chunks(rows: DataFrame, texts: DataFrame, chunk_size: int = 512, overlap: int = 64) -> DataFrame:
-    """Hierarchical chunks of sections (kind 0) and sliding windows of whole texts (kind 1), the first of each text of a document: document_id, kind, chunk_no, text, byte_start, byte_end."""
+    """Hierarchical chunks of sections (kind 0) and sliding windows of whole texts (kind 1), the first of each text of a document: document_id, kind, chunk_no, text, byte_start, byte_end, digest."""
     columns = ("document_id", "kind", "chunk_no", "text", "byte_start", "byte_end")
     runs = chunk_rows(hierarchical_chunks(rows, chunk_size), rows).withColumn("kind", F.lit(0))
     windows = sliding_windows(texts, chunk_size, overlap).withColumn("kind", F.lit(1)).withColumnRenamed("window", "chunk_no")
@@ -164,9 +179,9 @@ def document_chunks(rows: DataFrame, texts: DataFrame, chunk_size: int = 512, ov
 
 
 def without_copies(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each text of a document, hierarchical (kind 0) before sliding (kind 1)."""
-    first = Window.partitionBy("document_id", F.sha2("text", 256)).orderBy("kind", "chunk_no")
-    return chunks.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """The first chunk of each text of a document, hierarchical (kind 0) before sliding (kind 1), with the text's digest: who needs that only moves no texts."""
+    first = Window.partitionBy("document_id", "digest").orderBy("kind", "chunk_no")
+    return chunks.withColumn("digest", F.sha2("text", 256)).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def chunk_context(chunks: DataFrame) -> DataFrame:

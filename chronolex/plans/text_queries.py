@@ -34,7 +34,7 @@ def _leveled(s, d):
 
 
 def _hier(s, d):
-    rows = _leveled(s, d)
+    rows = staged(_leveled(s, d), "sections")
     chunks = sg.chunk_rows(sg.hierarchical_chunks(rows), rows)
     return chunks.select("document_id", "chunk_no", "byte_start", "byte_end", "level", F.sha2("text", 256).alias("digest"), F.size("spans").alias("n_spans"))
 
@@ -95,7 +95,7 @@ def _page_sections(s, d):
 
 def _chunk_union(s, d):
     texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return sg.document_chunks(_leveled(s, d), texts).select("document_id", "kind", "chunk_no", "byte_start", "byte_end", F.sha2("text", 256).alias("digest"))
+    return sg.document_chunks(staged(_leveled(s, d), "sections"), texts).select("document_id", "kind", "chunk_no", "byte_start", "byte_end", "digest")
 
 
 def _text_diff(s, d):
