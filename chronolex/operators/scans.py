@@ -11,6 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLIT = 1024  # places of a bucket
+ROWS = 250_000  # of a task, where rows are small when they are dealt but not in memory
+
+
+def spread(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """rows dealt by keys to tasks of about ROWS; Spark's own choice goes by compressed bytes, which say little of alike rows. n: how many rows, if known."""
+    return rows.repartition(max(1, -(-(rows.count() if n is None else n) // ROWS)), *keys)
 
 
 def scan(rows: DataFrame, keys: list[str], buckets: list[str], order: list[str], totals: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import span_hash
-from chronolex.operators.scans import scan
+from chronolex.operators.scans import scan, spread
+from chronolex.staging import staged
 
 BUCKET = 4096
 
@@ -35,22 +36,51 @@ def overlapping(spans: DataFrame, targets: DataFrame) -> DataFrame:
 
 def merge_adjacent(spans: DataFrame, max_gap: int = 0, touching: bool = False) -> DataFrame:
     """Islands of spans by (document_id, start): the next span joins when it begins at most max_gap after the island's
-    end (touching), or before it (otherwise, with max_gap 0: overlaps only)."""
-    bucketed, order = spans.withColumn("_b", F.floor(F.col("start") / BUCKET)), ["start", "end", "span_id"]
+    end (touching), or before it (otherwise, with max_gap 0: overlaps only).
+
+    Documents within one bucket, most of them, are dealt once and folded; longer ones are scanned, so that none is one task's."""
+    bucketed = spans.withColumn("_b", F.floor(F.col("start") / BUCKET))
+    long = bucketed.groupBy("document_id").agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi")).filter("_lo < _hi").select(F.col("document_id").alias("_long"))
+    long = staged(long, "long")
+    if not long.take(1):
+        return _islands(_in_order(bucketed, max_gap, touching))
+    same = F.col("document_id").eqNullSafe(F.col("_long"))
+    short = _in_order(bucketed.join(long, same, "left_anti"), max_gap, touching)
+    return _islands(short).unionByName(_islands(_scanned(bucketed.join(long, same, "left_semi"), max_gap, touching)))
+
+
+def _joins(start: Column, reach: Column, max_gap: int, touching: bool) -> Column:
+    return (start <= reach + max_gap) if touching else (start < reach)
+
+
+def _in_order(bucketed: DataFrame, max_gap: int, touching: bool) -> DataFrame:
+    """spans with `island`, by windows of one order: rows of a document are dealt and sorted once."""
+    order = Window.partitionBy("document_id").orderBy("start", "end", "span_id")
+    reached = bucketed.withColumn("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("_reach").isNull() | ~_joins(F.col("start"), F.col("_reach"), max_gap, touching), 1).otherwise(0)
+    return reached.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _scanned(bucketed: DataFrame, max_gap: int, touching: bool) -> DataFrame:
+    """The same by scans that split a document."""
+    order = ["start", "end", "span_id"]
     reached = scan(bucketed, ["document_id"], ["_b"], order, {"_reach": ("max", F.col("end"))}, inclusive=False)
-    joins = (F.col("start") <= F.col("_reach") + max_gap) if touching else (F.col("start") < F.col("_reach"))
-    flagged = reached.withColumn("_new", F.when(F.col("_reach").isNull() | ~joins, 1).otherwise(0))
-    islands = scan(flagged, ["document_id"], ["_b"], order, {"island": ("sum", F.col("_new"))})
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "span_id", c))), lambda x: x[c])
-    return islands.groupBy("document_id", "island").agg(
+    new = F.when(F.col("_reach").isNull() | ~_joins(F.col("start"), F.col("_reach"), max_gap, touching), 1).otherwise(0)
+    return scan(reached.withColumn("_new", new), ["document_id"], ["_b"], order, {"island": ("sum", F.col("_new"))})
+
+
+def _islands(rows: DataFrame) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct("start", "end", "span_id", "text", "section_id"))).alias("_s")
+    out = rows.groupBy("document_id", "island").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.array_join(ordered("text"), " ").alias("text"),
+        held,
         F.min("page_num").alias("page_num"),
         F.min("confidence").alias("confidence"),
-        F.array_join(ordered("section_id"), "+").alias("section_id"),
         F.count(F.lit(1)).alias("n_spans"),
     )
+    listed = lambda c, by: F.array_join(F.transform("_s", lambda x: x[c]), by).alias(c)
+    return out.select("document_id", "island", "start", "end", listed("text", " "), "page_num", "confidence", listed("section_id", "+"), "n_spans")
 
 
 def confident(spans: DataFrame, threshold: float) -> DataFrame:
@@ -81,10 +111,19 @@ def integrity_report(spans: DataFrame) -> DataFrame:
 
 
 def resolve_overlaps(spans: DataFrame, high: float = 0.8) -> DataFrame:
-    """Spans without an overlap in their document, and those of high confidence."""
-    hit = overlapping(spans, spans).select(F.col("span_id")).distinct()
-    clear = spans.join(hit, "span_id", "left_anti")
-    return clear.unionByName(spans.join(hit, "span_id", "left_semi").filter(F.col("confidence") >= high))
+    """Spans without an overlap in their document, and those of high confidence.
+
+    Only spans that an overlap would remove are looked up, and each needs to know of one other span, not of all."""
+    sure = F.coalesce(F.col("confidence") >= high, F.lit(False))
+    rest = spans.filter(~sure)
+    touch = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / BUCKET), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / BUCKET)))
+    a = rest.select("document_id", "span_id", "start", "end").withColumn("_bucket", touch("start", "end"))
+    b = spans.select("document_id", F.col("span_id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end")).withColumn("_bucket", touch("r_start", "r_end"))
+    n = spans.count()
+    a, b = spread(a, "document_id", "_bucket", n=n), spread(b, "document_id", "_bucket", n=n)
+    meets = (a["document_id"] == b["document_id"]) & (a["_bucket"] == b["_bucket"]) & (F.col("span_id") != F.col("r_id")) & overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+    hit = a.join(b, meets, "left_semi").select("span_id").distinct()
+    return spans.filter(sure).unionByName(spread(rest, "span_id", n=n).join(spread(hit, "span_id", n=n), "span_id", "left_anti"))
 
 
 def context(spans: DataFrame, within: int = 200, most: int = 3) -> DataFrame:
