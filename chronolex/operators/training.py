@@ -8,15 +8,29 @@ from pyspark.sql import functions as F
 from chronolex.functions.text import modified_claim, negated_claim
 from chronolex.operators.claims import extract, first_claims
 from chronolex.operators.order import first_share
+from chronolex.operators.scans import spread
+from chronolex.staging import staged
 
 NEGATIVES = 5
+OFTEN, MOST_OFTEN = 100_000, 1_000  # pairs of a chunk from which on it is sent to them, and how many such chunks at most
 
 
 def training_pairs(qa: DataFrame, corpus: DataFrame) -> DataFrame:
-    """qa (question, positives, negatives) -> (question, chunk_id, text, label): all positives, the first five negatives, ids of the corpus only."""
+    """qa (question, positives, negatives) -> (question, chunk_id, text, label): all positives, the first five negatives, ids of the corpus only.
+
+    Chunks of very many pairs are sent to them, so that their pairs don't meet in one task."""
     positive = qa.select("question", F.explode("positives").alias("chunk_id"), F.lit(1.0).alias("label"))
     negative = qa.select("question", F.explode(F.slice("negatives", 1, NEGATIVES)).alias("chunk_id"), F.lit(0.0).alias("label"))
-    return positive.unionByName(negative).join(corpus.select("chunk_id", "text"), "chunk_id").select("question", "chunk_id", "text", "label")
+    pairs, texts = positive.unionByName(negative), corpus.select("chunk_id", "text")
+    counts = staged(pairs.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "asked")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = [r["chunk_id"] for r in counts.filter(F.col("n") > max(OFTEN, total // MOST_OFTEN)).collect()]  # MOST_OFTEN at most
+    if not often:
+        held = spread(pairs, "chunk_id", n=total).join(texts, "chunk_id")
+    else:
+        known = F.coalesce(F.col("chunk_id").isin(often), F.lit(False))
+        held = spread(pairs.filter(~known), "chunk_id", n=total).join(texts, "chunk_id").unionByName(pairs.join(F.broadcast(texts.filter(known)), "chunk_id"))
+    return held.select("question", "chunk_id", "text", "label")
 
 
 def hard_negatives(hits: DataFrame, positives: DataFrame, most: int = 10) -> DataFrame:
