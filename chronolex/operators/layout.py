@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators.scans import spread
+
 
 def bbox(points: Column) -> Column:
     """struct(x1,y1,x2,y2) of a polygon array<struct<x,y>>."""
@@ -31,7 +33,7 @@ def table_like(text: Column) -> Column:
 
 def classified(elements: DataFrame, heading_factor: float = 1.5) -> DataFrame:
     """elements with `kind`; the mean height of the page's boxes is the measure of a heading."""
-    text = F.trim("text")
+    elements, text = spread(elements, "page"), F.trim("text")
     mean = F.coalesce(F.avg(F.col("y2") - F.col("y1")).over(Window.partitionBy("page")), F.lit(20.0))
     upper = (F.upper(text) == text) & text.rlike(r"\p{Lu}")
     kind = (
