@@ -1,4 +1,4 @@
-"""Difference of two texts by lines, as joins and scans: no Python worker, no pair of texts in one place but its anchors.
+"""Difference of two texts by lines, as joins and scans over hashes of the lines that both have: no Python worker; texts are read where their pair lies.
 
 Lines that occur once on both sides are candidates; of those the longest run that rises on both sides is matched
 (patience). What lies between two matches is a gap with candidates of its own, so the same is done again inside the gaps,
@@ -44,13 +44,20 @@ def _walk(anchors: Column, run: Column) -> Column:
 
 
 def _lines(pairs: DataFrame, side: str) -> DataFrame:
-    return pairs.select("key", F.posexplode(F.col(side)).alias("pos", "line")).withColumn("line", F.coalesce("line", F.lit("")))
+    """(key, pos, h) of the lines of a side that the other side has, too: others are in no match. Lines go by two hashes, 96 bits."""
+    lines = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit("")))
+    both = F.array_intersect(lines(F.col("old")), lines(F.col("new")))
+    shared = pairs.select("key", F.col(side).alias("_side"), both.alias("_both")).filter(F.size("_both") > 0)
+    digest = F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h")
+    rows = shared.select("key", F.posexplode(lines(F.col("_side"))).alias("pos", "line")).select("key", "pos", digest)
+    known = shared.select("key", F.explode("_both").alias("line")).select("key", digest)
+    return rows.join(known, ["key", "h"], "left_semi").select("key", "pos", "h")
 
 
 def _matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(key, i, j) of lines (key, gap, pos, line): unique in their gap on both sides, in the longest rising run of the gap."""
-    once = lambda df, p: df.groupBy("key", "gap", "line").agg(F.count(F.lit(1)).alias("n"), F.first("pos").alias(p)).filter("n = 1").drop("n")
-    both = once(old, "i").join(once(new, "j"), ["key", "gap", "line"]).groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("a"))
+    """(key, i, j) of lines (key, gap, pos, h): unique in their gap on both sides, in the longest rising run of the gap."""
+    once = lambda df, p: df.groupBy("key", "gap", "h").agg(F.count(F.lit(1)).alias("n"), F.first("pos").alias(p)).filter("n = 1").drop("n")
+    both = once(old, "i").join(once(new, "j"), ["key", "gap", "h"]).groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("a"))
     run = both.withColumn("r", rising(F.col("a")))
     return run.select("key", F.explode(_walk(F.col("a"), F.col("r"))).alias("m")).select("key", "m.i", "m.j")
 
@@ -62,19 +69,44 @@ def _with_gaps(lines: DataFrame, matched: DataFrame, pos: str) -> DataFrame:
     return scans.scan(bucketed, ["key"], ["_b"], ["pos"], {"gap": ("last", F.col("hit"))}).drop("_b").withColumn("gap", F.coalesce("gap", F.lit(-1)))
 
 
-def differences(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(key, gap, kind, pos, op, line) of all lines: op is a space for a kept line, - for a removed and + for an added one; in order by gap, kind, pos."""
-    pairs = staged(pairs.select("key", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("old", "new")]), "pairs")
-    old, new = (_lines(pairs, side).withColumn("gap", F.lit(-1)).withColumn("hit", F.lit(None).cast("int")) for side in ("old", "new"))
+def _matched(pairs: DataFrame, rounds: int) -> DataFrame:
+    """(key, i, j) of all rounds; ends before when a round finds none."""
+    old, new = (staged(_lines(pairs, side).withColumn("gap", F.lit(-1)).withColumn("hit", F.lit(None).cast("int")), "lines") for side in ("old", "new"))
     matched = None
-    for _ in range(rounds):
-        fresh = _matches(old.filter("hit IS NULL"), new.filter("hit IS NULL"))
-        matched = staged(fresh if matched is None else matched.unionByName(fresh), "matches")
+    for n in range(rounds):
+        fresh = staged(_matches(old.filter("hit IS NULL"), new.filter("hit IS NULL")), "matches")
+        matched = fresh if matched is None else matched.unionByName(fresh)
+        if n + 1 == rounds or not fresh.take(1):
+            return matched
         old, new = (staged(_with_gaps(df, matched, pos), "lines") for df, pos in ((old, "i"), (new, "j")))
-    kept = F.col("hit").isNotNull()
-    removed = old.select("key", "gap", F.when(kept, 0).otherwise(1).alias("kind"), "pos", F.when(kept, " ").otherwise("-").alias("op"), "line")
-    added = new.filter("hit IS NULL").select("key", "gap", F.lit(2).alias("kind"), "pos", F.lit("+").alias("op"), "line")
-    return removed.unionByName(added)
+    return pairs.select("key", F.lit(0).alias("i"), F.lit(0).alias("j")).limit(0)
+
+
+def differences(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(key, gap, kind, pos, op, line) of all lines: op is a space for a kept line, - for a removed and + for an added one; in order by gap, kind, pos.
+
+    pairs is read for each side, and again for the lines; rounds go over shared lines' hashes only."""
+    pairs = pairs.select("key", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("old", "new")])
+    held = _matched(pairs, rounds).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_m"))
+    # from each match, and from before the first one, to the next
+    none = F.expr("CAST(array() AS array<struct<i:int,j:int>>)")
+    begins = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), F.coalesce("_m", none))
+    ends = F.concat(F.coalesce("_m", none), F.array(F.struct(F.size("old").alias("i"), F.size("new").alias("j"))))
+    gaps = pairs.join(held, "key", "left").select("key", "old", "new", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("_g"))
+    row = lambda gap, kind, pos, op, line: F.struct(gap.alias("gap"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), F.lit(op).alias("op"), F.coalesce(line, F.lit("")).alias("line"))
+    cut = lambda c, after, end: F.slice(c, after + 2, F.greatest(end - after - 1, F.lit(0)))
+
+    def between(g):
+        i, j = g["b"]["i"], g["b"]["j"]
+        kept = F.when(i >= 0, F.array(row(i, 0, i, " ", F.get("old", i)))).otherwise(F.array().cast(_ROW))
+        removed = F.transform(cut("old", i, g["e"]["i"]), lambda x, n: row(i, 1, i + 1 + n, "-", x))
+        added = F.transform(cut("new", j, g["e"]["j"]), lambda x, n: row(i, 2, j + 1 + n, "+", x))
+        return F.concat(kept, removed, added)
+
+    return gaps.select("key", F.explode(F.flatten(F.transform("_g", between))).alias("r")).select("key", "r.*")
+
+
+_ROW = "array<struct<gap:int,kind:int,pos:int,op:string,line:string>>"
 
 
 def applied(diff: DataFrame, new: bool = True) -> DataFrame:

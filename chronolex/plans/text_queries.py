@@ -104,11 +104,12 @@ def _text_diff(s, d):
     lines = lambda c: F.split(c, "\n")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
     pairs = staged(docs.join(after, "doc_id").select(F.col("doc_id").alias("key"), lines("text").alias("old"), lines("next").alias("new")), "pairs")
-    diff = staged(td.differences(pairs), "diff")
-    back = [td.applied(diff, new).withColumnRenamed("lines", f"_{new}") for new in (False, True)]
-    sizes = diff.groupBy("key").agg(F.count_if(F.col("op") != "+").alias("n_old"), F.count_if(F.col("op") != "-").alias("n_new"))
-    rows = pairs.join(sizes, "key").join(back[0], "key").join(back[1], "key")
-    return rows.select(F.col("key").alias("doc_id"), "n_old", "n_new", (F.col("_False") == F.col("old")).alias("old_back"), (F.col("_True") == F.col("new")).alias("new_back"))
+    diff = td.differences(pairs)
+    ordered = F.array_sort(F.collect_list(F.struct("gap", "kind", "pos", "op", "line"))).alias("_d")  # both texts from one grouping
+    rows = pairs.join(diff.groupBy("key").agg(ordered), "key")
+    back = lambda op: F.transform(F.filter("_d", lambda x: x["op"] != op), lambda x: x["line"])
+    rows = rows.select("key", "old", "new", back("+").alias("_False"), back("-").alias("_True"))
+    return rows.select(F.col("key").alias("doc_id"), F.size("_False").cast("long").alias("n_old"), F.size("_True").cast("long").alias("n_new"), (F.col("_False") == F.col("old")).alias("old_back"), (F.col("_True") == F.col("new")).alias("new_back"))
 
 
 def _language(s, d):
