@@ -170,18 +170,18 @@ def sliding_windows(texts: DataFrame, size: int = 512, overlap: int = 64) -> Dat
     return rows.select("document_id", "window", "text", F.col("byte_start").cast("long").alias("byte_start"), (F.col("byte_start") + F.octet_length("text")).cast("long").alias("byte_end"))
 
 
-def document_chunks(rows: DataFrame, texts: DataFrame, chunk_size: int = 512, overlap: int = 64) -> DataFrame:
-    """Hierarchical chunks of sections (kind 0) and sliding windows of whole texts (kind 1), the first of each text of a document: document_id, kind, chunk_no, text, byte_start, byte_end, digest."""
+def document_chunks(rows: DataFrame, texts: DataFrame, chunk_size: int = 512, overlap: int = 64, digest: bool = False) -> DataFrame:
+    """Hierarchical chunks of sections (kind 0) and sliding windows of whole texts (kind 1), the first of each text of a document: document_id, kind, chunk_no, text, byte_start, byte_end, and the text's digest if asked for."""
     columns = ("document_id", "kind", "chunk_no", "text", "byte_start", "byte_end")
     runs = chunk_rows(hierarchical_chunks(rows, chunk_size), rows).withColumn("kind", F.lit(0))
     windows = sliding_windows(texts, chunk_size, overlap).withColumn("kind", F.lit(1)).withColumnRenamed("window", "chunk_no")
-    return without_copies(runs.select(*columns).unionByName(windows.select(*columns)))
+    return without_copies(runs.select(*columns).unionByName(windows.select(*columns)), digest)
 
 
-def without_copies(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each text of a document, hierarchical (kind 0) before sliding (kind 1), with the text's digest: who needs that only moves no texts."""
+def without_copies(chunks: DataFrame, digest: bool = False) -> DataFrame:
+    """The first chunk of each text of a document, hierarchical (kind 0) before sliding (kind 1), with the text's digest if asked for: who needs that only moves no texts."""
     first = Window.partitionBy("document_id", "digest").orderBy("kind", "chunk_no")
-    return chunks.withColumn("digest", F.sha2("text", 256)).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return chunks.withColumn("digest", F.sha2("text", 256)).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", *([] if digest else ["digest"]))
 
 
 def chunk_context(chunks: DataFrame) -> DataFrame:

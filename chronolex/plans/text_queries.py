@@ -95,7 +95,7 @@ def _page_sections(s, d):
 
 def _chunk_union(s, d):
     texts = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return sg.document_chunks(staged(_leveled(s, d), "sections"), texts).select("document_id", "kind", "chunk_no", "byte_start", "byte_end", "digest")
+    return sg.document_chunks(staged(_leveled(s, d), "sections"), texts, digest=True).select("document_id", "kind", "chunk_no", "byte_start", "byte_end", "digest")
 
 
 def _text_diff(s, d):

@@ -32,7 +32,7 @@ def test_sections_are_one_scan_and_copies_go_by_digest(spark):
         pages = spark.createDataFrame([(1, 1, "TITLE\none\ntwo", 1.0), (2, 1, "a\n\nb", 1.0)], "document_id long, page_num int, raw_text string, trust_score double")
         rows = sg.sections(pages, "\n")
         assert dealt(rows) == 4  # one scan
-        windows = sg.without_copies(rows.selectExpr("document_id", "0 AS kind", "pos AS chunk_no", "text")).select("document_id", "digest")
+        windows = sg.without_copies(rows.selectExpr("document_id", "0 AS kind", "pos AS chunk_no", "text"), digest=True).select("document_id", "digest")
         assert "text" not in windows._jdf.queryExecution().optimizedPlan().toString().split("Window")[1].split("\n")[1].split("sha2")[0]
         assert [r["parent"] for r in rows.orderBy("document_id", "pos").collect()] == [None, "TITLE", "TITLE", None, None]
     finally:
