@@ -135,3 +135,48 @@ def test_a_named_supersession_changes_the_answer(spark):
 def test_each_pattern_is_tried_once(spark):
     plan = tp.with_temporal_metadata(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"regexp_extract\(", plan)) <= len(tp.EFFECTIVE) + len(tp.EXPIRY) + len(tp.PUBLICATION) + 2 * len(tp.SUPERSEDED_BY)
+
+
+CUED = [
+    "It COMES\tinto Force on the 3-4-2001 and EXPIRES on 05/06/2002.",
+    "Effective 7 March 1999; valid until 8  April 2000. Published on the 1/2/1998.",
+    "With Effect\nfrom 31/12/1995, replaced by ORDER 9 dated today. It replaces Act 3, RULES 4 of old.",
+    "W.E.F. 12/31/1995 and shall remain in force until 1/1/1997; substituted by RULE 6. GAZETTE 2/3/1994",
+    "In Supersession of CIRCULAR 5, ORDER 6. Notification dated 4/5/1993 was superseded by ACT 77 of 1990",
+    "effective 99/99/2001, effective 1 May 2001",
+    "from the source, with force and effect: current, valid, replaceable",
+    "",
+    None,
+]
+
+
+def test_texts_without_cues_are_spared_patterns_and_nothing_else_changes(spark):
+    """Each find against the pattern alone; a pattern is not tried on a text without any of its cues."""
+    assert set(tp.CUES) == {p for group in (tp.EFFECTIVE, tp.EXPIRY, tp.PUBLICATION, tp.SUPERSEDED_BY, tp.SUPERSEDES) for p in group}
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(CUED)], "i int, text string")
+    tidy = lambda p: F.trim(F.regexp_extract("text", f"(?i){p}", 1))
+    plain = texts.withColumns({f"d{k}_{j}": F.regexp_replace(F.translate(tidy(p), "-", "/"), r"\s+", " ") for k, group in enumerate((tp.EFFECTIVE, tp.EXPIRY, tp.PUBLICATION)) for j, p in enumerate(group)})
+    date = lambda k, n: F.coalesce(*[F.try_to_timestamp(F.col(f"d{k}_{j}"), F.lit(f)).cast("timestamp_ntz") for j in range(n) for f in ("d/M/yyyy", "M/d/yyyy", "d MMMM yyyy")])
+    plain = plain.select("i", date(0, 4).alias("effective_date"), date(1, 3).alias("expiry_date"), date(2, 3).alias("publication_date"), F.coalesce(*[F.nullif(tidy(p), F.lit("")) for p in tp.SUPERSEDED_BY]).alias("superseded_by"))
+    found = tp.with_temporal_metadata(texts)
+    assert sorted(map(tuple, found.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    names = {r["i"]: r["supersedes"] for r in found.collect()}
+    assert names == {i: {2: ["Act 3", "RULES 4"], 4: ["CIRCULAR 5", "ORDER 6"]}.get(i) for i in range(len(CUED))}
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("THEN regexp_extract(") + tree.count("THEN translate(regexp_extract(") + tree.count("THEN regexp_replace(translate(regexp_extract(") + tree.count("THEN trim(regexp_extract(") >= 13
+
+
+def test_names_and_titles_are_brought_to_keys_once(spark):
+    """Notices are dealt by their number before texts are made, a title's key is staged, and a name's key found once for the join and its filter."""
+    from chronolex.plans import temporal_queries as tq
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before, tq.NOTICES = tq.NOTICES, 500
+    try:
+        legal = tq._spread_legal(spark, "/root/testdata/sf0.001")
+        assert legal.rdd.getNumPartitions() == -(-legal.count() // 500) > 1
+        plan = tq._named_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        tq.NOTICES = before
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("upper(") <= 2 and "act|statute" not in plan  # the two kinds of names; no pattern of titles
