@@ -129,6 +129,28 @@ def test_dated_conflicts_as_classes_give_all_pairs(run, spark, tmp_path):
     assert got == want and len({t for t, _ in want.values()}) == 2
 
 
+def test_metadata_conflicts_list_every_pair_of_spans(run, spark, tmp_path):
+    """meta_conflicts gives each pair of spans that conflict, not only their classes: a loop over all pairs of a query finds the same."""
+    rng = random.Random(8)
+    orders = [(k, rng.randrange(3) * 50 + rng.randrange(2), datetime(1995, 1, 1 + rng.randrange(3)), "5-LOW") for k in range(120)]
+    found = run("meta_conflicts", orders=(orders, ORDERS))
+    got = sorted((r["first"], r["second"], r["conflict_type"], r["resolution"]) for r in found if r["conflict_type"] in ("status_pair", "supersession"))
+    rows, want = temporal(spark, str(tmp_path), FIFTIETH).collect(), []
+    for a, b in itertools.product(rows, rows):
+        if a["query_id"] != b["query_id"] or a["pos"] >= b["pos"]:
+            continue
+        if b["span_id"] in a["supersedes"] or b["superseded_by"] == a["span_id"]:
+            want.append((a["span_id"], b["span_id"], "supersession", "prefer_first"))
+        elif a["span_id"] in b["supersedes"] or a["superseded_by"] == b["span_id"]:
+            want.append((a["span_id"], b["span_id"], "supersession", "prefer_second"))
+        elif a["effective_date"] == b["effective_date"] and a["status"] != b["status"]:
+            prefer = "prefer_first" if a["status"] == "active" else "prefer_second" if b["status"] == "active" else "prefer_latest"
+            want.append((a["span_id"], b["span_id"], "status_pair", prefer))
+    assert got == sorted(want) and {t for _, _, t, _ in want} == {"supersession", "status_pair"}
+    pairs = tp.metadata_conflicts(temporal(spark, str(tmp_path), FIFTIETH)).collect()
+    assert sorted((r["first"], r["second"], r["conflict_type"].replace("status_conflict", "status_pair"), r["resolution"]) for r in pairs) == got
+
+
 def test_depth_of_training_lists_and_fused_lists(run, spark, tmp_path):
     rng = random.Random(3)
     vectors = [[rng.gauss(0.5, 1) for _ in range(8)] for _ in range(300)]
