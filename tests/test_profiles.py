@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,20 @@ def test_parts_of_chunks_follow_the_sums_that_they_hold(spark, monkeypatch):
     lex = ix.lexical(chunks)
     monkeypatch.setattr(ix, "SUMS", 100)
     assert lex.postings(by_chunk=40).rdd.getNumPartitions() == 160
+
+
+def test_queries_of_one_vector_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "chunk_id long, v array<double>")
+    queries = spark.createDataFrame([(i, [float(c) for c in x[i % 3]]) for i in range(30)], "query_id long, q array<double>")
+    sent, scores = [], rt._block_scores
+    monkeypatch.setattr(rt, "_block_scores", lambda asked, *rest: sent.append(asked.count()) or scores(asked, *rest))
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in rt.dense(queries, vectors, 5).collect())
+    want = []
+    for i in range(30):
+        each = np.round(x @ x[i % 3], 6)
+        best = sorted((c for c in range(60) if each[c] > 0), key=lambda c: (-each[c], c))[:5]
+        want += [(i, n + 1, c) for n, c in enumerate(best)]
+    assert got == sorted(want) and sum(sent) == 3
