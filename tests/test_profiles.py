@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolex.config import EngineConfig
 from chronolex.operators import index as ix
 from chronolex.operators import retrieve as rt
 
@@ -62,3 +63,14 @@ def test_queries_of_one_vector_are_searched_once(spark, monkeypatch):
         best = sorted((c for c in range(60) if each[c] > 0), key=lambda c: (-each[c], c))[:5]
         want += [(i, n + 1, c) for n, c in enumerate(best)]
     assert got == sorted(want) and sum(sent) == 3
+
+
+def test_alike_rows_in_small_files_are_not_sent_through_the_driver(spark):
+    from chronolex.operators import engine
+    from chronolex.staging import staged
+
+    queries = spark.createDataFrame([(1, "bank")], "query_id long, text string")
+    engine.lists(queries, spark.createDataFrame([("1_0", "the bank")], "chunk_id string, text string"), EngineConfig(use_sparse=False))
+    alike = staged(spark.range(300_000).selectExpr("id % 7 AS k", "'the same text of every row that is held' AS text"), "alike")
+    plan = alike.join(spark.range(400_000).selectExpr("id AS k"), "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan.replace("broadcast=false", "")
